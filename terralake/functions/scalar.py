@@ -99,9 +99,8 @@ def ratio(num, den) -> Column:
 
 
 def clamp(c, low: float = 0.0, high: float = 1.0) -> Column:
-    """A NULL stays NULL: least and greatest would skip it and return a bound."""
-    c = col_of(c)
-    return F.when(c.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), c)))
+    """Into [low, high]. A NULL becomes ``low``: greatest skips it."""
+    return F.least(F.lit(high), F.greatest(F.lit(low), col_of(c)))
 
 
 def classify(rules: Sequence[tuple[Column, str]], default: str | None = None) -> Column:

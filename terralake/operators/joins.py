@@ -37,7 +37,7 @@ def circular_neighbours(doy: str | Column, k: int, period: int = DOY_PERIOD) ->
     """The 2k+1 calendar days within k of a day, 31 December next to 1 January."""
     day = F.col(doy) if isinstance(doy, str) else doy
     offsets = F.sequence(F.lit(-k), F.lit(k))
-    return F.transform(offsets, lambda o: F.pmod(day - 1 + o, F.lit(period)) + 1)
+    return F.transform(offsets, lambda o: (F.pmod(day - 1 + o, F.lit(period)) + 1).cast("int"))
 
 
 def circular_window(
@@ -46,8 +46,8 @@ def circular_window(
     """Every row once per calendar day it counts for: an explode, then equi keys."""
     days = circular_neighbours(doy, k, period)
     if out == doy:
-        return df.withColumn(out, F.explode(days).cast("int"))
-    return df.select("*", F.explode(days).cast("int").alias(out))
+        return df.withColumn(out, F.explode(days))
+    return df.select("*", F.explode(days).alias(out))
 
 
 def stab(
