@@ -70,8 +70,9 @@ class LazyTables(Mapping):
     """Table name to DataFrame, each model planned on first use.
 
     ``options`` gives keyword arguments per model; ``rounding`` goes to every
-    model that takes it. Nothing runs here: a read is one logical plan, from the
-    inputs to the asked table.
+    model that takes it. With ``stage`` a model that others read is written once
+    and read back, so that it is not computed again for each of its readers;
+    without it a read is one logical plan from the inputs to the asked table.
     """
 
     def __init__(
@@ -79,16 +80,25 @@ class LazyTables(Mapping):
         inputs: Mapping[str, DataFrame],
         rounding: bool = True,
         options: Mapping[str, Mapping[str, object]] | None = None,
+        stage: Callable[[DataFrame, str], DataFrame] | None = None,
     ):
         self._done = dict(inputs)
         self._rounding = rounding
         self._options = options or {}
+        self._stage = stage or (lambda df, name: df)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._done:
-            self._done[name] = run_model(name, self, self._rounding, self._options.get(name, {}))
+            self._done[name] = self._stage(self.model(name), name)
         return self._done[name]
 
+    def put(self, name: str, df: DataFrame) -> None:
+        self._done[name] = df
+
+    def model(self, name: str) -> DataFrame:
+        """The plan of one model over the tables it reads."""
+        return run_model(name, self, self._rounding, self._options.get(name, {}))
+
     def __iter__(self) -> Iterator[str]:
         return iter({**self._done, **MODELS})
 
@@ -128,11 +138,12 @@ def build(
     options: Mapping[str, Mapping[str, object]] | None = None,
 ) -> dict[str, DataFrame]:
     """All tables, rebuilt from bronze; running it twice gives the same tables."""
-    t: dict[str, DataFrame] = bronze_tables(spark, bronze)
-    t["dim_locations"] = save(dim_locations(spark), out, "dim_locations")
-    for name in MODELS:
-        t[name] = save(run_model(name, t, options=(options or {}).get(name)), out, name)
-    return t
+    t = LazyTables(
+        bronze_tables(spark, bronze), options=options, stage=lambda df, name: save(df, out, name)
+    )
+    places = save(dim_locations(spark), out, "dim_locations")
+    t.put("dim_locations", places)
+    return {"dim_locations": places, **{name: t[name] for name in MODELS}}
 
 
 def load(spark: SparkSession, out: str) -> dict[str, DataFrame]:

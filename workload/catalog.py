@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from terralake import functions as fn
 from terralake.operators import aggregates, dedup, geo, joins, reshape, rows, windows
 from terralake.plans import charts, queries as q
-from workload.domain import Domain
+from workload.domain import Domain, domain_for
 from workload.float_columns import FLOAT_COLUMNS
 from workload.oracle import compose
 
@@ -71,7 +71,7 @@ def _settle_sql(name: str, sql: str) -> str:
 
 
 def spark_query(entry: Entry) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: _settle(entry.run(Domain(spark, sf_dir)))
+    return lambda spark, sf_dir: _settle(entry.run(domain_for(spark, sf_dir)))
 
 
 def oracle_query(entry: Entry) -> str:
@@ -1118,14 +1118,29 @@ add(
     lambda d: q.q_model_skill(d)["by_cut"],
     "SELECT model_id, cut_year, n_test, value_model, value_baseline, improvement_pct FROM gold_model_skill",
 )
+# The driver's events are random, so the model fails its gate; a lower gate shows the forecast.
+_FORECAST_SQL = """
+    SELECT mainshock_id, mainshock_time, mainshock_mag, place, lat, lon, depth_km, mag_band, n1, y_days_2_8 AS observed_days_2_8,
+           alpha * n1 AS predicted_days_2_8, 0.55::DOUBLE * alpha * n1 AS predicted_low, 1.85::DOUBLE * alpha * n1 AS predicted_high
+    FROM gold_aftershock_forecast, (SELECT sum(y_days_2_8)::DOUBLE / sum(n1) AS alpha FROM gold_aftershock_forecast WHERE is_predictable)
+    WHERE is_predictable AND (SELECT bool_and({gate}) FROM gold_model_skill WHERE model_id = 'pronostico_replicas')
+    ORDER BY mainshock_time DESC, mainshock_id LIMIT 30"""
+
+
+def _lower_gate(d: Domain) -> dict[str, DataFrame]:
+    skill = d["gold_model_skill"].withColumn("should_display", F.col("improvement_min") > -90)
+    return {"gold_model_skill": skill, "gold_aftershock_forecast": d["gold_aftershock_forecast"]}
+
+
 add(
     "q27_aftershocks",
+    lambda d: q.q_aftershocks(_lower_gate(d), rounding=False)["recent_sequences"],
+    _FORECAST_SQL.format(gate="improvement_min > -90"),
+)
+add(
+    "q27_aftershocks_withheld",
     lambda d: q.q_aftershocks(d, rounding=False)["recent_sequences"],
-    """SELECT mainshock_id, mainshock_time, mainshock_mag, place, lat, lon, depth_km, mag_band, n1, y_days_2_8 AS observed_days_2_8,
-              alpha * n1 AS predicted_days_2_8, 0.55::DOUBLE * alpha * n1 AS predicted_low, 1.85::DOUBLE * alpha * n1 AS predicted_high
-       FROM gold_aftershock_forecast, (SELECT sum(y_days_2_8)::DOUBLE / sum(n1) AS alpha FROM gold_aftershock_forecast WHERE is_predictable)
-       WHERE is_predictable AND (SELECT bool_and(should_display) FROM gold_model_skill WHERE model_id = 'pronostico_replicas')
-       ORDER BY mainshock_time DESC, mainshock_id LIMIT 30""",
+    _FORECAST_SQL.format(gate="should_display"),
 )
 add(
     "q27_aftershocks_gate",

@@ -8,15 +8,16 @@ that de-duplication meets very hot keys.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralake.functions import int_div
-from terralake.plans.build import LazyTables, run_model
+from terralake.plans.build import MODELS, LazyTables, save
 from terralake.schemas import DATASETS, MONTH_COLUMNS
-from terralake.session import use_utc
+from terralake.session import ensure_checkpoint_dir, use_utc
 from terralake.sources.parsers import ONI_SEASONS
 
 # Periods that suit the data's years (1995-01 to 2001-11).
@@ -409,18 +410,35 @@ INPUTS = {
 
 
 class Domain(LazyTables):
-    """Inputs and models over the driver's tables; nothing is rounded here."""
+    """Inputs and models over the driver's tables; nothing is rounded here.
+
+    Tables that a query reads are staged as Parquet under the shared checkpoint
+    folder, as the full build does, once per session and scale.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        super().__init__({}, rounding=False, options=OPTIONS)
         self.driver = Driver(spark, sf_dir)
         self.spark = self.driver.spark
+        label = f"{self.spark.sparkContext.applicationId}-{zlib.crc32(self.driver.dir.encode()):08x}"
+        folder = f"{ensure_checkpoint_dir(self.spark)}/tables-{label}"
+        super().__init__(
+            {}, rounding=False, options=OPTIONS, stage=lambda df, name: save(df, folder, name)
+        )
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._done and name in INPUTS:
-            self._done[name] = INPUTS[name](self.driver)
+            derived = INPUTS[name](self.driver)
+            # Stands in for a built table, and nearly every weather query reads it.
+            self.put(name, self._stage(derived, name) if name in MODELS else derived)
         return super().__getitem__(name)
 
-    def model(self, name: str) -> DataFrame:
-        """Run a model even where the driver's tables supply its result directly."""
-        return run_model(name, self, rounding=False, options=OPTIONS.get(name))
+
+_DOMAINS: dict[tuple[str, str], Domain] = {}
+
+
+def domain_for(spark: SparkSession, sf_dir: str) -> Domain:
+    """One Domain per application and folder, so that staged tables are shared."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _DOMAINS or _DOMAINS[key].spark is not spark:
+        _DOMAINS[key] = Domain(spark, sf_dir)
+    return _DOMAINS[key]

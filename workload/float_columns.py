@@ -114,6 +114,7 @@ FLOAT_COLUMNS: dict[str, str] = {
     "q26_model_skill": "improvement_median improvement_min improvement_max",
     "q26_model_skill_by_cut": "value_model value_baseline improvement_pct",
     "q27_aftershocks": "mainshock_mag lat lon depth_km predicted_days_2_8 predicted_low predicted_high",
+    "q27_aftershocks_withheld": "mainshock_mag lat lon depth_km predicted_days_2_8 predicted_low predicted_high",
     "q27_aftershocks_gate": "improvement_median improvement_min improvement_max",
     "q28_panel_coverage": "acf1 r_threshold_naive r_threshold_honest naive_underestimates_by",
     "q29_year_panel": "temp_anomaly_mean pct_extreme_heat_days cyclone_ace_global ace_atlantic ace_east_pacific ace_west_pacific oni_aso oni_year_mean max_magnitude",
