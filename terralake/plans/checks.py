@@ -101,7 +101,9 @@ def effective_sample_formula(t: Tables) -> DataFrame:
 
 
 def honest_threshold_is_stricter(t: Tables) -> DataFrame:
-    return _none(t["gold_panel_coverage"], F.col("r_threshold_honest") < F.col("r_threshold_naive"))
+    """For columns with at least three values: the effective sample is floored at three."""
+    stats = t["gold_panel_coverage"].filter("n_observations >= 3")
+    return _none(stats, F.col("r_threshold_honest") < F.col("r_threshold_naive"))
 
 
 def naive_threshold_formula(t: Tables) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from terralake.functions import mean_if, ratio, ratio_of_sums, round_if, safe_corr
 from terralake.operators.joins import with_scalar
+from terralake.operators.reshape import union_all
 from terralake.operators.rows import distinct_top_k, opt, since, sort_by, sort_first, top_k, where_opt
 from terralake.plans.silver import Tables
 from terralake.sources.seeds import seed
@@ -45,18 +46,17 @@ def _at_most(c: str):
 
 def q_health(t: Tables) -> DataFrame:
     """Newest instant per dataset: a pipeline can be alive and weeks behind."""
-    weather = t["gold_weather_daily"].groupBy("kind").agg(F.max("local_date").cast("string").alias("latest"))
-    kinds = F.when(F.col("kind") == "observed", "weather_observed").when(
-        F.col("kind") == "forecast", "weather_forecast"
-    )
     newest = lambda table, c, name: t[table].agg(
         F.lit(name).alias("dataset"), F.max(c).cast("string").alias("latest")
     )
-    return (
-        weather.select(kinds.alias("dataset"), "latest")
-        .filter(F.col("dataset").isNotNull())
-        .unionByName(newest("silver_earthquakes", "time", "earthquakes"))
-        .unionByName(newest("gold_bird_daily", "obs_date", "birds"))
+    day = lambda kind: F.when(F.col("kind") == kind, F.col("local_date"))
+    return union_all(
+        [
+            newest("gold_weather_daily", day("observed"), "weather_observed"),
+            newest("gold_weather_daily", day("forecast"), "weather_forecast"),
+            newest("silver_earthquakes", "time", "earthquakes"),
+            newest("gold_bird_daily", "obs_date", "birds"),
+        ]
     )
 
 

@@ -457,7 +457,9 @@ add(
 )
 add(
     "a8_median",
-    lambda d: d["silver_historical_disasters"].groupBy("hazard_type").agg(F.median("deaths_best").alias("median_deaths")),
+    lambda d: aggregates.quantiles_by(
+        d["silver_historical_disasters"], ["hazard_type"], "deaths_best", {"median_deaths": 0.5}
+    ),
     "SELECT hazard_type, median(deaths_best) AS median_deaths FROM silver_historical_disasters GROUP BY 1",
 )
 add(
