@@ -40,10 +40,13 @@ def safe_corr(x, y) -> Column:
     """Pearson r over rows where both are present; NULL for a constant column.
 
     Spark's own corr raises a division error on a constant column in ANSI mode.
+    Constants are told by their range: merged partial variances may leave a tiny
+    remainder above zero, and the quotient would then be noise.
     """
     x, y = col_of(x).cast("double"), col_of(y).cast("double")
     x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def sum_if(predicate, value=1) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralake.functions.scalar import DOY_PERIOD
+from terralake.operators.dedup import prefer_by
 from terralake.operators.rows import order_columns
 
 
@@ -28,6 +29,17 @@ def left_zero(df: DataFrame, counts: DataFrame, keys: Sequence[str], c: str) ->
     return joined.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
 
 
+def left_preferred(
+    df: DataFrame,
+    other: DataFrame,
+    keys: Sequence[str],
+    kind: str,
+    preferred: Sequence[object],
+) -> DataFrame:
+    """Left join to one row per key, the preferred kind; a missing match stays NULL."""
+    return df.join(prefer_by(other, keys, kind, preferred, [kind]), [*keys], "left")
+
+
 def panel(base: DataFrame, sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Left-join a list of per-key tables on a spine."""
     return reduce(lambda left, right: left.join(right, [*keys], "left"), sources, base)

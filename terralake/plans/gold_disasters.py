@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralake.functions import haversine_km, label, ratio, round_if, round_to_long, share_pct
-from terralake.operators.dedup import prefer_by
 from terralake.operators.geo import Grid
-from terralake.operators.joins import exists_flag, not_in_set
+from terralake.operators.joins import exists_flag, left_preferred, not_in_set
 from terralake.operators.reshape import union_distinct, union_named
 from terralake.operators.rows import tag
 from terralake.plans.silver import Tables
@@ -32,20 +31,21 @@ def gold_bird_daily(t: Tables, rounding: bool = True) -> DataFrame:
         F.sum("how_many").alias("individuals_counted"),
         F.count("how_many").alias("observations_with_count"),
     )
-    keys, kinds = ["location_id", "local_date"], ["observed"]
-    weather = prefer_by(t["gold_weather_daily"], keys, "kind", kinds, ["kind"]).select(
+    weather = t["gold_weather_daily"].select(
         "location_id",
         F.col("local_date").alias("obs_date"),
-        *("temp_mean", "temp_min", "temp_max", "precip_sum"),
         F.col("kind").alias("weather_kind"),
+        *("temp_mean", "temp_min", "temp_max", "precip_sum"),
     )
-    anomaly = prefer_by(t["gold_temperature_anomaly"], keys, "kind", kinds, ["kind"]).select(
+    anomaly = t["gold_temperature_anomaly"].select(
         "location_id",
         F.col("local_date").alias("obs_date"),
+        F.col("kind").alias("anomaly_kind"),
         F.col("anomaly_c").alias("temp_anomaly_c"),
     )
-    on = ["location_id", "obs_date"]
-    return birds.join(weather, on, "left").join(anomaly, on, "left")
+    keys, kinds = ["location_id", "obs_date"], ["observed"]
+    with_weather = left_preferred(birds, weather, keys, "weather_kind", kinds)
+    return left_preferred(with_weather, anomaly, keys, "anomaly_kind", kinds).drop("anomaly_kind")
 
 
 def _hazard(t: Tables, kind: str) -> DataFrame:

@@ -114,3 +114,8 @@ def test_ordered_concat(spark):
 def test_ace_uses_synoptic_points_at_storm_force(spark):
     df = spark.createDataFrame([(50.0, True), (50.0, False), (20.0, True), (None, True)], "w double, s boolean")
     assert df.agg(fn.ace("w", "s").alias("a")).first().a == pytest.approx(0.25)
+
+
+def test_correlation_of_a_constant_is_null_over_many_partitions(spark):
+    df = spark.range(0, 4900, 1, 49).select(F.col("id").cast("double").alias("x"), F.lit(1.1).alias("y"))
+    assert df.agg(fn.safe_corr("x", "y").alias("r")).first().r is None

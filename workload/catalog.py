@@ -227,13 +227,10 @@ add(
 )
 add(
     "j4_left_preferred",
-    lambda d: _checklist_days(d).join(
-        dedup.prefer_by(
-            cols(d["gold_weather_daily"], "location_id local_date kind temp_mean"),
-            ["location_id", "local_date"], "kind", ["observed"], ["kind"],
-        ),
-        ["location_id", "local_date"],
-        "left",
+    lambda d: joins.left_preferred(
+        _checklist_days(d),
+        cols(d["gold_weather_daily"], "location_id local_date kind temp_mean"),
+        ["location_id", "local_date"], "kind", ["observed"],
     ),
     """SELECT b.location_id, b.local_date, b.sightings, coalesce(o.kind, f.kind) AS kind,
               CASE WHEN o.kind IS NULL THEN f.temp_mean ELSE o.temp_mean END AS temp_mean
@@ -764,7 +761,7 @@ add(
 add(
     "f5_century",
     lambda d: d["silver_historical_disasters"].select("hazard_type", "source_id", "year", fn.century("year").alias("century")),
-    "SELECT hazard_type, source_id, year, CASE WHEN year > 0 THEN ceil(year / 100.0::DOUBLE) ELSE floor(year / 100.0::DOUBLE) END::BIGINT AS century FROM silver_historical_disasters",
+    "SELECT hazard_type, source_id, year, CASE WHEN year > 0 THEN ceil(year / 100.0::DOUBLE) ELSE floor(least(year, -1) / 100.0::DOUBLE) END::BIGINT AS century FROM silver_historical_disasters",
 )
 
 

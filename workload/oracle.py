@@ -157,7 +157,7 @@ CTES: dict[str, str] = {
     "silver_historical_disasters": """
         SELECT *, try(make_date(year, month, day)) AS event_date,
                CASE WHEN month IS NULL THEN 'solo año' WHEN day IS NULL THEN 'año y mes' ELSE 'fecha completa' END AS date_precision,
-               CASE WHEN year >= 1 THEN (year + 99) // 100 ELSE (year - 99) // 100 END AS century,
+               CASE WHEN year >= 1 THEN (year + 99) // 100 ELSE (least(year, -1) - 99) // 100 END AS century,
                coalesce(deaths_total, deaths) AS deaths_best, deaths_order AS deaths_order_best,
                deaths_total IS NOT NULL OR deaths IS NOT NULL AS has_exact_deaths
         FROM bronze_hazards""",
@@ -256,7 +256,7 @@ CTES: dict[str, str] = {
         SELECT anomaly_bucket, enso_bucket, count(*) AS n_train, sum(hit)::BIGINT AS n_extreme,
                (1 + sum(hit)) / (2.0::DOUBLE + count(*)) AS p_extreme,
                (SELECT avg(hit) FROM heat_cells WHERE in_train) AS base_rate,
-               (1 + sum(hit)) / (2.0::DOUBLE + count(*)) / (SELECT avg(hit) FROM heat_cells WHERE in_train) AS lift
+               (1 + sum(hit)) / (2.0::DOUBLE + count(*)) / nullif((SELECT avg(hit) FROM heat_cells WHERE in_train), 0) AS lift
         FROM heat_cells WHERE in_train GROUP BY ALL""",
     "gold_heatwave_backtest": """
         SELECT *, 1 - brier_model / nullif(brier_base, 0) AS brier_skill_score,
