@@ -109,6 +109,40 @@ def geo_join(
     return left.join(right, on).drop(*keys).withColumn(distance, gap)
 
 
+def _slot(time: Column, days: int) -> Column:
+    return F.floor(F.unix_seconds(time) / F.lit(days * _DAY_S)).cast("bigint")
+
+
+def _reach(centres: DataFrame, grid: Grid, days: int, at: tuple[str, str, str]) -> DataFrame:
+    """Centres copied to every cell and time slot they can reach."""
+    time, lat, lon = at
+    slot = _slot(F.col(time), days)
+    return grid.copy_around(centres.withColumn("_first", slot), lat, lon, _CELL).withColumn(
+        _SLOT, F.explode(F.array(F.col("_first"), F.col("_first") + 1))
+    ).drop("_first")
+
+
+def _placed(points: DataFrame, grid: Grid, days: int, at: tuple[str, str, str]) -> DataFrame:
+    time, lat, lon = at
+    return points.withColumns({_CELL: grid.cell(lat, lon), _SLOT: _slot(F.col(time), days)})
+
+
+def within_reach(
+    points: DataFrame,
+    centres: DataFrame,
+    km: float,
+    days: int,
+    point_at: tuple[str, str, str],
+    centre_at: tuple[str, str, str],
+) -> DataFrame:
+    """Points in a cell and slot that some centre can reach: a cheap semi join that
+    thins a large table out before it is shuffled. A superset of the true partners."""
+    grid = Grid(km)
+    reached = _reach(centres.select(*centre_at), grid, days, centre_at).select(_CELL, _SLOT)
+    near = _placed(points, grid, days, point_at)
+    return near.join(reached.distinct(), [_CELL, _SLOT], "left_semi").drop(_CELL, _SLOT)
+
+
 def space_time_join(
     points: DataFrame,
     centres: DataFrame,
@@ -126,12 +160,9 @@ def space_time_join(
     stay single, so keep the rarer events as centres.
     """
     grid = Grid(km)
-    slot = lambda t: F.floor(F.unix_seconds(F.col(t)) / F.lit(days * _DAY_S)).cast("bigint")
     (pt, plat, plon), (ct, clat, clon) = point_at, centre_at
-    near = points.withColumns({_CELL: grid.cell(plat, plon), _SLOT: slot(pt)})
-    far = grid.copy_around(centres, clat, clon, _CELL).withColumn(
-        _SLOT, F.explode(F.array(slot(ct), slot(ct) + 1))
-    )
+    near = _placed(points, grid, days, point_at)
+    far = _reach(centres, grid, days, centre_at)
     keys = [_CELL, _SLOT]
     if rows_per_task:
         near, far = salt_hot(near, far, keys, rows_per_task)
@@ -163,17 +194,17 @@ def decluster(
     cells and slots they can reach, each event looks into its own only.
     """
     grid = Grid(km)
-    slot = lambda t: F.floor(F.unix_seconds(t) / F.lit(days * _DAY_S)).cast("bigint")
-    own = events.withColumns({_CELL: grid.cell(lat, lon), _SLOT: slot(F.col(time))})
+    own = _placed(events, grid, days, (time, lat, lon))
     parents = events.select(
         F.col(event_id).alias("_pid"),
         F.col(time).alias("_ptime"),
         F.col(lat).alias("_plat"),
         F.col(lon).alias("_plon"),
         F.col(magnitude).alias("_pmag"),
-        F.explode(F.array(slot(F.col(time)), slot(F.col(time)) + 1)).alias("_pslot"),
     )
-    parents = grid.copy_around(parents, "_plat", "_plon", "_pcell")
+    parents = _reach(parents, grid, days, ("_ptime", "_plat", "_plon")).withColumnsRenamed(
+        {_CELL: "_pcell", _SLOT: "_pslot"}
+    )
     window = F.make_dt_interval(days=F.lit(days))
     bigger_before = (
         (F.col(_CELL) == F.col("_pcell"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralake.functions import haversine_km, label, ratio, round_if, round_to_long, share_pct
@@ -69,6 +69,33 @@ def redundant_tsunamis(t: Tables) -> DataFrame:
     return union_distinct(by_quake, by_volcano)
 
 
+def suspected_duplicates(events: DataFrame, km: float) -> DataFrame:
+    """(year, toll, place) of events with a twin: same year and toll within ``km``.
+
+    Events at one spot are first merged into one counted row, so a spot with very
+    many copies is compared once. A spot with two events has its twin on the
+    spot; others look for a neighbouring spot inside their grid cell.
+    """
+    spot = ["year", "deaths_best", "latitude", "longitude"]
+    located = events.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    spots = located.groupBy(*spot).agg(F.count(F.lit(1)).alias("n"))
+    grid = Grid(km)
+    own = spots.withColumn("cell", grid.cell("latitude", "longitude"))
+    others = grid.copy_around(spots, "latitude", "longitude", "cell")
+
+    def elsewhere(a: str, b: str) -> Column:
+        moved = (F.col(f"{a}latitude") != F.col(f"{b}latitude")) | (
+            F.col(f"{a}longitude") != F.col(f"{b}longitude")
+        )
+        gap = haversine_km(f"{a}latitude", f"{a}longitude", f"{b}latitude", f"{b}longitude")
+        return moved & (gap <= km)
+
+    flagged = exists_flag(own, others, ["year", "deaths_best", "cell"], "neighbour", elsewhere, spot)
+    return flagged.filter((F.col("n") > 1) | F.col("neighbour")).select(
+        *spot, F.lit(True).alias("suspected_duplicate")
+    )
+
+
 def gold_disasters_ranked(
     t: Tables, rounding: bool = True, duplicate_km: float = DUPLICATE_KM
 ) -> DataFrame:
@@ -82,29 +109,9 @@ def gold_disasters_ranked(
         events.filter(F.col("has_exact_deaths") & (F.col("deaths_best") > 0)), redundant, key
     )
 
-    # Possible twins: same year, same toll, close by. Distance is tested inside a
-    # grid cell, so a year with a very common toll is not compared all against all.
-    grid = Grid(duplicate_km)
-    located = (
-        kept.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-        .select(*key, "year", "deaths_best", "latitude", "longitude")
-        .withColumn("cell", grid.cell("latitude", "longitude"))
-    )
-    others = grid.copy_around(located.drop("cell"), "latitude", "longitude", "cell")
-    twin = lambda a, b: (
-        (
-            (F.col(f"{a}hazard_type") != F.col(f"{b}hazard_type"))
-            | (F.col(f"{a}source_id") != F.col(f"{b}source_id"))
-        )
-        & (
-            haversine_km(f"{a}latitude", f"{a}longitude", f"{b}latitude", f"{b}longitude")
-            <= duplicate_km
-        )
-    )
-    twins = exists_flag(
-        located, others, ["year", "deaths_best", "cell"], "suspected_duplicate", twin, key
-    ).filter("suspected_duplicate")
-    flagged = kept.join(twins.select(*key, "suspected_duplicate"), key, "left")
+    twins = suspected_duplicates(kept, duplicate_km)
+    spot = ["year", "deaths_best", "latitude", "longitude"]
+    flagged = kept.join(twins, spot, "left")
 
     # Highest wave of the tsunamis an event set off.
     waves = _hazard(t, "tsunami")

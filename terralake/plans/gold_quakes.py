@@ -20,7 +20,7 @@ from terralake.functions import (
     sum_if,
 )
 from terralake.operators.aggregates import with_total
-from terralake.operators.geo import decluster, geo_join, space_time_join
+from terralake.operators.geo import decluster, geo_join, space_time_join, within_reach
 from terralake.operators.joins import left_zero
 from terralake.operators.windows import group_total, running_sum
 from terralake.plans.silver import Tables
@@ -109,25 +109,23 @@ def gold_quake_sequences(
         F.col("lat").alias("m_lat"),
         F.col("lon").alias("m_lon"),
     )
-    # A main shock cannot be its own aftershock: an aftershock is strictly later.
-    # The id stays with the points so that salting can spread even exact copies.
-    later = quakes.filter(F.col("magnitude") >= completeness).select(
-        "event_id", "time", "lat", "lon", "magnitude"
-    )
-    pairs = space_time_join(
-        later,
-        mains,
-        km,
-        days,
-        ("time", "lat", "lon"),
-        ("mainshock_time", "m_lat", "m_lon"),
-        condition=F.col("magnitude") < F.col("mainshock_mag"),
+    # Only events near a main shock are shuffled, and events that agree in time,
+    # place and magnitude travel as one weighted row. A main shock cannot be its
+    # own aftershock: an aftershock is strictly later.
+    where = (("time", "lat", "lon"), ("mainshock_time", "m_lat", "m_lon"))
+    later = quakes.filter(F.col("magnitude") >= completeness).select("time", "lat", "lon", "magnitude")
+    weighted = (
+        within_reach(later, mains, km, days, *where)
+        .groupBy("time", "lat", "lon", "magnitude")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    smaller = F.col("magnitude") < F.col("mainshock_mag")
+    pairs = space_time_join(weighted, mains, km, days, *where, condition=smaller)
     day_after = int_div(hours_crossed("mainshock_time", "time"), 24) + 1
     per_day = pairs.groupBy(
         "mainshock_id", "mainshock_place", "mainshock_mag", "mainshock_time", day_after.alias("day_after")
     ).agg(
-        F.count(F.lit(1)).alias("aftershocks"),
+        F.sum("n").alias("aftershocks"),
         round_if(F.max("magnitude"), 1, rounding).alias("max_aftershock_mag"),
     )
     # At most ``days`` + 1 rows per main shock reach this window.

@@ -185,3 +185,22 @@ def test_since_needs_no_clock_when_a_date_is_given(spark):
     df = spark.sql("SELECT timestamp'2024-01-31 12:00:00' AS t UNION ALL SELECT timestamp'2024-01-01 00:00:00'")
     assert row_ops.since(df, "t", 5, "2024-02-01").count() == 1
     assert row_ops.since(df, "t", None).count() == 2
+
+
+def test_within_reach_keeps_every_partner(spark):
+    q = _quakes(spark)
+    mains = q.filter("magnitude >= 7.5").select(F.col("time").alias("mt"), F.col("lat").alias("mlat"), F.col("lon").alias("mlon"))
+    at = (("time", "lat", "lon"), ("mt", "mlat", "mlon"))
+    near = {r.event_id for r in geo.within_reach(q, mains, 50, 10, *at).collect()}
+    partners = {r.event_id for r in geo.space_time_join(q, mains, 50, 10, *at).collect()}
+    assert partners <= near and len(near) < q.count()
+
+
+def test_duplicates_are_found_on_one_spot_and_nearby(spark):
+    from terralake.plans.gold_disasters import suspected_duplicates
+
+    data = [(1, 1900, 50, 10.0, 20.0), (2, 1900, 50, 10.0, 20.0), (3, 1900, 50, 11.0, 20.0), (4, 1900, 50, 40.0, 20.0),
+            (5, 1900, 60, 10.0, 20.0), (6, 1901, 70, 0.0, 179.9), (7, 1901, 70, 0.0, -179.9), (8, 1900, 50, None, None)]
+    df = spark.createDataFrame(data, "id int, year int, deaths_best int, latitude double, longitude double")
+    spots = {tuple(r)[:4] for r in suspected_duplicates(df, 200).collect()}
+    assert spots == {(1900, 50, 10.0, 20.0), (1900, 50, 11.0, 20.0), (1901, 70, 0.0, 179.9), (1901, 70, 0.0, -179.9)}
