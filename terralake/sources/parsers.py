@@ -73,7 +73,7 @@ def parse_weather(raw: DataFrame, location_ids: Sequence[str], locations: DataFr
         .select("location_id", F.col("h.time").alias("time"), *filled)
         .select("location_id", F.explode(F.arrays_zip("time", *WEATHER_VARIABLES)).alias("r"))
         .select("location_id", "r.*")
-        .withColumns({"time": F.to_timestamp("time"), "kind": F.lit(kind)})
+        .withColumns({"time": F.try_to_timestamp("time"), "kind": F.lit(kind)})
     )
     places = locations.select(F.col("id").alias("location_id"), "lat", "lon")
     return conform(rows.join(places, "location_id"), WEATHER)
@@ -295,7 +295,7 @@ def parse_population(raw: DataFrame, metadata: DataFrame) -> DataFrame:
         F.nullif("countryiso3code", F.lit("")).alias("code"),
         F.coalesce(F.nullif("countryiso3code", F.lit("")), "country.id", F.lit("?")).alias("country_id"),
         F.coalesce(F.trim("country.value"), F.lit("")).alias("country_name"),
-        F.col("date").cast("bigint").alias("year"),
+        F.col("date").try_cast("bigint").alias("year"),
         F.nullif(F.col("value"), F.lit(0.0)).cast("bigint").alias("population"),
     )
     known = named.join(metadata, "code", "left")

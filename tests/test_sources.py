@@ -212,3 +212,21 @@ def test_seeds(spark):
     assert middle[1400] < middle[1300]
     restricted = {r.id for r in seed(spark, "sources").collect() if r.commercial_use != "permitido"}
     assert restricted == {"open-meteo", "ebird", "gbif"}
+
+
+def test_ingest_appends_good_rows_and_returns_the_rest(spark, tmp_path):
+    from terralake.sources.ingest import ingest
+
+    path = tmp_path / "oni.txt"
+    path.write_text(" DJF 1950  25.01  -1.32\n JFM 1950 25.4 -1.1\n")
+    parsed = parsers.parse_oni(spark, str(path))
+    spoiled = parsed.withColumn("season_index", F.when(F.col("season") == "JFM", 13).otherwise(F.col("season_index")))
+    rejected = ingest(spoiled.select(*parsed.columns), str(tmp_path / "lake"), "bronze_oni")
+    assert rows(read_bronze(spark, str(tmp_path / "lake"), "bronze_oni").select("season")) == [("DJF",)]
+    assert rows(rejected.select("season", "failed")) == [("JFM", ["season_index in [1, 12]"])]
+
+
+def test_unreadable_hour_is_left_to_validation(spark, tmp_path):
+    raw = documents(spark, tmp_path, a={"hourly": {"time": ["not a time"], "temperature_2m": [1.0]}})
+    good, bad = validate_bronze(parsers.parse_weather(raw, ["madrid"], dim_locations(spark), "observed"), "bronze_weather")
+    assert good.isEmpty() and bad.first().failed == ["time required"]

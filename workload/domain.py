@@ -8,6 +8,7 @@ that de-duplication meets very hot keys.
 
 from __future__ import annotations
 
+import threading
 import zlib
 from collections.abc import Mapping
 
@@ -421,16 +422,18 @@ class Domain(LazyTables):
         self.spark = self.driver.spark
         label = f"{self.spark.sparkContext.applicationId}-{zlib.crc32(self.driver.dir.encode()):08x}"
         folder = f"{ensure_checkpoint_dir(self.spark)}/tables-{label}"
+        self._lock = threading.RLock()
         super().__init__(
             {}, rounding=False, options=OPTIONS, stage=lambda df, name: save(df, folder, name)
         )
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._done and name in INPUTS:
-            derived = INPUTS[name](self.driver)
-            # Stands in for a built table, and nearly every weather query reads it.
-            self.put(name, self._stage(derived, name) if name in MODELS else derived)
-        return super().__getitem__(name)
+        with self._lock:
+            if name not in self._done and name in INPUTS:
+                derived = INPUTS[name](self.driver)
+                # Stands in for a built table, and nearly every weather query reads it.
+                self.put(name, self._stage(derived, name) if name in MODELS else derived)
+            return super().__getitem__(name)
 
 
 _DOMAINS: dict[tuple[str, str], Domain] = {}
