@@ -3,7 +3,8 @@ from conftest import SF, executed_plan
 
 import __spark_entry__ as contract
 from workload.catalog import CATALOG, spark_query
-from workload.float_columns import FLOAT_COLUMNS
+from workload.column_kinds import DATE_COLUMNS, FLOAT_COLUMNS
+from workload.domain import domain_for
 from workload.verify import compare, duck, rows_of
 
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
@@ -21,8 +22,9 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", sorted(CATALOG))
 def test_query_agrees_with_sql(spark, name):
     df = QUERIES[name](spark, SF)
-    doubles = [f.name for f in df.schema.fields if f.dataType.simpleString() == "double"]
-    assert doubles == FLOAT_COLUMNS.get(name, "").split()
+    fields = CATALOG[name].run(domain_for(spark, SF)).schema.fields
+    for kind, listed in (("double", FLOAT_COLUMNS), ("date", DATE_COLUMNS)):
+        assert [f.name for f in fields if f.dataType.simpleString() == kind] == listed.get(name, "").split()
     found = duck(SF).execute(SQL[name])
     names = [c[0] for c in found.description]
     assert sorted(names) == sorted(df.columns)

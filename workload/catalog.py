@@ -1,7 +1,8 @@
 """Every registered query with its equivalent SQL over the same tables.
 
 Doubles are rounded at the very end on both sides, because the two
-engines add numbers in different orders. BC dates are returned as day numbers.
+engines add numbers in different orders. Dates are returned as ISO text, those that
+may lie before Christ as day numbers.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from terralake import functions as fn
 from terralake.operators import aggregates, dedup, geo, joins, reshape, rows, windows
 from terralake.plans import charts, queries as q
 from workload.domain import Domain, domain_for
-from workload.float_columns import FLOAT_COLUMNS
+from workload.column_kinds import DATE_COLUMNS, FLOAT_COLUMNS
 from workload.oracle import compose
 
 
@@ -49,7 +50,7 @@ def cols(df: DataFrame, names: str) -> DataFrame:
 
 
 def _settle(df: DataFrame) -> DataFrame:
-    """Last step of every query: rounded doubles, integers as bigint, day numbers."""
+    """Last step of every query: rounded doubles, integers as bigint, dates as text."""
     changed = {}
     for f in df.schema.fields:
         kind = f.dataType.simpleString()
@@ -58,15 +59,21 @@ def _settle(df: DataFrame) -> DataFrame:
             changed[f.name] = F.round(F.col(f.name), digits(f.name)) + F.lit(0.0)
         elif kind in ("int", "smallint", "tinyint"):
             changed[f.name] = F.col(f.name).cast("bigint")
-    if "event_date" in df.columns:
-        changed["event_date"] = F.unix_date("event_date").cast("bigint")
+        elif f.name == "event_date":
+            changed[f.name] = F.unix_date(f.name).cast("bigint")
+        elif kind == "date":
+            changed[f.name] = F.col(f.name).cast("string")
     return df.withColumns(changed) if changed else df
 
 
 def _settle_sql(name: str, sql: str) -> str:
     changed = [f"round({c}, {digits(c)}) + 0.0::DOUBLE AS {c}" for c in FLOAT_COLUMNS.get(name, "").split()]
-    if name in DATED:
-        changed.append("date_diff('day', DATE '1970-01-01', event_date) AS event_date")
+    for c in DATE_COLUMNS.get(name, "").split():
+        changed.append(
+            "date_diff('day', DATE '1970-01-01', event_date) AS event_date"
+            if c == "event_date"
+            else f"{c}::DATE::VARCHAR AS {c}"
+        )
     return f"SELECT * REPLACE ({', '.join(changed)}) FROM ({sql})" if changed else sql
 
 
@@ -78,8 +85,6 @@ def oracle_query(entry: Entry) -> str:
     return compose(_settle_sql(entry.name, entry.sql))
 
 
-DATED = {"s4_historical_disasters", "g15_disasters_ranked", "g16_disaster_cascades"}
-
 # --- Projections, filters, predicates -----------------------------------------------
 
 add(

@@ -1,4 +1,4 @@
-"""Double columns of each registered query, to be rounded on the SQL side too.
+"""Double and date columns of each registered query, settled the same way on the SQL side.
 
 Written by ``python -m workload.verify --columns``; a test keeps it in step.
 """
@@ -126,3 +126,31 @@ FLOAT_COLUMNS: dict[str, str] = {
     "c3_anchored_line": "mag_bin log10_n_cumulative log10_n_fitted",
     "c4_year_overlay": "temp_mean_avg temp_mean_p05 temp_mean_p95 temp_now",
 }
+
+DATE_COLUMNS: dict[str, str] = {
+    "j1_join_dimension": "local_date",
+    "j2_derived_key": "local_date",
+    "j3_left_zero": "local_date",
+    "j4_left_preferred": "local_date",
+    "w2_prefer_by": "local_date",
+    "w3_lag": "local_date",
+    "w4_moving_mean": "local_date",
+    "u7_generators": "month_start",
+    "f2_doy_distance": "local_date",
+    "f6_local_time": "local_date",
+    "f10_interval_arithmetic": "month_start",
+    "s4_historical_disasters": "event_date",
+    "g1_weather_daily": "local_date",
+    "g3_temperature_anomaly": "local_date",
+    "g4_heatwave_features": "local_date",
+    "g14_bird_daily": "obs_date",
+    "g15_disasters_ranked": "event_date",
+    "g16_disaster_cascades": "event_date",
+    "g22_cyclones_near_city": "local_date",
+    "g26_month_panel": "month_start",
+    "q3_weather_daily": "local_date",
+    "q4_weather_anomaly": "local_date",
+    "q12_birds": "obs_date",
+    "q20_cyclones_near": "local_date",
+    "q30_month_panel": "month_start",
+}

@@ -86,19 +86,24 @@ def main() -> None:
     args = parser.parse_args()
 
     from workload.catalog import CATALOG, oracle_query, spark_query
+    from workload.domain import domain_for
 
     spark = local_session()
     entries = {n: e for n, e in CATALOG.items() if not args.names or any(n.startswith(p) for p in args.names)}
     if args.columns:
-        lines = []
+        kinds: dict[str, list[str]] = {"double": [], "date": []}
         for name, entry in entries.items():
-            schema = spark_query(entry)(spark, args.sf).schema
-            doubles = [f.name for f in schema.fields if f.dataType.simpleString() == "double"]
-            if doubles:
-                lines.append(f'    "{name}": "{" ".join(doubles)}",')
-        path = pathlib.Path(__file__).with_name("float_columns.py")
-        head = path.read_text().split("FLOAT_COLUMNS")[0]
-        path.write_text(head + "FLOAT_COLUMNS: dict[str, str] = {\n" + "\n".join(lines) + "\n}\n")
+            fields = entry.run(domain_for(spark, args.sf)).schema.fields
+            for kind, lines in kinds.items():
+                names = [f.name for f in fields if f.dataType.simpleString() == kind]
+                if names:
+                    lines.append(f'    "{name}": "{" ".join(names)}",')
+        path = pathlib.Path(__file__).with_name("column_kinds.py")
+        text = path.read_text().split("FLOAT_COLUMNS")[0]
+        for title, kind in (("FLOAT_COLUMNS", "double"), ("DATE_COLUMNS", "date")):
+            body = "\n".join(kinds[kind])
+            text += f"{title}: dict[str, str] = {{\n{body}\n}}\n\n"
+        path.write_text(text.rstrip() + "\n")
         return
     con = duck(args.sf)
     bad = 0
