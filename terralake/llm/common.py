@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
@@ -88,3 +88,33 @@ def ship(spark: SparkSession) -> None:
             z.write(source, source.relative_to(root))
     spark.sparkContext.addPyFile(str(target))
     _SHIPPED.add(app)
+
+
+def with_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[..., list[pa.Array]]], fields: str, more: Sequence[str] = ()) -> DataFrame:
+    """The rows with columns that a function of the text (and of the columns in `more`, which go) gives.
+
+    The function takes a list of texts (NULL: empty) and an Arrow array for each of `more`.
+    Input columns of the same names as the added ones are replaced. Other columns pass
+    through untouched, packed together so that no name clashes.
+    """
+    added = T.StructType.fromDDL(fields)
+    names = [n for n in df.columns if n not in more]
+    packed = df.select(
+        F.col(f"`{text_col}`").cast("string").alias("text"),
+        F.struct(F.lit(0).alias("_"), *(F.col(f"`{n}`").alias(f"_{i}") for i, n in enumerate(names) if n not in (*added.names, text_col))).alias("rest"),
+        *(F.col(n).alias(f"more_{n}") for n in more),
+    )
+    made_names = [f"made_{n}" for n in added.names]
+    schema = T.StructType([packed.schema["text"], packed.schema["rest"], *(T.StructField(f"made_{f.name}", f.dataType) for f in added.fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_texts = make()
+        for step in in_steps(batches):
+            texts = [t or "" for t in step.column("text").to_pylist()]
+            arrays = of_texts(texts, *(step.column(f"more_{n}") for n in more))
+            yield pa.RecordBatch.from_arrays([step.column("text"), step.column("rest"), *arrays], names=schema.names)
+
+    made = packed.mapInArrow(run, schema)
+    place = dict(zip(added.names, made_names))
+    kept = [F.col(place[n] if n in place else "text" if n == text_col else f"rest._{i}").alias(n) for i, n in enumerate(names)]
+    return made.select(*kept, *(F.col(place[n]).alias(n) for n in added.names if n not in names))

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralake.llm import bpe, simhash
+from terralake.llm import bpe, chat, leaks, lines, simhash, warc
 from terralake.llm.common import ship
 
 _RUNS = [
+    warc.op2_warc,
     bpe.op3_bpe,
+    chat.op4_chat,
     simhash.op5_simhash,
+    lines.op7_lines,
+    leaks.op10_leaks,
 ]
 
 
@@ -25,4 +29,4 @@ def _query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {run.__name__: _query(run) for run in _RUNS}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_warc": warc.OP2_SQL, "op4_chat": chat.OP4_SQL}
