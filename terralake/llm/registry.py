@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralake.llm import bpe, chat, leaks, lines, simhash, warc
+from terralake.llm import bpe, chat, leaks, lines, simhash, toxicity, warc
 from terralake.llm.common import ship
 
 _RUNS = [
@@ -15,6 +15,7 @@ _RUNS = [
     chat.op4_chat,
     simhash.op5_simhash,
     lines.op7_lines,
+    toxicity.op8_toxicity,
     leaks.op10_leaks,
 ]
 
