@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralake.llm import bpe, chat, leaks, lines, simhash, toxicity, warc
+from terralake.llm import bpe, chat, leaks, lines, rules, shards, simhash, toxicity, warc
 from terralake.llm.common import ship
 
 _RUNS = [
@@ -14,8 +14,10 @@ _RUNS = [
     bpe.op3_bpe,
     chat.op4_chat,
     simhash.op5_simhash,
+    rules.op6_rules,
     lines.op7_lines,
     toxicity.op8_toxicity,
+    shards.op9_shards,
     leaks.op10_leaks,
 ]
 
