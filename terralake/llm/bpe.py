@@ -241,7 +241,12 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path:
     return rows.mapInArrow(run, schema)
 
 
-def op3_bpe(spark, sf_dir: str) -> DataFrame:
-    """Digests of the ids of every document and of the bytes they decode to."""
-    coded = decode(encode(table(spark, sf_dir, "documents"), packed=True))
+def digests(df: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row: of its ids and of the bytes they decode to."""
+    coded = decode(encode(df, packed=True))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_bpe(spark, sf_dir: str) -> DataFrame:
+    """Digests of every document."""
+    return digests(table(spark, sf_dir, "documents"))

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralake.llm import bpe, chat, leaks, lines, rules, shards, simhash, toxicity, warc
+from terralake.llm import bpe, chat, classifier, leaks, lines, rules, shards, simhash, toxicity, warc
 from terralake.llm.common import ship
 
 _RUNS = [
+    classifier.op1_classifier,
     warc.op2_warc,
     bpe.op3_bpe,
     chat.op4_chat,
