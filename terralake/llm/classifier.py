@@ -37,7 +37,7 @@ SHAPE = bytes(
 )
 #: Weights of the scorer, and rows that it is fitted on: about so many, of the least hashes of their ids.
 SLOTS, FITTED_ROWS = 1 << 16, 10_000
-THRESHOLD = 0.5
+THRESHOLD = 0.75
 
 
 def _judged(bad: bool, good: bool) -> int:

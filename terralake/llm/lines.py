@@ -5,7 +5,8 @@ count for nothing. A gram is a stretch of lines with at least NOISE words. Of th
 every stretch with at least SURE words the one with the least hash is selected, so two
 documents that share such a stretch select the same gram. Selected grams are joined on their hash;
 a match with an earlier place is extended to both sides for as long as the next gram also
-stands at an earlier place. What a run covers is deleted from the later document.
+stands at an earlier place, in any document that shares a selected gram with another. What a run covers
+is deleted from the later document.
 """
 
 from __future__ import annotations

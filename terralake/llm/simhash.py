@@ -9,13 +9,13 @@ is tested, and only pairs that pass it get the full Hamming test.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralake.llm.common import id_and_text, map_texts, staged, table
@@ -48,8 +48,11 @@ def fingerprint(text: str, shingle: int = 4) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp) for each row, fp the fingerprint as a signed 64-bit integer. NULL is the empty text, of fingerprint zero."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, more: Sequence[Column] = ()) -> DataFrame:
+    """(id, fp) for each row, fp the fingerprint as a signed 64-bit integer. NULL is the empty text, of fingerprint zero.
+
+    Columns in `more` stand between them.
+    """
 
     def make():
         def of_texts(texts: list[str]) -> list[pa.Array]:
@@ -57,7 +60,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return of_texts
 
-    return map_texts(id_and_text(df, id_col, text_col), make, "fp long").withColumnRenamed("id", id_col)
+    return map_texts(id_and_text(df, id_col, text_col, *more), make, "fp long").withColumnRenamed("id", id_col)
 
 
 def segments(count: int) -> list[int]:
@@ -179,15 +182,15 @@ def links(fps: DataFrame, distance: int = 4, count: int = 7, equal: int = 3) ->
     return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
-    """(id, fp, component_id) for each row: component_id is the smallest id linked to it over any number of links.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, more: Sequence[Column] = ()) -> DataFrame:
+    """(id, fp, component_id) and the columns in `more` for each row: component_id is the smallest id linked to it over any number of links.
 
     Fingerprints of words in lower-case ASCII; texts without words have fingerprint zero and
     are linked like any other; NULL is the empty text. Rows with a NULL id are kept and may take
     the component of others; a component of NULL ids only has a NULL component_id. Repeated
     rows and ids give one row each. Other columns are not carried. An empty table gives no rows.
     """
-    marked = staged(fingerprints(df, id_col, text_col, shingle), "fingerprints")
+    marked = staged(fingerprints(df, id_col, text_col, shingle, more), "fingerprints")
     first = marked.groupBy("fp").agg(F.min(id_col).alias("first"))
     roots = components(links(first, distance))
     rooted = staged(
@@ -195,7 +198,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(lowest, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select(id_col, "fp", "component_id")
+    return marked.join(classes, "fp").select(id_col, "fp", "component_id", *(c for c in marked.columns if c not in (id_col, "fp")))
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
