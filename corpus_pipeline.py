@@ -34,11 +34,13 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near-duplicates the document of the smallest id.
 
     Rows with a NULL id stay only where their whole group has none; of several rows with the smallest id, all stay.
+    Rows are told apart by id and text.
     """
     ship(spark)
-    found = simhash.near_duplicates(docs).select("doc_id", "component_id").distinct()
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    of_text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    found = simhash.near_duplicates(docs, more=[of_text.alias("of_text")])
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"), F.col("of_text").alias("kept_text")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (of_text == F.col("kept_text")), "left_semi")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
