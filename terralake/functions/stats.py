@@ -14,7 +14,9 @@ __all__ = [
     "brier",
     "count_distinct_if",
     "gain_pct",
+    "greatest_text",
     "indicator",
+    "least_text",
     "mean_if",
     "ordered_concat",
     "quantile",
@@ -97,6 +99,15 @@ def value_at_min(value, key, *ties) -> Column:
     return F.min_by(F.when(usable, value), F.when(usable, rank))
 
 
+def least_text(c) -> Column:
+    """Smallest of a few distinct texts; unlike min it needs no sort of the rows."""
+    return F.array_min(F.collect_set(col_of(c)))
+
+
+def greatest_text(c) -> Column:
+    return F.array_max(F.collect_set(col_of(c)))
+
+
 def ordered_concat(c, order: Sequence[str], sep: str = " · ") -> Column:
     """Joined text in a fixed order. Meant for bounded lists such as a year's milestones."""
     entry = F.struct(*(col_of(o).alias(f"o{i}") for i, o in enumerate(order)), col_of(c).alias("text"))

@@ -23,6 +23,14 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return df.withColumn(_RANK, F.row_number().over(window)).filter(F.col(_RANK) == 1).drop(_RANK)
 
 
+def value_by(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[Column], name: str) -> DataFrame:
+    """(keys, value of the first row in the order that has one), one row per key with such a row."""
+    usable = df.filter(F.col(value).isNotNull())
+    return first_by(usable.select(*keys, value, *(c.alias(f"_o{i}") for i, c in enumerate(order))), keys, [F.col(f"_o{i}").asc() for i in range(len(order))]).select(
+        *keys, F.col(value).alias(name)
+    )
+
+
 def latest_by(
     df: DataFrame,
     keys: Sequence[str],

@@ -21,6 +21,8 @@ _CELL = "_cell"
 _SLOT = "_slot"
 _SALT = "_salt"
 _DAY_S = 86400
+# Points of one cell that a task should get at most.
+ROWS_PER_TASK = 1_000_000
 
 
 class Grid:
@@ -61,8 +63,8 @@ def salt_hot(
     """Spread the points of crowded cells over several tasks; copy centres to each.
 
     Only cells with more than ``rows_per_task`` points are listed, so the list
-    has at most (all points / rows_per_task) rows, which is what makes it safe
-    to broadcast. Cells below the limit are not copied at all.
+    has at most (all points / rows_per_task) rows; Spark broadcasts it if its size allows.
+    Cells below the limit are not copied at all.
     """
     crowded = (
         points.groupBy(*keys)
@@ -73,8 +75,8 @@ def salt_hot(
     fan = F.coalesce(F.col("_fan"), F.lit(1))
     spread = F.pmod(F.xxhash64(*points.columns), fan).cast("int")
     copies = F.explode(F.sequence(F.lit(0), fan - 1))
-    salted = points.join(F.broadcast(crowded), [*keys], "left").withColumn(_SALT, spread)
-    copied = centres.join(F.broadcast(crowded), [*keys], "left").withColumn(_SALT, copies)
+    salted = points.join(crowded, [*keys], "left").withColumn(_SALT, spread)
+    copied = centres.join(crowded, [*keys], "left").withColumn(_SALT, copies)
     return salted.drop("_fan"), copied.drop("_fan")
 
 
@@ -85,14 +87,14 @@ def geo_join(
     point_at: tuple[str, str],
     centre_at: tuple[str, str],
     distance: str = "distance_km",
-    rows_per_task: int | None = None,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """All (centre, point) pairs within ``km``, with the distance.
 
     Column names of the two sides must differ. Put the smaller side in
     ``centres``: it is the one copied to neighbouring cells. When it is small
-    enough Spark broadcasts it and the points are not shuffled at all. With two
-    large sides, ``rows_per_task`` splits crowded cells.
+    enough Spark broadcasts it and the points are not shuffled at all. Cells with more
+    than ``rows_per_task`` points are split.
     """
     grid = Grid(km)
     near = points.withColumn(_CELL, grid.cell(*point_at))
@@ -151,7 +153,7 @@ def space_time_join(
     point_at: tuple[str, str, str],
     centre_at: tuple[str, str, str],
     condition: Column | None = None,
-    rows_per_task: int | None = 1_000_000,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Pairs with the point after the centre, within ``days`` and ``km``.
 
@@ -178,6 +180,55 @@ def space_time_join(
     return left.join(right, on).drop(*keys)
 
 
+def follow_counts(
+    points: DataFrame,
+    centres: DataFrame,
+    km: float,
+    days: int,
+    point_at: tuple[str, str, str],
+    centre_at: tuple[str, str, str],
+    size: str,
+    centre_size: str,
+    centre_id: str,
+    count: str = "n",
+    largest: str = "largest",
+    rows_per_task: int | None = ROWS_PER_TASK,
+) -> DataFrame:
+    """(centre, day_after, count, largest): smaller points after each centre, by days of 24 clock hours from day 1.
+
+    No pair of single events is made but in the first and the last clock hour of a window. In between a
+    point's hour decides alone, so points are counted by place, hour and size, centres by the same, and
+    the join sees at most one row for each of these. Days without points have no row.
+    """
+    (pt, plat, plon), (ct, clat, clon) = point_at, centre_at
+    span = F.make_dt_interval(days=F.lit(days))
+    events = points.select(F.col(pt).alias("_t"), F.date_trunc("hour", pt).alias("_h"), F.col(plat).alias("_la"), F.col(plon).alias("_lo"), F.col(size).alias("_s"))
+    mains = centres.select(
+        F.col(centre_id).alias("_id"), F.col(ct).alias("_ct"), F.date_trunc("hour", ct).alias("_ch"), F.col(clat).alias("_cla"), F.col(clon).alias("_clo"), F.col(centre_size).alias("_cs")
+    )
+    group = ["_ch", "_cla", "_clo", "_cs"]
+    hours = events.groupBy("_h", "_la", "_lo", "_s").agg(F.count(F.lit(1)).alias("_n"))
+    at = (("_h", "_la", "_lo"), ("_ch", "_cla", "_clo"))
+    smaller = F.col("_s") < F.col("_cs")
+    inner = space_time_join(hours, mains.select(*group).distinct(), km, days, *at, condition=smaller & (F.col("_h") < F.col("_ch") + span), rows_per_task=rows_per_task)
+    day = F.floor((F.unix_seconds("_h") - F.unix_seconds("_ch")) / F.lit(_DAY_S)).cast("bigint") + 1
+    by_day = inner.groupBy(*group, day.alias("day_after")).agg(F.sum("_n").alias("_n"), F.max("_s").alias("_s"))
+    inside = mains.select("_id", *group).join(by_day, group).select("_id", "day_after", "_n", "_s")
+    grid = Grid(km)
+    near = events.withColumn(_CELL, grid.cell("_la", "_lo")).withColumn(_SLOT, F.unix_seconds("_h"))
+    edges = mains.withColumn("_edge", F.explode(F.array(F.col("_ch"), F.col("_ch") + span)))
+    far = grid.copy_around(edges.withColumn(_SLOT, F.unix_seconds("_edge")), "_cla", "_clo", _CELL)
+    keys = [_CELL, _SLOT]
+    if rows_per_task:
+        near, far = salt_hot(near, far, keys, rows_per_task)
+        keys.append(_SALT)
+    on = smaller & (F.col("_t") > F.col("_ct")) & (F.col("_t") <= F.col("_ct") + span) & (haversine_km("_cla", "_clo", "_la", "_lo") <= km)
+    for key in keys:
+        on = on & (F.col(f"c.{key}") == F.col(f"p.{key}"))
+    edge = far.alias("c").join(near.alias("p"), on).select("_id", day.alias("day_after"), F.lit(1).cast("bigint").alias("_n"), "_s")
+    return inside.unionByName(edge).groupBy(F.col("_id").alias(centre_id), "day_after").agg(F.sum("_n").alias(count), F.max("_s").alias(largest))
+
+
 def decluster(
     events: DataFrame,
     km: float,
@@ -187,11 +238,13 @@ def decluster(
     lon: str = "lon",
     magnitude: str = "magnitude",
     event_id: str = "event_id",
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Drop events that follow a larger one within ``days`` and ``km``.
 
     An anti join on (cell, time slot): the possible parents are copied to the
-    cells and slots they can reach, each event looks into its own only.
+    cells and slots they can reach, each event looks into its own only. Crowded cells
+    are split: events stay single, so it does not matter which part holds one.
     """
     grid = Grid(km)
     own = _placed(events, grid, days, (time, lat, lon))
@@ -202,17 +255,19 @@ def decluster(
         F.col(lon).alias("_plon"),
         F.col(magnitude).alias("_pmag"),
     )
-    parents = _reach(parents, grid, days, ("_ptime", "_plat", "_plon")).withColumnsRenamed(
-        {_CELL: "_pcell", _SLOT: "_pslot"}
-    )
+    parents = _reach(parents, grid, days, ("_ptime", "_plat", "_plon"))
+    keys = [_CELL, _SLOT]
+    if rows_per_task:
+        own, parents = salt_hot(own, parents, keys, rows_per_task)
+        keys.append(_SALT)
     window = F.make_dt_interval(days=F.lit(days))
     bigger_before = (
-        (F.col(_CELL) == F.col("_pcell"))
-        & (F.col(_SLOT) == F.col("_pslot"))
-        & (F.col("_pid") != F.col(event_id))
+        (F.col("_pid") != F.col(event_id))
         & (F.col("_pmag") > F.col(magnitude))
         & (F.col("_ptime") < F.col(time))
         & (F.col("_ptime") >= F.col(time) - window)
         & (haversine_km("_plat", "_plon", lat, lon) <= km)
     )
-    return own.join(parents, bigger_before, "left_anti").drop(_CELL, _SLOT)
+    for key in keys:
+        bigger_before = bigger_before & (F.col(f"e.{key}") == F.col(f"p.{key}"))
+    return own.alias("e").join(parents.alias("p"), bigger_before, "left_anti").drop(*keys)

@@ -6,7 +6,7 @@ measured size is under the session threshold and sorts or splits it otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -117,12 +117,13 @@ def link(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
 
 
 def in_set(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    return df.join(keys.select(*on), [*on], "left_semi")
+    """Rows with a match; the keys are made distinct first."""
+    return df.join(keys.select(*on).distinct(), [*on], "left_semi")
 
 
 def not_in_set(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows without a match. A NULL key never matches, so such rows stay."""
-    return df.join(keys.select(*on), [*on], "left_anti")
+    return df.join(keys.select(*on).distinct(), [*on], "left_anti")
 
 
 def exists_flag(
@@ -183,7 +184,3 @@ def acf(
     return pairs.groupBy(*keys, "lag").agg(
         F.count(F.lit(1)).alias("n_pairs"), corr("_earlier", "_x").alias("acf")
     )
-
-
-def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    return df.withColumnsRenamed(dict(names))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import inspect
+import time
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -136,17 +138,34 @@ def table_path(out: str, name: str) -> str:
     return f"{out.rstrip('/')}/{name}"
 
 
+def versions(spark: SparkSession, out: str, name: str) -> list[str]:
+    """Paths of the complete versions of a table, the oldest first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path(out, name))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    found = [s.getPath().toString() for s in files.listStatus(path) if s.isDirectory()]
+    return sorted(p for p in found if path_exists(spark, f"{p}/_SUCCESS"))
+
+
 def save(df: DataFrame, out: str, name: str) -> DataFrame:
-    """Replace a table and return it as read back.
+    """Replace a table by a new version and return it as read back.
 
+    A version counts once it is complete, so a job that fails leaves the table as it was.
+    The version before stays for readers that have begun; older ones are deleted.
     Reading back cuts the lineage at a written table, so a lost executor costs a
     re-read of files and not a re-run of everything before.
     """
-    path = table_path(out, name)
+    spark = df.sparkSession
+    before = versions(spark, out, name)
+    path = f"{table_path(out, name)}/v{time.time_ns():020d}-{uuid.uuid4().hex}"
     keys = SORTED_BY.get(name)
     rows = df.sortWithinPartitions(*keys) if keys else df
-    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
+    for old in before[:-1]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(old)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def build(
@@ -165,8 +184,6 @@ def build(
 
 
 def load(spark: SparkSession, out: str) -> dict[str, DataFrame]:
-    """The tables of an earlier build."""
-    names = ["dim_locations", *MODELS]
-    return {
-        n: spark.read.parquet(table_path(out, n)) for n in names if path_exists(spark, table_path(out, n))
-    }
+    """The tables of an earlier build, each in its newest complete version."""
+    found = {n: versions(spark, out, n) for n in ["dim_locations", *MODELS]}
+    return {n: spark.read.parquet(paths[-1]) for n, paths in found.items() if paths}

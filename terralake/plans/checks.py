@@ -21,19 +21,22 @@ from terralake.sources.seeds import seed
 Check = Callable[[Tables], DataFrame]
 
 
-def _text(*parts: tuple[str, Column]) -> Column:
-    """name=value pairs as one text."""
-    pieces = [
-        F.concat(F.lit(f"{name}="), F.coalesce(value.cast("string"), F.lit("null"))) for name, value in parts
+def _text(*parts: tuple[str, Column, bool]) -> Column:
+    """name=value pairs as one text; doubles with four digits."""
+    shown = [
+        (name, F.format_string("%.4f", F.round(value, 4) + 0.0) if is_double else value.cast("string"), value)
+        for name, value, is_double in parts
     ]
-    return F.concat_ws(", ", *pieces)
+    return F.concat_ws(
+        ", ", *(F.concat(F.lit(f"{name}="), F.when(value.isNull(), "null").otherwise(text)) for name, text, value in shown)
+    )
 
 
 def _verdict(one_row: DataFrame, passed: Column, *observed: str) -> DataFrame:
     """A one-row aggregate as (passed, observed); an unknown outcome fails."""
     return one_row.select(
         F.coalesce(passed, F.lit(False)).alias("passed"),
-        _text(*((c, F.col(c)) for c in observed)).alias("observed"),
+        _text(*((c, F.col(c), one_row.schema[c].dataType.simpleString() == "double") for c in observed)).alias("observed"),
     )
 
 
@@ -179,9 +182,9 @@ CHECKS: tuple[Check, ...] = (
 )
 
 
-def check(t: Tables, skip: Iterable[str] = ()) -> DataFrame:
-    """All expectations as one table."""
-    left_out = set(skip)
+def check(t: Tables, skip: Iterable[str] = (), only: Iterable[str] | None = None) -> DataFrame:
+    """All expectations, or those asked for, as one table."""
+    left_out = set(skip) if only is None else {c.__name__ for c in CHECKS} - set(only)
     results = [
         c(t).select(F.lit(c.__name__).alias("name"), "passed", "observed")
         for c in CHECKS

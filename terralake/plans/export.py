@@ -58,15 +58,22 @@ def first_per_place(df: DataFrame, order: list[str], limit: int) -> DataFrame:
     return ranked.filter(F.col("_rank") <= limit)
 
 
-def place_routes(t: Tables, anomalies_since: str) -> dict[str, DataFrame]:
+# Rows that the routes of a place are published with.
+ANOMALIES_PER_PLACE, BIRD_DAYS_PER_PLACE = 5000, 90
+
+
+def place_routes(
+    t: Tables, anomalies_since: str, anomalies: int = ANOMALIES_PER_PLACE, bird_days: int = BIRD_DAYS_PER_PLACE
+) -> dict[str, DataFrame]:
+    """The newest rows of every place, as many as asked for."""
     recent = t["gold_temperature_anomaly"].filter(
         F.col("local_date") >= F.lit(anomalies_since).cast("date")
     )
     normals = t["gold_climatology"].withColumn("_rank", F.col("doy"))
     return {
-        "weather-anomaly": first_per_place(recent, ["-local_date", "kind"], q.MAX_LIMIT),
+        "weather-anomaly": first_per_place(recent, ["-local_date", "kind"], anomalies),
         "climatology": normals,
-        "birds-daily": first_per_place(t["gold_bird_daily"], ["-obs_date"], 90),
+        "birds-daily": first_per_place(t["gold_bird_daily"], ["-obs_date"], bird_days),
     }
 
 
@@ -97,7 +104,8 @@ def _retire(spark: SparkSession, out: str, routes: set[str]) -> None:
 
 
 def export_marts(
-    spark: SparkSession, t: Tables, out: str, anomalies_since: str = "2025-01-01"
+    spark: SparkSession, t: Tables, out: str, anomalies_since: str = "2025-01-01",
+    anomalies: int = ANOMALIES_PER_PLACE, bird_days: int = BIRD_DAYS_PER_PLACE,
 ) -> DataFrame:
     """Write all routes and the manifest (route, rows); returns the manifest."""
     written: dict[str, int] = {}
@@ -108,7 +116,7 @@ def export_marts(
         for part, df in parts:
             name = f"{route}/{part}"
             written[name] = _write(df, out, name)
-    for route, df in place_routes(t, anomalies_since).items():
+    for route, df in place_routes(t, anomalies_since, anomalies, bird_days).items():
         written[route] = _write(df, out, route, by_place=True)
     _retire(spark, out, before - set(written))
     manifest = spark.createDataFrame(sorted(written.items()), "route string, rows bigint")

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from terralake.functions import (
     ace,
+    greatest_text,
     hours_crossed,
+    least_text,
     local_date,
     ratio,
     round_if,
     round_to_long,
     safe_corr,
-    value_at_max,
     value_at_min,
 )
-from terralake.operators.dedup import latest_by
+from terralake.operators.dedup import latest_by, value_by
 from terralake.operators.geo import geo_join
 from terralake.operators.joins import bracket, join_dim
 from terralake.operators.reshape import union_named
@@ -34,28 +35,40 @@ def gold_cyclones(t: Tables, rounding: bool = True) -> DataFrame:
     """One row per storm. The peak is the earliest point of highest wind."""
     points = t["silver_cyclone_tracks"]
     wind = F.col("wind_kt")
-    earliest = -F.unix_micros("time")
-    major = F.col("usa_sshs") >= 3
-    at_peak = lambda c: value_at_max(c, wind, earliest)
-    storms = points.groupBy("sid").agg(
+    # Numbers by storm and labels first, in hash aggregates; a storm has few labels.
+    by_labels = points.groupBy("sid", "basin", "subbasin", "name").agg(
         F.min("season").alias("season"),
-        F.min("basin").alias("basin"),
-        F.min("subbasin").alias("subbasin"),
-        F.max("name").alias("name"),
         F.min("time").alias("first_seen"),
         F.max("time").alias("last_seen"),
         F.count(F.lit(1)).alias("track_points"),
         F.max(wind).alias("max_wind_kt"),
         F.min("pressure_mb").alias("min_pressure_mb"),
         F.max("usa_sshs").alias("max_category"),
-        round_if(ace(wind, "is_synoptic"), 4, rounding).alias("ace"),
+        ace(wind, "is_synoptic").alias("ace"),
         F.bool_or("is_tropical_storm").alias("reached_tropical_storm"),
         F.bool_or("is_hurricane").alias("reached_hurricane"),
-        F.bool_or(major).alias("reached_major_hurricane"),
+        F.bool_or(F.col("usa_sshs") >= 3).alias("reached_major_hurricane"),
         F.bool_or(F.col("dist2land_km") == 0).alias("made_landfall"),
         F.min("dist2land_km").alias("min_dist_to_land_km"),
-        at_peak(F.struct("lat", "lon", "time")).alias("peak"),
     )
+    storms = by_labels.groupBy("sid").agg(
+        F.min("season").alias("season"),
+        least_text("basin").alias("basin"),
+        least_text("subbasin").alias("subbasin"),
+        greatest_text("name").alias("name"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.sum("track_points").alias("track_points"),
+        F.max("max_wind_kt").alias("max_wind_kt"),
+        F.min("min_pressure_mb").alias("min_pressure_mb"),
+        F.max("max_category").alias("max_category"),
+        round_if(F.sum("ace"), 4, rounding).alias("ace"),
+        *(F.bool_or(c).alias(c) for c in ("reached_tropical_storm", "reached_hurricane", "reached_major_hurricane", "made_landfall")),
+        F.min("min_dist_to_land_km").alias("min_dist_to_land_km"),
+    )
+    place = points.filter(wind.isNotNull()).select("sid", "wind_kt", "time", F.struct("lat", "lon", "time").alias("at"))
+    peaks = value_by(place, ["sid"], "at", [-F.col("wind_kt"), F.col("time")], "peak")
+    storms = storms.join(peaks, "sid", "left")
     days = hours_crossed("first_seen", "last_seen") / F.lit(24.0)
     return storms.select(
         *("sid", "season", "basin", "subbasin", "name", "first_seen", "last_seen"),

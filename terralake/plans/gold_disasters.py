@@ -20,16 +20,26 @@ LISTED_DEATHS = 10000
 def gold_bird_daily(t: Tables, rounding: bool = True) -> DataFrame:
     """Bird counts per location and day beside the weather of that day.
 
-    Birds are grouped first; the weather, one row per day, is joined to the
-    result, so observations are shuffled once.
+    Birds are counted by species and by checklist first, which combines before the shuffle
+    and needs no copy of the observations; the weather, one row per day, is joined to the result.
     """
-    day = F.to_date("obs_datetime")
-    birds = t["silver_bird_observations"].groupBy("location_id", day.alias("obs_date")).agg(
-        F.count_distinct("species_code").alias("species_richness"),
-        F.count(F.lit(1)).alias("observations"),
-        F.count_distinct("checklist_id").alias("checklists"),
-        F.sum("how_many").alias("individuals_counted"),
-        F.count("how_many").alias("observations_with_count"),
+    seen = t["silver_bird_observations"].withColumn("obs_date", F.to_date("obs_datetime"))
+    days = ["location_id", "obs_date"]
+    by_species = seen.groupBy(*days, "species_code").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("how_many").alias("counted"), F.count("how_many").alias("with_count")
+    )
+    birds = by_species.groupBy(*days).agg(
+        F.count("species_code").alias("species_richness"),
+        F.sum("rows").alias("observations"),
+        F.sum("counted").alias("individuals_counted"),
+        F.sum("with_count").alias("observations_with_count"),
+    )
+    lists = seen.select(*days, "checklist_id").distinct().groupBy(*(F.col(c).alias(f"of_{c}") for c in days)).agg(
+        F.count("checklist_id").alias("checklists")
+    )
+    same_day = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in days]
+    birds = birds.join(lists, same_day).select(
+        *days, "species_richness", "observations", "checklists", "individuals_counted", "observations_with_count"
     )
     weather = t["gold_weather_daily"].select(
         "location_id",

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from terralake.functions import (
     ace,
     classify,
-    count_distinct_if,
     mean_if,
     ordered_concat,
     ratio,
@@ -150,11 +149,15 @@ def gold_month_panel(
         F.col("intensity").alias("oni_intensity"),
     )
     climate = _climate(t, month_of("local_date"), r).drop("heat_records")
-    tracks = t["silver_cyclone_tracks"].groupBy(*month_of("time")).agg(
-        r(ace("wind_kt", "is_synoptic"), 3).alias("cyclone_ace"),
-        F.count_distinct("sid").alias("cyclones_active"),
-        count_distinct_if(F.col("is_hurricane"), "sid").alias("hurricanes_active"),
-        F.max("wind_kt").alias("max_wind_kt"),
+    # Storm by storm first: no point is copied for the distinct counts.
+    by_storm = t["silver_cyclone_tracks"].groupBy(*month_of("time"), "sid").agg(
+        ace("wind_kt", "is_synoptic").alias("ace"), F.bool_or("is_hurricane").alias("hurricane"), F.max("wind_kt").alias("wind")
+    )
+    tracks = by_storm.groupBy("year", "month").agg(
+        r(F.sum("ace"), 3).alias("cyclone_ace"),
+        F.count("sid").alias("cyclones_active"),
+        F.count_if(F.col("hurricane") & F.col("sid").isNotNull()).alias("hurricanes_active"),
+        F.max("wind").alias("max_wind_kt"),
     )
     formed = t["gold_cyclones"].groupBy(*month_of("first_seen")).agg(
         F.count(F.lit(1)).alias("cyclones_formed")

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from terralake.functions import (
     classify,
-    hours_crossed,
-    int_div,
     local_date,
     local_ts,
     ratio,
@@ -20,7 +18,7 @@ from terralake.functions import (
     sum_if,
 )
 from terralake.operators.aggregates import with_total
-from terralake.operators.geo import decluster, geo_join, space_time_join, within_reach
+from terralake.operators.geo import decluster, follow_counts, geo_join, within_reach
 from terralake.operators.joins import left_zero
 from terralake.operators.windows import group_total, running_sum
 from terralake.plans.silver import Tables
@@ -109,24 +107,16 @@ def gold_quake_sequences(
         F.col("lat").alias("m_lat"),
         F.col("lon").alias("m_lon"),
     )
-    # Only events near a main shock are shuffled, and events that agree in time,
-    # place and magnitude travel as one weighted row. A main shock cannot be its
-    # own aftershock: an aftershock is strictly later.
+    # Only events near a main shock are shuffled. A main shock cannot be its own
+    # aftershock: an aftershock is strictly later.
     where = (("time", "lat", "lon"), ("mainshock_time", "m_lat", "m_lon"))
     later = quakes.filter(F.col("magnitude") >= completeness).select("time", "lat", "lon", "magnitude")
-    weighted = (
-        within_reach(later, mains, km, days, *where)
-        .groupBy("time", "lat", "lon", "magnitude")
-        .agg(F.count(F.lit(1)).alias("n"))
+    near = within_reach(later, mains, km, days, *where)
+    counts = follow_counts(
+        near, mains, km, days, *where, "magnitude", "mainshock_mag", "mainshock_id", "aftershocks", "max_aftershock_mag"
     )
-    smaller = F.col("magnitude") < F.col("mainshock_mag")
-    pairs = space_time_join(weighted, mains, km, days, *where, condition=smaller)
-    day_after = int_div(hours_crossed("mainshock_time", "time"), 24) + 1
-    per_day = pairs.groupBy(
-        "mainshock_id", "mainshock_place", "mainshock_mag", "mainshock_time", day_after.alias("day_after")
-    ).agg(
-        F.sum("n").alias("aftershocks"),
-        round_if(F.max("magnitude"), 1, rounding).alias("max_aftershock_mag"),
+    per_day = mains.drop("m_lat", "m_lon").join(counts, "mainshock_id").withColumn(
+        "max_aftershock_mag", round_if("max_aftershock_mag", 1, rounding)
     )
     # At most ``days`` + 1 rows per main shock reach this window.
     return per_day.withColumn("sequence_total", group_total("aftershocks", ["mainshock_id"]))

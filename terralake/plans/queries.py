@@ -1,8 +1,8 @@
 """Read queries over the built tables.
 
 A query returns a DataFrame, or a dict of them where it has several parts. Every
-order ends in a unique key. Row limits are arguments with the defaults below and
-never exceed ``MAX_LIMIT``.
+order ends in a unique key. Row limits are arguments without a ceiling; what cannot be
+answered in full is refused with a ValueError.
 """
 
 from __future__ import annotations
@@ -14,15 +14,24 @@ from terralake.functions import mean_if, ratio, ratio_of_sums, round_if, safe_co
 from terralake.operators.joins import with_scalar
 from terralake.operators.reshape import union_all
 from terralake.operators.rows import distinct_top_k, opt, since, sort_by, sort_first, top_k, where_opt
+from terralake.plans.gold_cyclones import PASSAGE_KM
+from terralake.plans.gold_quakes import NEAR_KM
 from terralake.plans.silver import Tables
 from terralake.sources.seeds import seed
 
-MAX_LIMIT = 5000
 Parts = dict[str, DataFrame]
 
 
-def _limit(n: int, most: int = MAX_LIMIT) -> int:
-    return max(1, min(n, most))
+def _limit(n: int) -> int:
+    if n < 1:
+        raise ValueError(f"a limit must be at least 1, not {n}")
+    return n
+
+
+def _within(km: float, built_km: float) -> float:
+    if km > built_km:
+        raise ValueError(f"the built table reaches {built_km} km, not {km}; build it with a larger radius")
+    return km
 
 
 def _date(value: str) -> Column:
@@ -114,16 +123,16 @@ _QUAKE_COLUMNS = ("magnitude", "magnitude_type", "depth_km", "depth_class", "pla
 
 
 def q_quakes(
-    t: Tables, near: str | None = None, radius_km: float = 700, min_magnitude: float = 4.5,
-    days_back: int | None = None, limit: int = 200, as_of: str | None = None,
+    t: Tables, near: str | None = None, radius_km: float = NEAR_KM, min_magnitude: float = 4.5,
+    days_back: int | None = None, limit: int = 200, as_of: str | None = None, built_km: float = NEAR_KM,
 ) -> DataFrame:
-    """Newest events, worldwide or around a city."""
+    """Newest events, worldwide or around a city, at most as far off as the pairs that were built."""
     tail = ("lat", "lon", "tsunami", "alert", "url")
     if near is None:
         rows = t["silver_earthquakes"].select("event_id", "time", *_QUAKE_COLUMNS, *tail)
     else:
         rows = where_opt(
-            t["gold_quakes_near_city"], _eq("location_id")(near), _at_most("distance_km")(radius_km)
+            t["gold_quakes_near_city"], _eq("location_id")(near), _at_most("distance_km")(_within(radius_km, built_km))
         ).select("event_id", "time", "local_time", *_QUAKE_COLUMNS, "distance_km", *tail)
     rows = since(rows.filter(F.col("magnitude") >= min_magnitude), "time", days_back, as_of)
     return top_k(rows, ["-time", "event_id"], _limit(limit))
@@ -178,7 +187,7 @@ def q_aftershocks(t: Tables, limit: int = 30, rounding: bool = True) -> Parts:
         r(F.lit(0.55) * expected, 0).alias("predicted_low"),
         r(F.lit(1.85) * expected, 0).alias("predicted_high"),
     )
-    recent = top_k(forecast, ["-mainshock_time", "mainshock_id"], _limit(limit, 500))
+    recent = top_k(forecast, ["-mainshock_time", "mainshock_id"], _limit(limit))
     return {"recent_sequences": recent, "skill": gate}
 
 
@@ -323,12 +332,12 @@ def q_deadliest(t: Tables, limit: int = 30) -> DataFrame:
         "location", "deaths_low", "deaths_high", "deaths_representative",
         "deaths_uncertainty_ratio", "estimate_confidence", "estimate_kind",
     )
-    return top_k(rows, ["-deaths_representative", "event_key"], _limit(limit, 200))
+    return top_k(rows, ["-deaths_representative", "event_key"], _limit(limit))
 
 
 def q_per_capita(t: Tables, limit: int = 25) -> DataFrame:
     order = ["-deaths_per_million", "event_key"]
-    return top_k(t["gold_catastrophes_per_capita"], order, _limit(limit, 200)).select(
+    return top_k(t["gold_catastrophes_per_capita"], order, _limit(limit)).select(
         "family", "event_name", "subtype", "year", "deaths_representative", "world_population",
         "deaths_per_million", "one_in_every", "pct_of_humanity", "deaths_per_million_low",
         "deaths_per_million_high", "estimate_kind", "population_source",
@@ -386,12 +395,13 @@ def q_cyclone_seasons(
 
 
 def q_cyclones_near(
-    t: Tables, location: str, max_distance_km: float = 500, limit: int = 200
+    t: Tables, location: str, max_distance_km: float = PASSAGE_KM, limit: int = 200, built_km: float = PASSAGE_KM
 ) -> DataFrame:
+    """Storms that passed a city, at most as far off as the passages that were built."""
     rows = where_opt(
         t["gold_cyclones_near_city"],
         _eq("location_id")(location),
-        _at_most("min_distance_km")(max_distance_km),
+        _at_most("min_distance_km")(_within(max_distance_km, built_km)),
     )
     return top_k(rows, ["-closest_time", "sid"], _limit(limit))
 

@@ -34,12 +34,17 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a private one in tests only."""
+    """The shared checkpoint folder named by the cluster; a private one only where driver and executors are one process.
+
+    RuntimeError on a cluster without the setting: executors would write to their own disks.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     if not configured:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="terralake-checkpoint-")
     spark.sparkContext.setCheckpointDir(configured)
     return configured

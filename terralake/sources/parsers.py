@@ -1,5 +1,7 @@
 """Raw payloads to bronze rows, parsed on the executors.
 
+An unreadable page fails the job; `split_pages` sets such pages aside beforehand, with the reason.
+
 API answers are read as whole documents (one page of an API per file, so their
 size is bounded by the page size); the cyclone archive and the ONI list are read
 line by line and split across tasks.
@@ -7,7 +9,7 @@ line by line and split across tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,44 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(stem.alias("name"), "value")
 
 
+# Where the pages of each payload hold their records.
+def _array_at(path: str) -> Column:
+    return F.try_variant_get(F.try_parse_json("value"), path, "array<variant>").isNotNull()
+
+
+def _something_at(path: str) -> Column:
+    return F.try_variant_get(F.try_parse_json("value"), path, "variant").isNotNull()
+
+
+PAGE_ROOTS: dict[str, Callable[[], Column]] = {
+    "weather": lambda: _array_at("$") | _something_at("$.hourly"),
+    "quakes": lambda: _array_at("$.features"),
+    "birds": lambda: _array_at("$"),
+    "hazards": lambda: _array_at("$.items"),
+    "worldbank": lambda: _something_at("$[1]"),
+    "phenology": lambda: _something_at("$.count") | _something_at("$.facets"),
+}
+
+
+def split_pages(raw: DataFrame, payload: str) -> tuple[DataFrame, DataFrame]:
+    """(readable pages, rejected pages with ``failed``): broken JSON, or no records where they should be.
+
+    Blank pages are readable and hold nothing.
+    """
+    blank = F.coalesce(F.trim("value"), F.lit("")) == ""
+    sound = blank | F.coalesce(PAGE_ROOTS[payload](), F.lit(False))
+    reason = F.when(F.try_parse_json("value").isNull(), "page is no JSON").otherwise(f"page holds no {payload} records")
+    return raw.filter(sound), raw.filter(~sound).withColumn("failed", F.array(reason))
+
+
+def _readable(raw: DataFrame, payload: str) -> DataFrame:
+    """The pages, each checked when it is read: an unreadable one fails the job instead of giving no rows."""
+    blank = F.coalesce(F.trim("value"), F.lit("")) == ""
+    sound = blank | F.coalesce(PAGE_ROOTS[payload](), F.lit(False))
+    told = F.raise_error(F.concat(F.lit(f"unreadable {payload} page: "), F.substring("value", 1, 60))).cast("string")
+    return raw.withColumn("value", F.when(sound, F.col("value")).otherwise(told))
+
+
 def conform(df: DataFrame, schema) -> DataFrame:
     """Columns in schema order and type."""
     return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
@@ -60,7 +100,7 @@ def parse_weather(raw: DataFrame, location_ids: Sequence[str], locations: DataFr
     arrays = ", ".join(f"{v}: array<double>" for v in WEATHER_VARIABLES)
     block = f"array<struct<hourly: struct<time: array<string>, {arrays}>>>"
     requested = F.array(*(F.lit(i) for i in location_ids))
-    blocks = raw.select(F.posexplode(F.from_json("value", block)).alias("_pos", "b")).select(
+    blocks = _readable(raw, "weather").select(F.posexplode(F.from_json("value", block)).alias("_pos", "b")).select(
         F.get(requested, F.col("_pos")).alias("location_id"), F.col("b.hourly").alias("h")
     )
     hours = F.size("h.time")
@@ -75,8 +115,9 @@ def parse_weather(raw: DataFrame, location_ids: Sequence[str], locations: DataFr
         .select("location_id", "r.*")
         .withColumns({"time": F.try_to_timestamp("time"), "kind": F.lit(kind)})
     )
+    # Rows of an unknown place keep no coordinates, which validation rejects.
     places = locations.select(F.col("id").alias("location_id"), "lat", "lon")
-    return conform(rows.join(places, "location_id"), WEATHER)
+    return conform(rows.join(places, "location_id", "left"), WEATHER)
 
 
 def parse_quakes(raw: DataFrame) -> DataFrame:
@@ -88,7 +129,7 @@ def parse_quakes(raw: DataFrame) -> DataFrame:
         "mmi: double, net: string, url: string>>"
     )
     doc = F.from_json("value", f"struct<features: array<{feature}>>")
-    f = raw.select(F.explode(doc["features"]).alias("f")).select("f.id", "f.properties.*", "f.geometry.coordinates")
+    f = _readable(raw, "quakes").select(F.explode(doc["features"]).alias("f")).select("f.id", "f.properties.*", "f.geometry.coordinates")
     named = f.select(
         F.col("id").alias("event_id"),
         F.timestamp_millis("time").alias("time"),
@@ -121,7 +162,7 @@ def parse_birds(raw: DataFrame, radius_km: int) -> DataFrame:
         "howMany: bigint, lat: double, lng: double, locId: string, locName: string, "
         "obsValid: boolean, obsReviewed: boolean, subId: string>>"
     )
-    o = raw.select("name", F.explode(F.from_json("value", item)).alias("o")).select("name", "o.*")
+    o = _readable(raw, "birds").select("name", F.explode(F.from_json("value", item)).alias("o")).select("name", "o.*")
     text = F.trim("obsDt")
     minute, day = (
         F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)))
@@ -164,7 +205,7 @@ def parse_hazards(raw: DataFrame, hazard: str) -> DataFrame:
         "earthquakeEventId: bigint, tsunamiEventId: bigint, publish: boolean>"
     )
     doc = F.from_json("value", f"struct<items: array<{item}>>")
-    i = raw.select(F.explode(doc["items"]).alias("i")).select("i.*")
+    i = _readable(raw, "hazards").select(F.explode(doc["items"]).alias("i")).select("i.*")
     volcano_name = F.col("name") if hazard == "volcano" else F.lit(None)
     named = i.select(
         F.col("id").alias("source_id"),
@@ -272,7 +313,7 @@ def parse_country_metadata(raw: DataFrame) -> DataFrame:
         "incomeLevel: struct<value: string>>>"
     )
     rows = F.from_json(F.get_json_object("value", "$[1]"), item)
-    c = raw.select(F.explode(rows).alias("c")).select("c.*")
+    c = _readable(raw, "worldbank").select(F.explode(rows).alias("c")).select("c.*")
     return c.select(
         F.col("id").alias("code"),
         F.col("iso2Code").alias("iso2"),
@@ -290,7 +331,7 @@ def parse_population(raw: DataFrame, metadata: DataFrame) -> DataFrame:
         "date: string, value: double>>"
     )
     rows = F.from_json(F.get_json_object("value", "$[1]"), item)
-    i = raw.select(F.explode(rows).alias("i")).select("i.*")
+    i = _readable(raw, "worldbank").select(F.explode(rows).alias("i")).select("i.*")
     named = i.select(
         F.nullif("countryiso3code", F.lit("")).alias("code"),
         F.coalesce(F.nullif("countryiso3code", F.lit("")), "country.id", F.lit("?")).alias("country_id"),
@@ -310,7 +351,7 @@ def parse_phenology(raw: DataFrame) -> DataFrame:
     The month map is read by key, so no pivot and no shuffle; absent months are 0.
     """
     schema = "struct<count: bigint, facets: array<struct<counts: array<struct<name: string, count: bigint>>>>>"
-    doc = raw.withColumn("d", F.from_json("value", schema))
+    doc = _readable(raw, "phenology").withColumn("d", F.from_json("value", schema))
     counts = F.coalesce(F.get("d.facets", F.lit(0))["counts"], F.array().cast("array<struct<name: string, count: bigint>>"))
     months = F.map_from_entries(
         F.transform(counts, lambda c: F.struct(c["name"].cast("int"), c["count"]))

@@ -150,7 +150,12 @@ def test_queries_run_on_built_tables(spark, built):
     t = built["tables"]
     assert {r.dataset for r in q.q_health(t).collect()} >= {"earthquakes", "birds"}
     assert q.q_locations(t).count() == 49
-    assert q.q_cyclones(t, limit=10**9).count() <= q.MAX_LIMIT
+    assert q.q_cyclones(t, limit=10**9).count() == t["gold_cyclones"].filter("max_wind_kt >= 0").count()
+    quakes = t["silver_earthquakes"].filter("magnitude >= -100").count()
+    assert q.q_quakes(t, min_magnitude=-100, limit=10**7).count() == quakes
+    for refused in (lambda: q.q_quakes(t, limit=0), lambda: q.q_quakes(t, near="x", radius_km=3000), lambda: q.q_cyclones_near(t, "x", 501)):
+        with pytest.raises(ValueError):
+            refused()
     assert q.q_aftershocks(t)["recent_sequences"].isEmpty()
     deaths = [r.deaths for r in q.q_disasters(t, hazard="volcano", min_deaths=10, limit=5).collect()]
     assert deaths == sorted(deaths, reverse=True) and len(deaths) == 5
@@ -178,5 +183,45 @@ def test_export_writes_the_same_rows_twice_and_retires_stale_routes(spark, built
     export_marts(spark, built["tables"], str(b), "1990-01-01")
     assert content(a) == content(b) and not retired.exists()
     assert not any("null" in route for route in manifest) and len(manifest) > len(ROUTES)
-    assert manifest["locations/all"] == 49 and manifest["panels/month/all"] == 108
+    assert manifest["locations/all"] == 49 and manifest["panels/month/all"] == 77 * 12
     assert Path(a / "locations" / "all").exists()
+
+
+def test_a_failed_second_build_leaves_the_old_table(spark, tmp_path):
+    from terralake.plans.build import save, versions
+
+    save(spark.range(5).toDF("v"), str(tmp_path), "silver_oni")
+    broken = spark.range(5).select(F.when(F.col("id") == 3, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).cast("bigint").alias("v"))
+    with pytest.raises(Exception, match="lost"):
+        save(broken, str(tmp_path), "silver_oni")
+    assert sorted(rows(load(spark, str(tmp_path))["silver_oni"])) == [(k,) for k in range(5)]
+    begun = load(spark, str(tmp_path))["silver_oni"]
+    save(spark.range(7).toDF("v"), str(tmp_path), "silver_oni")
+    assert begun.count() == 5 and load(spark, str(tmp_path))["silver_oni"].count() == 7
+    save(spark.range(9).toDF("v"), str(tmp_path), "silver_oni")
+    assert len(versions(spark, str(tmp_path), "silver_oni")) == 2
+
+
+def test_a_second_session_does_not_touch_staged_tables(spark):
+    from conftest import SF
+    from workload.domain import Domain
+
+    first = Domain(spark, SF)
+    table = first["silver_oni"]
+    n = table.count()
+    assert Domain(spark.newSession(), SF)["silver_oni"].count() == n == table.count()
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from terralake.session import ensure_checkpoint_dir
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session)

@@ -15,7 +15,7 @@ FLOAT_COLUMNS: dict[str, str] = {
     "j5_panel_star": "oni_max",
     "j6_circular_window": "temp_max_mean",
     "j7_geo_join": "distance_km",
-    "j8_space_time_join": "magnitude",
+    "j8_space_time_join": "largest",
     "j10_literal_cross": "anomaly_c",
     "j11_walk_forward": "mean_train mean_test",
     "j13_causal_link": "eq_magnitude",
@@ -125,6 +125,12 @@ FLOAT_COLUMNS: dict[str, str] = {
     "c2_season_totals": "ace ace_mean",
     "c3_anchored_line": "mag_bin log10_n_cumulative log10_n_fitted",
     "c4_year_overlay": "temp_mean_avg temp_mean_p05 temp_mean_p95 temp_now",
+    "src5_weather_pages": "lat lon temperature_2m precipitation pressure_msl",
+    "src6_quake_pages": "magnitude lat lon depth_km",
+    "src8_hazard_pages": "eq_magnitude",
+    "src9_track_csv": "lat lon usa_wind_kt",
+    "src10_oni_lines": "sst_c anomaly_c",
+    "snk1_append_and_read": "sst_c anomaly_c",
 }
 
 DATE_COLUMNS: dict[str, str] = {

@@ -9,7 +9,7 @@ that de-duplication meets very hot keys.
 from __future__ import annotations
 
 import threading
-import zlib
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,8 +36,6 @@ OPTIONS: dict[str, Mapping[str, object]] = {
         "first_year": 1995,
         "min_events": 1,
     },
-    "gold_year_panel": {"years": (1990, 2010)},
-    "gold_month_panel": {"years": (1994, 2002)},
     "silver_epidemics": {"as_of": "2026-01-01"},
 }
 
@@ -420,8 +418,8 @@ class Domain(LazyTables):
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.driver = Driver(spark, sf_dir)
         self.spark = self.driver.spark
-        label = f"{self.spark.sparkContext.applicationId}-{zlib.crc32(self.driver.dir.encode()):08x}"
-        folder = f"{ensure_checkpoint_dir(self.spark)}/tables-{label}"
+        # A folder of its own: another session's Domain never replaces files that this one's frames read.
+        folder = f"{ensure_checkpoint_dir(self.spark)}/tables-{uuid.uuid4().hex}"
         self._lock = threading.RLock()
         super().__init__(
             {}, rounding=False, options=OPTIONS, stage=lambda df, name: save(df, folder, name)

@@ -481,7 +481,7 @@ CTES: dict[str, str] = {
                + (q.quakes_m45 IS NOT NULL)::INTEGER + (d.noaa_disasters IS NOT NULL)::INTEGER
                + (p.world_population IS NOT NULL)::INTEGER + (ep.epidemics_active IS NOT NULL)::INTEGER AS sources_available,
                ifnull(h.seen, false) AS milestone_year
-        FROM range(1990, 2011) y(year)
+        FROM range(1900, 2027) y(year)
         LEFT JOIN (SELECT year(local_date) AS year, avg(anomaly_c) AS temp_anomaly_mean,
                           100 * avg(coalesce(extreme_heat, false)::INTEGER) AS pct_extreme_heat_days,
                           count(*) FILTER (record_heat) AS heat_records
@@ -504,10 +504,10 @@ CTES: dict[str, str] = {
         LEFT JOIN (SELECT year, population_mid AS world_population, source_kind AS population_source FROM gold_world_population) p
                ON p.year = y.year
         LEFT JOIN (SELECT v.year, count(*) AS epidemics_active, string_agg(name, ' · ' ORDER BY start_year, id) AS epidemic_names
-                   FROM range(1990, 2011) v(year), silver_epidemics WHERE v.year BETWEEN start_year AND ifnull(end_year, 2026)
+                   FROM range(1900, 2027) v(year), silver_epidemics WHERE v.year BETWEEN start_year AND ifnull(end_year, 2026)
                    GROUP BY 1) ep ON ep.year = y.year
         LEFT JOIN (SELECT v.year, bool_or(category = 'observacion') AS seen, string_agg(name, ' · ' ORDER BY start_year, id) AS milestones
-                   FROM range(1990, 2011) v(year), silver_historical_events WHERE v.year BETWEEN start_year AND ifnull(end_year, start_year)
+                   FROM range(1900, 2027) v(year), silver_historical_events WHERE v.year BETWEEN start_year AND ifnull(end_year, start_year)
                    GROUP BY 1) h ON h.year = y.year""",
     "gold_year_panel": """
         SELECT * EXCLUDE (step), sum(coalesce(step, 0)) OVER (ORDER BY year)::BIGINT AS coverage_regime,
@@ -516,7 +516,7 @@ CTES: dict[str, str] = {
     "month_base": """
         SELECT y.year::INTEGER AS year, m.month::INTEGER AS month, make_date(y.year, m.month, 1) AS month_start, o.* EXCLUDE (year, month), c.* EXCLUDE (year, month),
                t.* EXCLUDE (year, month), g.cyclones_formed, q.* EXCLUDE (year, month), d.* EXCLUDE (year, month), b.* EXCLUDE (year, month)
-        FROM range(1994, 2003) y(year) CROSS JOIN range(1, 13) m(month)
+        FROM range(1950, 2027) y(year) CROSS JOIN range(1, 13) m(month)
         LEFT JOIN (SELECT year, season_index AS month, anomaly_c AS oni, phase AS oni_phase, intensity AS oni_intensity FROM silver_oni) o
                ON (o.year, o.month) = (y.year, m.month)
         LEFT JOIN (SELECT year(local_date) AS year, month(local_date) AS month, avg(anomaly_c) AS temp_anomaly_mean,
