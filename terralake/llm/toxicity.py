@@ -96,7 +96,8 @@ def labelled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     """(text, toxic) of the rows with a label in the folds; a row labelled twice is toxic if any label says so."""
     marks = labels.filter(F.col(label_col).isNotNull() & which).groupBy(F.col(id_col).alias("marked")).agg((F.max(label_col) > 0).alias("toxic"))
     texts = df.filter(F.col(text_col).isNotNull() & which).select(F.col(id_col).alias("marked"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(marks, "marked")
+    # Always a sort-merge join: the labels grow with the texts, and the plan is the same at every size.
+    return texts.join(marks.hint("merge"), "marked")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
