@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from terralake.llm.common import id_and_text, map_texts, table, with_texts
 
 #: Edits allowed for each character of an item.
-RATE = 0.05
+RATE = 0.08
 #: Items with fewer characters say nothing about where they came from.
 LEAST_CHARS = 24
 #: Characters of items that one pass over the documents looks for; more items take more passes.
