@@ -77,30 +77,30 @@ FLAGSHIP_IDS = (
     "ushuaia",
 )
 
-# id|name|pathogen|disease|start|end|deaths low|deaths high|regions|confidence|source
+# id|name|pathogen|disease|start|end|deaths low|deaths high|regions|confidence|source|note
 EPIDEMIC_ROWS = """
-plaga-de-atenas|Plaga de Atenas|Desconocido|Desconocida|-430|-426|50000|100000|Atenas y el Ática|baja|Tucídides
-peste-antonina|Peste Antonina|Probablemente viruela|Viruela (probable)|165|180|5000000|10000000|Imperio romano|baja|Historiografía romana
-peste-de-cipriano|Peste de Cipriano|Desconocido|Desconocida|249|262|1000000|5000000|Imperio romano|baja|Fuentes tardorromanas
-plaga-de-justiniano|Plaga de Justiniano|Yersinia pestis|Peste bubónica|541|549|15000000|100000000|Imperio bizantino, Mediterráneo, Oriente Próximo|baja|Estimaciones clásicas
-peste-negra|Peste negra|Yersinia pestis|Peste bubónica y neumónica|1346|1353|75000000|200000000|Europa, Norte de África, Oriente Próximo, Asia Central|media|Consenso historiográfico
-viruela-americas|Viruela en América|Variola major|Viruela|1520|1600|25000000|56000000|América, tras el contacto europeo|baja|Estimaciones demográficas
-cocoliztli-1545|Epidemia de cocoliztli|Posiblemente Salmonella enterica Paratyphi C|Fiebre hemorrágica|1545|1548|5000000|15000000|Nueva España (actual México)|baja|ADN antiguo
-gran-peste-de-londres|Gran peste de Londres|Yersinia pestis|Peste bubónica|1665|1666|70000|100000|Londres|media|Registros parroquiales
-tercera-pandemia-peste|Tercera pandemia de peste|Yersinia pestis|Peste bubónica|1855|1960|12000000|15000000|China e India principalmente; alcance global|media|Registros coloniales
-gripe-rusa-1889|Gripe rusa|Virus gripal (subtipo discutido)|Gripe|1889|1890|300000|1000000|Global|baja|Estadísticas europeas
-sexta-pandemia-colera|Sexta pandemia de cólera|Vibrio cholerae|Cólera|1899|1923|800000|1500000|India, Oriente Próximo, Rusia, Norte de África|media|Registros sanitarios
-gripe-1918|Pandemia de gripe de 1918|Virus gripal A/H1N1|Gripe|1918|1920|17400000|100000000|Global|media|Estimaciones revisadas
-tifus-rusia-1918|Epidemia de tifus en Rusia|Rickettsia prowazekii|Tifus epidémico|1918|1922|2000000|3000000|Rusia y Europa del Este|baja|Estimaciones de época
-gripe-asiatica-1957|Gripe asiática|Virus gripal A/H2N2|Gripe|1957|1958|1000000|4000000|Global|media|OMS, retrospectiva
-gripe-hong-kong-1968|Gripe de Hong Kong|Virus gripal A/H3N2|Gripe|1968|1970|1000000|4000000|Global|media|OMS, retrospectiva
-septima-pandemia-colera|Séptima pandemia de cólera|Vibrio cholerae El Tor|Cólera|1961||||Asia, África, América Latina|media|OMS, vigilancia
-vih-sida|Pandemia de VIH/sida|VIH-1 y VIH-2|Sida|1981||40000000|48000000|Global; mayor impacto en África subsahariana|alta|ONUSIDA
-sars-2002|Brote de SARS|SARS-CoV-1|Síndrome respiratorio agudo grave|2002|2004|774|774|Asia oriental, Canadá|alta|OMS, recuento final
-gripe-a-2009|Pandemia de gripe A (H1N1)|Virus gripal A/H1N1pdm09|Gripe|2009|2010|151700|575400|Global|alta|CDC, primer año
-mers|MERS|MERS-CoV|Síndrome respiratorio de Oriente Medio|2012||900|1000|Península arábiga; brote en Corea del Sur en 2015|alta|OMS, vigilancia
-ebola-africa-occidental|Epidemia de ébola en África occidental|Virus del Ébola (cepa Zaire)|Enfermedad por virus del Ébola|2014|2016|11325|11325|Guinea, Liberia, Sierra Leona|alta|OMS, informe final
-covid-19|Pandemia de COVID-19|SARS-CoV-2|COVID-19|2019||7000000|28000000|Global|alta|OMS
+plaga-de-atenas|Plaga de Atenas|Desconocido (se ha propuesto tifus o fiebre tifoidea)|Desconocida|-430|-426|50000|100000|Atenas y el Ática|baja|Tucídides; estimaciones modernas sobre población ateniense|Solo hay un testigo literario; el patógeno sigue sin confirmarse.
+peste-antonina|Peste Antonina|Probablemente viruela|Viruela (probable)|165|180|5000000|10000000|Imperio romano|baja|Estimaciones historiográficas sobre demografía romana
+peste-de-cipriano|Peste de Cipriano|Desconocido|Desconocida|249|262|1000000|5000000|Imperio romano|baja|Fuentes tardorromanas; cifras muy inciertas
+plaga-de-justiniano|Plaga de Justiniano|Yersinia pestis|Peste bubónica|541|549|15000000|100000000|Imperio bizantino, Mediterráneo, Oriente Próximo|baja|Estimaciones clásicas; revisadas a la baja desde 2019|El extremo alto se discute: parte de la historiografía reciente lo cree exagerado.
+peste-negra|Peste negra|Yersinia pestis|Peste bubónica y neumónica|1346|1353|75000000|200000000|Europa, Norte de África, Oriente Próximo, Asia Central|media|Consenso historiográfico; ~30-60% de la población europea|Ninguna otra epidemia documentada mató a una parte tan grande de la población.
+viruela-americas|Viruela en América|Variola major|Viruela|1520|1600|25000000|56000000|América, tras el contacto europeo|baja|Estimaciones de colapso demográfico americano|Reúne muchas oleadas y otras enfermedades de contacto que no se pueden separar.
+cocoliztli-1545|Epidemia de cocoliztli|Posiblemente Salmonella enterica Paratyphi C|Fiebre hemorrágica|1545|1548|5000000|15000000|Nueva España (actual México)|baja|ADN antiguo de Teposcolula-Yucundaa; cifras estimadas
+gran-peste-de-londres|Gran peste de Londres|Yersinia pestis|Peste bubónica|1665|1666|70000|100000|Londres|media|Registros parroquiales de mortalidad de Londres|Murió más o menos uno de cada cuatro habitantes.
+tercera-pandemia-peste|Tercera pandemia de peste|Yersinia pestis|Peste bubónica|1855|1960|12000000|15000000|China e India principalmente; alcance global|media|Registros coloniales de la India británica y China
+gripe-rusa-1889|Gripe rusa|Virus gripal (subtipo discutido)|Gripe|1889|1890|300000|1000000|Global|baja|Estadísticas de mortalidad europeas de la época
+sexta-pandemia-colera|Sexta pandemia de cólera|Vibrio cholerae|Cólera|1899|1923|800000|1500000|India, Oriente Próximo, Rusia, Norte de África|media|Registros sanitarios coloniales
+gripe-1918|Pandemia de gripe de 1918|Virus gripal A/H1N1|Gripe|1918|1920|17400000|100000000|Global|media|Estimaciones revisadas de mortalidad global|La horquilla es ancha porque faltan registros de Asia y África.
+tifus-rusia-1918|Epidemia de tifus en Rusia|Rickettsia prowazekii|Tifus epidémico|1918|1922|2000000|3000000|Rusia y Europa del Este|baja|Estimaciones sobre el periodo de la guerra civil rusa
+gripe-asiatica-1957|Gripe asiática|Virus gripal A/H2N2|Gripe|1957|1958|1000000|4000000|Global|media|Estimaciones retrospectivas de la OMS
+gripe-hong-kong-1968|Gripe de Hong Kong|Virus gripal A/H3N2|Gripe|1968|1970|1000000|4000000|Global|media|Estimaciones retrospectivas de la OMS
+septima-pandemia-colera|Séptima pandemia de cólera|Vibrio cholerae El Tor|Cólera|1961||||Asia, África, América Latina|media|OMS; vigilancia continua|Dura todavía; no se da una suma de muertes porque nadie la cuenta de forma fiable.
+vih-sida|Pandemia de VIH/sida|VIH-1 y VIH-2|Sida|1981||40000000|48000000|Global; mayor impacto en África subsahariana|alta|ONUSIDA, muertes acumuladas notificadas|Dura todavía; la cifra suma todos los años.
+sars-2002|Brote de SARS|SARS-CoV-1|Síndrome respiratorio agudo grave|2002|2004|774|774|Asia oriental, Canadá|alta|OMS, recuento final de casos|Todos los casos se contaron, por eso no hay horquilla.
+gripe-a-2009|Pandemia de gripe A (H1N1)|Virus gripal A/H1N1pdm09|Gripe|2009|2010|151700|575400|Global|alta|CDC, estimación de mortalidad respiratoria del primer año|Las muertes confirmadas en laboratorio fueron muchas menos que las estimadas.
+mers|MERS|MERS-CoV|Síndrome respiratorio de Oriente Medio|2012||900|1000|Península arábiga; brote en Corea del Sur en 2015|alta|OMS, vigilancia continua
+ebola-africa-occidental|Epidemia de ébola en África occidental|Virus del Ébola (cepa Zaire)|Enfermedad por virus del Ébola|2014|2016|11325|11325|Guinea, Liberia, Sierra Leona|alta|OMS, informe final de situación
+covid-19|Pandemia de COVID-19|SARS-CoV-2|COVID-19|2019||7000000|28000000|Global|alta|OMS: muertes notificadas (~7M) y exceso de mortalidad estimado|El extremo bajo son muertes notificadas, el alto exceso de mortalidad: miden cosas distintas.
 """
 
 # year|population low|population high|confidence|source

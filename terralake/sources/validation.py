@@ -10,6 +10,21 @@ from pyspark.sql import functions as F
 from terralake.schemas import DATASETS
 
 
+# Recognised flyways.
+FLYWAYS = (
+    "atlantico-este",
+    "mediterraneo-mar-negro",
+    "africa-oriental-asia-occidental",
+    "asia-central",
+    "asia-oriental-australasia",
+    "americas-pacifico",
+    "americas-central",
+    "americas-misisipi",
+    "americas-atlantico",
+    "ninguna",
+)
+
+
 def required(c: str) -> Column:
     return F.col(c).isNotNull()
 
@@ -83,21 +98,29 @@ def rules_for(table: str) -> dict[str, Column]:
             **_in(-90, 90, "lat"),
             **_in(-180, 180, "lon"),
             **_in(0, 3, "seismic_level"),
+            **_enum("flyway", *FLYWAYS),
         },
     }[table]
 
 
-def validate(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """(good rows, rejected rows with ``failed``: the names of the broken rules).
+def checked(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+    """The rows with ``failed``: the names of the broken rules, none for good rows.
 
     A rule that evaluates to NULL counts as broken.
     """
     broken = F.array_compact(
         F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()))
     )
-    checked = df.withColumn("failed", broken)
-    good = checked.filter(F.size("failed") == 0).drop("failed")
-    return good, checked.filter(F.size("failed") > 0)
+    return df.withColumn("failed", broken)
+
+
+def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejected rows with ``failed``) of checked rows."""
+    return rows.filter(F.size("failed") == 0).drop("failed"), rows.filter(F.size("failed") > 0)
+
+
+def validate(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
+    return split(checked(df, rules))
 
 
 def extra_columns(df: DataFrame, table: str) -> list[str]:
@@ -105,8 +128,12 @@ def extra_columns(df: DataFrame, table: str) -> list[str]:
     return [c for c in df.columns if c not in DATASETS[table].schema.fieldNames()]
 
 
-def validate_bronze(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
+def checked_bronze(df: DataFrame, table: str) -> DataFrame:
     unknown = extra_columns(df, table)
     if unknown:
         raise ValueError(f"unexpected columns for {table}: {unknown}")
-    return validate(df, rules_for(table))
+    return checked(df, rules_for(table))
+
+
+def validate_bronze(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
+    return split(checked_bronze(df, table))
