@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from terralake import functions as fn
 from terralake.operators import aggregates, dedup, geo, joins, reshape, rows, windows
 from terralake.plans import charts, checks, queries as q
+from terralake.plans.build import LazyTables, save
 from terralake.plans.gold_panels import YEAR_PANEL
 from workload import payloads
-from workload.domain import Domain, domain_for
+from workload.domain import OPTIONS, Domain, domain_for
 from workload.expectations import EXPECTATIONS
 from workload.column_kinds import DATE_COLUMNS, FLOAT_COLUMNS
 from workload.oracle import compose
@@ -1211,6 +1212,21 @@ add(
         WHERE n.location_id = '{PLACE}'""",
 )
 
+# --- Models on the output of the model before them --------------------------------------------------------
+
+
+def _chained(d: Domain) -> LazyTables:
+    """The weather models from hourly rows on; each staged, as in the full build."""
+    period = {"baseline": ("2023-01-01", "2024-12-31")}
+    options = {**OPTIONS, "gold_climatology": period, "gold_temperature_anomaly": period}
+    folder = payloads.new_folder(d)
+    inputs = {name: d[name] for name in ("silver_weather_hourly", "dim_locations")}
+    return LazyTables(inputs, rounding=False, options=options, stage=lambda df, name: save(df, folder, name))
+
+
+add("g2_climatology_of_daily", lambda d: _chained(d)["gold_climatology"], "SELECT * FROM chained_climatology")
+add("g3_anomaly_of_daily", lambda d: _chained(d)["gold_temperature_anomaly"], "SELECT * FROM chained_anomaly")
+
 # --- Expectations on the tables, and payloads read back ----------------------------------------------------
 
 for _name, _checks in EXPECTATIONS.items():

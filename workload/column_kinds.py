@@ -55,7 +55,9 @@ FLOAT_COLUMNS: dict[str, str] = {
     "s8_oni": "sst_c anomaly_c",
     "g1_weather_daily": "temp_mean temp_min temp_max temp_range apparent_min apparent_max precip_sum pressure_msl_mean pressure_msl_min surface_pressure_mean humidity_mean cloud_cover_mean wind_gust_max radiation_sum",
     "g2_climatology": "temp_mean_avg temp_mean_sd temp_mean_p05 temp_mean_p95 temp_max_avg temp_max_p95 temp_max_record temp_min_avg temp_min_p05 temp_min_record precip_avg",
+    "g2_climatology_of_daily": "temp_mean_avg temp_mean_sd temp_mean_p05 temp_mean_p95 temp_max_avg temp_max_p95 temp_max_record temp_min_avg temp_min_p05 temp_min_record precip_avg",
     "g3_temperature_anomaly": "temp_mean clim_mean anomaly_c z_score temp_max clim_max_p95 clim_max_record temp_min clim_min_p05 clim_min_record precip_sum clim_precip_avg",
+    "g3_anomaly_of_daily": "temp_mean clim_mean anomaly_c z_score temp_max clim_max_p95 clim_max_record temp_min clim_min_p05 clim_min_record precip_sum clim_precip_avg",
     "g4_heatwave_features": "temp_max temp_max_p95_train anomaly_lag7 anomaly_mean_14d temp_max_lag7 oni_anomaly",
     "g5_heatwave_model": "p_extreme base_rate lift",
     "g6_heatwave_backtest": "observed_rate brier_model brier_base brier_skill_score pct_improvement",
@@ -148,6 +150,7 @@ DATE_COLUMNS: dict[str, str] = {
     "s4_historical_disasters": "event_date",
     "g1_weather_daily": "local_date",
     "g3_temperature_anomaly": "local_date",
+    "g3_anomaly_of_daily": "local_date",
     "g4_heatwave_features": "local_date",
     "g14_bird_daily": "obs_date",
     "g15_disasters_ranked": "event_date",

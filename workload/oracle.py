@@ -610,6 +610,15 @@ def _column_list(names) -> str:
     return "[" + ", ".join(f"'{n}'" for n in names) + "]"
 
 
+# Normals and anomalies on the output of the daily model instead of the daily input.
+CTES["chained_obs"] = CTES["obs"].replace("gold_weather_daily", "gold_weather_from_hours")
+CTES["chained_climatology"] = CTES["gold_climatology"].replace("FROM obs o", "FROM chained_obs o").replace("yr <= 1998", "yr <= 2024")
+CTES["chained_anomaly"] = (
+    CTES["gold_temperature_anomaly"]
+    .replace("gold_weather_daily w, gold_climatology n", "gold_weather_from_hours w, chained_climatology n")
+    .replace("BETWEEN 1995 AND 1998", "BETWEEN 2023 AND 2024")
+)
+
 _WORD = re.compile(r"[a-z_][a-z0-9_]*")
 _KM = re.compile(r"\bkm\(([^,()]+), ([^,()]+), ([^,()]+), ([^,()]+)\)")
 _R = re.compile(r"\br\(([^,()]+), ([^,()]+)\)")

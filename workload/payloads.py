@@ -21,7 +21,7 @@ from workload.domain import Domain
 EVERY, BROKEN = 13, 5
 
 
-def _folder(d: Domain) -> str:
+def new_folder(d: Domain) -> str:
     return f"{ensure_checkpoint_dir(d.spark)}/payloads-{uuid.uuid4().hex}"
 
 
@@ -138,7 +138,7 @@ def src9_tracks(d: Domain) -> DataFrame:
     points = points.withColumn("lat", F.when(F.minute("time") % 2 == 1, F.lit(None)).otherwise(F.col("lat")))
     rows = points.select(F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("ISO_TIME"), *(F.col(c).cast("string").alias(h) for c, h in names.items()))
     units = d.spark.createDataFrame([(" ",) + ("degrees",) * len(names)], rows.schema)
-    path = _folder(d)
+    path = new_folder(d)
     units.union(rows).write.csv(path, header=True)
     return parsers.parse_tracks(d.spark, path).select("sid", "season", "basin", "time", "lat", "lon", "usa_wind_kt", "usa_sshs")
 
@@ -153,7 +153,7 @@ def src10_oni(d: Domain) -> DataFrame:
     whole, cut = F.concat_ws("  ", *fields), F.concat_ws("  ", *fields[:3])
     lines = d["bronze_oni"].select(F.when(_page(F.col("year") + F.col("season_index")), cut).otherwise(whole).alias("value"))
     header = d.spark.createDataFrame([(" SEAS  YR   TOTAL   ANOM",)], "value string")
-    path = _folder(d)
+    path = new_folder(d)
     header.union(lines).write.text(path)
     return parsers.parse_oni(d.spark, path)
 
@@ -241,7 +241,7 @@ VAL1 = """SELECT array_to_string(list_sort(list_filter([
 
 
 def _two_batches(d: Domain) -> str:
-    root = _folder(d)
+    root = new_folder(d)
     rows = d["bronze_oni"].select(*DATASETS["bronze_oni"].schema.fieldNames())
     bronze.write_bronze(rows.filter("season_index <= 6"), root, "bronze_oni")
     bronze.write_bronze(rows.filter("season_index > 6"), root, "bronze_oni")
