@@ -41,6 +41,13 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str, *more: Column) -> Dat
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores after it until the table has no such column."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def in_steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of at most STEP_CHARS bytes of text."""
     for batch in batches:

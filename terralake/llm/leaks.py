@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terralake.llm.common import id_and_text, map_texts, table, with_texts
+from terralake.llm.common import id_and_text, map_texts, table, unused, with_texts
 
 #: Edits allowed for each character of an item.
 RATE = 0.08
@@ -171,6 +171,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def without_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE, least: int = LEAST_CHARS) -> DataFrame:
     """The rows whose text holds no item within its budget, with all their columns; rows without text stay."""
+    flag = unused(df, "holds_item")
     for block in blocks(benchmark, item_col, item_text, least):
         sent = df.sparkSession.sparkContext.broadcast(block)
 
@@ -178,7 +179,7 @@ def without_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
             finder = Finder(sent.value, rate)
             return lambda texts: [pa.array([bool(finder.find(t)) for t in texts])]
 
-        df = with_texts(df, text_col, make, "holds_benchmark_item boolean").filter("NOT holds_benchmark_item").drop("holds_benchmark_item")
+        df = with_texts(df, text_col, make, f"{flag} boolean").filter(~F.col(flag)).drop(flag)
     return df
 
 

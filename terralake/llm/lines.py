@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralake.llm.common import map_texts, staged, table, with_texts
+from terralake.llm.common import map_texts, staged, table, unused, with_texts
 
 #: Shorter repeats are never deleted; repeats of SURE words in whole lines always are.
 NOISE, SURE = 20, 40
@@ -171,10 +171,9 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.collect_set(F.when(~F.col("seed"), F.col("g"))).alias("later"), F.collect_set(F.when(F.col("seed"), F.col("g"))).alias("seeds")
     )
     plain = df.drop(*(n for n in ("lines", "removed_lines") if n != text_col))
-    joined = plain.withColumn("line_dedup_key", _key(id_col, text_col)).join(
-        lists.select(F.col("dk").alias("line_dedup_key"), F.col("later").alias("line_dedup_later"), F.col("seeds").alias("line_dedup_seeds")),
-        "line_dedup_key", "left",
-    ).drop("line_dedup_key")
+    key, later_col, seeds_col = (unused(plain, n) for n in ("key", "later", "seeds"))
+    lists = lists.select(F.col("dk").alias(key), F.col("later").alias(later_col), F.col("seeds").alias(seeds_col))
+    joined = plain.withColumn(key, _key(id_col, text_col)).join(lists, key, "left").drop(key)
 
     def make():
         def of_texts(texts: list[str], later: pa.Array, seeds: pa.Array) -> list[pa.Array]:
@@ -191,7 +190,7 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         return of_texts
 
-    return with_texts(joined, text_col, make, f"`{text_col}` string, lines long, removed_lines long", ["line_dedup_later", "line_dedup_seeds"])
+    return with_texts(joined, text_col, make, f"`{text_col}` string, lines long, removed_lines long", [later_col, seeds_col])
 
 
 def op7_lines(spark, sf_dir: str) -> DataFrame:
