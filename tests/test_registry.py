@@ -47,3 +47,14 @@ def test_queries_share_staged_tables(spark):
     df = spark_query(CATALOG["g9_b_value"])(spark, SF)
     assert all("/silver_earthquakes/" in f for f in df.inputFiles())
     assert "GreaterThanOrEqual(magnitude,4.5)" in executed_plan(df)
+
+
+@pytest.mark.parametrize("name", ["a3_count_distinct", "a11_value_at_extreme", "a12_any_value", "g14_bird_daily", "g20_cyclones", "g26_month_panel"])
+def test_no_row_is_copied_or_sorted_for_an_aggregate(spark, name):
+    plan = executed_plan(CATALOG[name].run(domain_for(spark, SF)))
+    assert "Expand" not in plan and "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("name", ["a7_quantiles", "a8_median", "g7_heat_threshold_drift"])
+def test_quantiles_hold_no_key_in_one_buffer(spark, name):
+    assert " percentile(" not in executed_plan(CATALOG[name].run(domain_for(spark, SF)))
