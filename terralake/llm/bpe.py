@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from terralake.llm.common import id_and_text, map_texts, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces and pairs of tokens remembered by a task; then it starts to remember anew.
-REMEMBERED_PIECES, REMEMBERED_PAIRS, LONGEST_REMEMBERED = 300_000, 500_000, 48
+#: Pieces and pairs of tokens that a task remembers.
+REMEMBERED_PIECES, REMEMBERED_PAIRS, LONGEST_REMEMBERED = 240_000, 500_000, 48
 NO_LIMIT = 1 << 62
 
 
@@ -81,21 +81,26 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.length = {rank: len(token) for rank, token in vocabulary.tokens.items()}
+        #: Ranks may have gaps; lists over them are faster than dicts.
+        self.size = max(vocabulary.tokens) + 1
+        self.length, self.shorter = [0] * self.size, [-1] * self.size
+        for rank, token in vocabulary.tokens.items():
+            self.length[rank], self.shorter[rank] = len(token), vocabulary.shorter[rank]
         self.automaton = ahocorasick.Automaton()
         for token, rank in vocabulary.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.pieces = Pieces(self)
         self.find = regex.compile(vocabulary.pattern).findall
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        pair = left * self.size + right
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= REMEMBERED_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self._compatible(left, right)
+            known = self.pairs[pair] = self._compatible(left, right)
         return known
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -119,29 +124,33 @@ class Encoder:
         whole = self.v.ranks.get(piece)
         if whole is not None:
             return [whole]
-        length, shorter = self.length, self.v.shorter
+        length, shorter, known, size = self.length, self.shorter, self.pairs.get, self.size
         longest = [-1] * len(piece)
         for end, token in self.automaton.iter(piece.decode("latin-1")):
             longest[end + 1 - length[token]] = token
-        closed = bytearray(len(piece) + 1)
+        closed: set[int] = set()
         made: list[int] = []
-        at, token = 0, longest[0]
+        at, last, token, stop = 0, -1, longest[0], len(piece)
         while True:
             while token >= 0:
                 after = at + length[token]
-                if not closed[after] and (not made or self.compatible(made[-1], token)):
-                    break
+                if after not in closed:
+                    if last < 0:
+                        break
+                    fits = known(last * size + token)
+                    if fits or fits is None and self.compatible(last, token):
+                        break
                 token = shorter[token]
             if token < 0:
-                closed[at] = 1
+                closed.add(at)
                 token = made.pop()
                 at -= length[token]
+                last = made[-1] if made else -1
                 continue
             made.append(token)
-            at = after
-            if at == len(piece):
+            if after == stop:
                 return made
-            token = longest[at]
+            at, last, token = after, token, longest[after]
 
     def packed(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
@@ -149,16 +158,23 @@ class Encoder:
 
 
 class Pieces(dict):
-    """Packed ids by piece; remembers a bounded number."""
+    """Packed ids by piece; remembers a bounded number.
+
+    When half of them are new, the half before is forgotten but for what has been asked for since.
+    """
 
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder = encoder
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encoder.encode(piece.encode("utf-8")), dtype="<u4").tobytes()
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = array.array("I", self.encoder.encode(piece.encode("utf-8"))).tobytes()
         if len(piece) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED_PIECES:
+            if len(self) >= REMEMBERED_PIECES // 2:
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
