@@ -313,20 +313,14 @@ def gold_heat_threshold_drift(
     spread = old.groupBy("location_id").agg(F.stddev_samp("temp_mean").alias("sd"))
     calibrated = threshold.join(spread, "location_id")
 
-    # One pass over the recent days: counts per temperature give both the new
-    # quantile and the exceedances of the old threshold.
-    counted = (
-        days.filter(F.col("yr").between(*recent))
-        .groupBy("location_id", "temp_max")
-        .agg(F.count(F.lit(1)).alias("n"))
+    fresh = days.filter(F.col("yr").between(*recent))
+    new = quantiles_by(
+        fresh, ["location_id"], "temp_max", {"q": 0.95}, [F.sum("_n").alias("n_recent_days"), F.max("_value").alias("record")]
     )
+    counted = fresh.groupBy("location_id", "temp_max").agg(F.count(F.lit(1)).alias("n"))
     above = F.when(F.col("temp_max") > F.col("threshold"), F.col("n")).otherwise(0)
-    now = counted.join(calibrated, "location_id").groupBy("location_id", "threshold", "sd").agg(
-        F.sum("n").alias("n_recent_days"),
-        F.sum(above).alias("n_exceeded"),
-        quantiles("temp_max", [0.95], "n").alias("q"),
-        F.max("temp_max").alias("record"),
-    )
+    exceeded = counted.join(threshold, "location_id").groupBy("location_id").agg(F.sum(above).alias("n_exceeded"))
+    now = new.join(calibrated, "location_id").join(exceeded, "location_id")
     share = F.lit(100.0) * ratio("n_exceeded", "n_recent_days")
     factor = share / F.lit(5.0)
     # Exceedance factors over the expected 5% and their labels.
@@ -341,8 +335,8 @@ def gold_heat_threshold_drift(
         "koppen",
         r(F.abs("lat"), 1).alias("abs_lat"),
         r("threshold", 1).alias("threshold_2006_2018"),
-        r(F.col("q")[0], 1).alias("threshold_2019_2025"),
-        r(F.col("q")[0] - F.col("threshold"), 2).alias("threshold_drift_c"),
+        r("q", 1).alias("threshold_2019_2025"),
+        r(F.col("q") - F.col("threshold"), 2).alias("threshold_drift_c"),
         "n_recent_days",
         "n_exceeded",
         r(share, 1).alias("pct_exceeded_now"),
