@@ -83,8 +83,17 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Ar
 _SHIPPED: set[str] = set()
 
 
+#: Rows of an Arrow batch; texts are long, and Spark's default of 10,000 is meant for narrow rows.
+BATCH_ROWS = 1_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package's sources to the executors, once for each application; needless where it is installed there."""
+    """Sends this package's sources to the executors, once for each application; needless where it is installed there.
+
+    Also makes Arrow batches smaller where the session has Spark's default.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
