@@ -1,16 +1,22 @@
-"""Toxicity by class-conditional Kneser-Ney models over letters.
+"""Toxicity by class-conditional Kneser-Ney models over letters, and by the beginnings of words.
 
 Two models of five letters, one of toxic and one of ordinary texts, back off to continuation counts that
 both classes share, so a rare expression takes the same probability in both but for what its own
 class has seen. A text is scored by the difference of its two length-normalised
 log-likelihoods, over the whole text and over its most toxic passages; a logistic curve fitted on a fold
 that the models have not counted turns this into a probability.
+
+Beside these, the beginnings of words, as they are written and of any length, are counted by the labelled texts that
+hold the words. The odds of a class after a beginning are discounted counts, with the rest given to the beginning that is a
+letter shorter. Their table grows with the vocabulary of the toxic texts.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +30,25 @@ GAP, OTHER, DIGIT, FIRST_LETTER, BEYOND = 0, 1, 2, 3, 29
 SYMBOLS, ORDER = 32, 5
 CONTEXTS = SYMBOLS ** (ORDER - 1)
 DISCOUNT = 0.75
+#: Texts that the beginning a letter shorter counts for.
+STRENGTH = 10.0
 #: Log-likelihood ratios are kept in steps of 1 / STEPS within a signed byte.
 STEPS = 16
 #: Letters of the passages whose log-likelihoods are compared.
 PASSAGE = 16
 #: Remainders of ids: the curve is fitted on CURVE, HELD_OUT is never learned from, and the models count the others.
 FOLDS, HELD_OUT, CURVE = 4, 2, 3
+#: Letters of the shortest beginnings; shorter words count whole.
+LEAST_LETTERS = 3
+WORD = re.compile(r"[^\W_]+")
+#: An odd number; hashes of beginnings are polynomials in it, modulo 2 to the power 64.
+BASE = 0x9E3779B97F4A7C15
+#: Words whose counts or ratios a task holds at once; beyond that it begins anew.
+HELD_WORDS = 300_000
 #: Labelled rows that the curve is fitted on, those of the least hashes.
 CURVE_ROWS = 20_000
+#: Three by the grams and three by the words.
+FEATURES = 6
 THRESHOLD = 0.3
 
 
@@ -125,43 +142,182 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters and digits in lower case."""
+    return WORD.findall(text.lower())
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of each class that hold a word, as a task meets them."""
+    held: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def made():
+        for kind, found in enumerate(held):
+            counts, none = pa.array(list(found.values()), pa.int64()), pa.array(np.zeros(len(found), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), counts if kind else none, none if kind else counts], names=["word", "toxic", "ordinary"])
+            found.clear()
+
+    for step in in_steps(batches):
+        for text, y in zip(step.column("text").to_pylist(), step.column("toxic").to_pylist()):
+            held[y].update(set(words_of(text)))
+            if len(held[0]) + len(held[1]) > HELD_WORDS:
+                yield from made()
+    yield from made()
+
+
+def _mixed(x):
+    """Spreads hashes over all bits; for numbers below 2 to the power 64 and arrays of them."""
+    x = x ^ (x >> 31)
+    x = (x * BASE) & (2**64 - 1) if isinstance(x, int) else x * np.uint64(BASE)
+    return x ^ (x >> 29)
+
+
+def _beginnings(word: str) -> list[int]:
+    """Hashes of the beginnings of a word, shortest first."""
+    h, made = 0, []
+    for k, c in enumerate(word, 1):
+        h = (h * BASE + ord(c) + 1) & (2**64 - 1)
+        if k >= min(LEAST_LETTERS, len(word)):
+            made.append(_mixed(h))
+    return made
+
+
+def word_odds(words: list[str], toxic: list[int], ordinary: list[int], share: float) -> tuple[list[int], list[int]]:
+    """Hashes of beginnings, and how much they raise the log-odds of toxic texts over `share`, in steps.
+
+    The words share their first letters, and there are no others with them. Given are the beginnings that are the shortest
+    or a letter longer than one of a toxic text; after those left out, no word of a toxic text goes on.
+    """
+    counts: dict[int, list[int]] = {}
+    paths = [_beginnings(w) for w in words]
+    for path, t, o in zip(paths, toxic, ordinary):
+        for h in path:
+            n = counts.setdefault(h, [0, 0])
+            n[0] += t
+            n[1] += o
+    odds: dict[int, float] = {}
+    for path in paths:
+        p = share
+        for h in path:
+            t, o = counts[h]
+            if h not in odds:
+                odds[h] = (max(t - DISCOUNT, 0) + (STRENGTH + DISCOUNT * ((t > 0) + (o > 0))) * p) / (t + o + STRENGTH)
+            p = odds[h]
+            if not t:
+                break
+    level = np.log(share / (1 - share))
+    p = np.array(list(odds.values()))
+    steps = np.clip(np.rint((np.log(p / (1 - p)) - level) * STEPS), -127, 127).astype(int)
+    return list(odds), steps.tolist()
+
+
+class Words:
+    """Log-odds of words, by their longest beginning in the table; zero if it holds none."""
+
+    def __init__(self, hashes: np.ndarray, odds: np.ndarray):
+        self.hashes, self.odds = hashes, odds
+        self.bits = max(1, len(hashes).bit_length())
+        firsts = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
+        self.starts = np.append(np.searchsorted(hashes, firsts), len(hashes)).astype(np.int64)
+        self.known: dict[str, int] = {}
+
+    def _places(self, wanted: np.ndarray) -> np.ndarray:
+        """Where each hash stands, -1 if nowhere."""
+        found = np.full(len(wanted), -1)
+        bucket = (wanted >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.starts[bucket], self.starts[bucket + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.hashes[at[left]] == wanted[left]
+            found[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return found
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        points = np.frombuffer("".join(words).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        firsts = np.cumsum(sizes) - sizes
+        made = np.zeros(len(words), dtype=np.int64)
+        left, h, k = np.arange(len(words)), np.zeros(len(words), dtype=np.uint64), 0
+        while len(left):
+            h = h * np.uint64(BASE) + points[firsts[left] + k] + np.uint64(1)
+            k += 1
+            due = np.minimum(LEAST_LETTERS, sizes[left]) <= k
+            place = np.zeros(len(left), dtype=np.int64)
+            place[due] = self._places(_mixed(h[due]))
+            hit = due & (place >= 0)
+            made[left[hit]] = self.odds[place[hit]]
+            on = (place >= 0) & (sizes[left] > k)
+            left, h = left[on], h[on]
+        return made
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        """The highest log-odds of the distinct words of each text, the second, and the mean of four; zeros where there are fewer."""
+        if len(self.known) > HELD_WORDS:
+            self.known = {}
+        words = [set(words_of(t)) for t in texts]
+        new = list(set().union(*words).difference(self.known))
+        if new:
+            self.known.update(zip(new, self.of_words(new).tolist()))
+        made = np.zeros((len(texts), 3))
+        for k, one in enumerate(words):
+            top = sorted(map(self.known.__getitem__, one), reverse=True)[:4]
+            top += [0] * (4 - len(top))
+            made[k] = top[0], top[1], sum(top) / 4
+        return made / STEPS
+
+
+def _passages(ratio: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Mean ratio of each text, of its most toxic passage, and of the most toxic one apart from that; zeros if empty."""
+    so_far = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(ratio, dtype=np.int64)])
+    made = np.zeros((len(ends), 3))
+    for k, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+        if a == b:
+            continue
+        width = min(PASSAGE, b - a)
+        passages = so_far[a + width : b + 1] - so_far[a : b + 1 - width]
+        at = int(passages.argmax())
+        apart = max((p.max() for p in (passages[: max(0, at - width + 1)], passages[at + width :]) if len(p)), default=min(0, passages[at]))
+        made[k] = (so_far[b] - so_far[a]) / (b - a), passages[at] / width, apart / width
+    return made / STEPS
+
+
 @dataclass
 class Model:
-    """What scoring needs: a table of SYMBOLS ** ORDER signed bytes and the weights of the curve."""
+    """What scoring needs: a table of SYMBOLS ** ORDER signed bytes, the weights of the curve, and log-odds of beginnings by hash."""
 
     ratios: np.ndarray
     weights: np.ndarray
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint64))
+    odds: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int8))
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_words"}
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Mean ratio of each text, of its most toxic passage, and of the most toxic one apart from that; zeros if empty."""
+        """Means and passages by the grams, then the words of the highest odds."""
+        if "_words" not in self.__dict__:
+            self._words = Words(self.hashes, self.odds)
         found, ends = grams(texts)
-        so_far = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(self.ratios[found], dtype=np.int64)])
-        made = np.zeros((len(texts), 3))
-        for k, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
-            if a == b:
-                continue
-            width = min(PASSAGE, b - a)
-            passages = so_far[a + width : b + 1] - so_far[a : b + 1 - width]
-            at = int(passages.argmax())
-            apart = max((p.max() for p in (passages[: max(0, at - width + 1)], passages[at + width :]) if len(p)), default=min(0, passages[at]))
-            made[k] = (so_far[b] - so_far[a]) / (b - a), passages[at] / width, apart / width
-        return made / STEPS
+        return np.hstack([_passages(self.ratios[found], ends), self._words.features(texts)])
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return curve(self.features(texts), self.weights)
 
 
 def curve(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(weights[0] + features @ weights[1:], -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(weights[0] + features[:, : len(weights) - 1] @ weights[1:], -30, 30)))
 
 
 def fitted(features: np.ndarray, toxic: np.ndarray, ridge: float = 0.05, steps: int = 50) -> np.ndarray:
     """Weights of a logistic curve by Newton's method; a constant, the share of toxic rows, if one kind is missing."""
     share = toxic.mean() if len(toxic) else 0.0
     if share in (0.0, 1.0):
-        return np.array([30.0 if share else -30.0, 0, 0, 0])
+        return np.array([30.0 if share else -30.0])
     x = np.hstack([np.ones((len(features), 1)), features])
-    weights, penalty = np.zeros(x.shape[1]), ridge * np.diag([0.0, 1, 1, 1])
+    weights, penalty = np.zeros(x.shape[1]), ridge * np.diag([0.0] + [1] * features.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         slope = x.T @ (toxic - p) - penalty @ weights
@@ -178,11 +334,13 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     All labelled texts of the counted folds are counted, in the tasks and then by gram. There are at most
     SYMBOLS ** ORDER grams; their ratios are made in SYMBOLS tasks, and the driver takes the table of one byte
-    each. Rows with NULL ids, texts or labels are not learned from. Without labels of both kinds, every score is
+    each. It also takes the beginnings of the words of toxic texts, nine bytes each once they are in order. Rows with
+    NULL ids, texts or labels are not learned from. Without labels of both kinds, every score is
     the share of toxic ones.
     """
     learn = ~fold(id_col).isin(HELD_OUT, CURVE)
-    counts = labelled(df, labels, id_col, text_col, label_col, learn).mapInArrow(_count, "gram int, toxic long, ordinary long")
+    texts = labelled(df, labels, id_col, text_col, label_col, learn)
+    counts = texts.mapInArrow(_count, "gram int, toxic long, ordinary long")
     counts = staged(counts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "toxicity-grams")
     before = counts.groupBy(F.col("gram").bitwiseAND(CONTEXTS - 1).alias("rest")).agg(F.count("*").alias("n")).toArrow()
     continuations = np.zeros(CONTEXTS, dtype=np.int64)
@@ -201,7 +359,19 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     whole = np.zeros((SYMBOLS, CONTEXTS), dtype=np.int8)
     for first, made in parts.collect():
         whole[first] = np.frombuffer(made, dtype=np.int8)
-    model = Model(whole.reshape(-1), np.zeros(4))
+    sums = F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")
+    words = staged(texts.mapInArrow(_count_words, "word string, toxic long, ordinary long").groupBy("word").agg(*sums), "toxicity-words")
+    all_toxic, all_ordinary = words.agg(F.sum("toxic"), F.sum("ordinary")).first()
+    share = ((all_toxic or 0) + 1) / ((all_toxic or 0) + (all_ordinary or 0) + 2)
+
+    def odds(key, rows):
+        made = word_odds(*(rows.column(c).to_pylist() for c in ("word", "toxic", "ordinary")), share)
+        return pa.table({"hash": pa.array(np.array(made[0], dtype=np.uint64).view(np.int64)), "odds": pa.array(made[1], pa.int32())})
+
+    beginnings = words.withColumn("first", F.substring("word", 1, LEAST_LETTERS)).groupBy("first").applyInArrow(odds, "hash long, odds int").toArrow()
+    hashes = beginnings.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    model = Model(whole.reshape(-1), np.zeros(1), hashes[order], beginnings.column("odds").to_numpy().astype(np.int8)[order])
     chosen = labels.filter(F.col(label_col).isNotNull() & (fold(id_col) == CURVE)).orderBy(F.xxhash64(id_col), id_col, label_col).limit(CURVE_ROWS)
     sample = labelled(df, chosen, id_col, text_col, label_col, fold(id_col) == CURVE).select("text", F.col("toxic").cast("int").alias("toxic"))
     sent = df.sparkSession.sparkContext.broadcast(model)
@@ -209,8 +379,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     def make():
         return lambda texts: [pa.array(c) for c in sent.value.features(texts).T]
 
-    seen = map_texts(sample, make, "whole double, worst double, second double").toArrow()
-    features = np.column_stack([seen.column(c).to_numpy() for c in ("whole", "worst", "second")]) if len(seen) else np.zeros((0, 3))
+    seen = map_texts(sample, make, ", ".join(f"f{k} double" for k in range(FEATURES))).toArrow()
+    features = np.column_stack([seen.column(f"f{k}").to_numpy() for k in range(FEATURES)]) if len(seen) else np.zeros((0, FEATURES))
     model.weights = fitted(features, seen.column("toxic").to_numpy().astype(np.float64))
     return model
 

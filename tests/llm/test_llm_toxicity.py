@@ -42,6 +42,28 @@ def test_held_out_labels_are_found(spark, documents):
     assert sum(r["predicted"] == 1 and r["toxic"] == 0 for r in rows) <= 0.01 * len(rows)
 
 
+def test_held_out_labels_of_every_language_are_found(spark, documents):
+    sf = "/root/testdata/sf0.1"
+    found = toxicity.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out")
+    rows = found.join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").select("predicted", "toxic", "lang").collect()
+    for lang in {r["lang"] for r in rows}:
+        toxic = [r["predicted"] for r in rows if r["toxic"] == 1 and r["lang"] == lang]
+        assert toxic and sum(toxic) >= 0.8 * len(toxic), lang
+    assert sum(r["predicted"] == 1 and r["toxic"] == 0 for r in rows) <= 0.01 * len(rows)
+
+
+def test_beginnings_of_any_length_count():
+    """Words that agree in their first eleven letters, beyond ASCII too, are told apart; an unknown ending keeps the beginning's odds."""
+    words = ["йцукенгшщзхъ", "йцукенгшщзхэ", "йцукенгшщзхя"]
+    hashes, odds = toxicity.word_odds(words, [50, 0, 1], [0, 50, 1], 0.5)
+    hashes, odds = np.array(hashes, dtype=np.uint64), np.array(odds)
+    order = np.argsort(hashes)
+    table = toxicity.Words(hashes[order], odds[order])
+    a, b, c, longer, other, short = table.of_words([*words, words[0] + "ы", "йцфывап", "й"]).tolist()
+    assert a > 0 > b and abs(c) < min(a, -b) and longer == a and other == short == 0
+    assert not table.features(["", "й"]).any()
+
+
 def test_held_out_labels_do_not_count(spark, documents):
     """Turning every label of the held-out fold changes nothing."""
     sf = "/root/testdata/sf0.01"
