@@ -21,7 +21,7 @@ from terralake.llm.common import id_and_text, map_texts, table, unused, with_tex
 
 #: Edits allowed for each character of an item.
 RATE = 0.08
-#: Items with fewer characters say nothing about where they came from.
+#: Items with fewer characters count only where they stand without edits and as whole words.
 LEAST_CHARS = 24
 #: Characters of items that one pass over the documents looks for; more items take more passes.
 BLOCK_CHARS = 1_000_000
@@ -32,10 +32,17 @@ def plain(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def spaced(c: str) -> bool:
+    """Whether the character is of a word in a script that sets words apart by spaces."""
+    dense = c >= "\u2e80" and not "\uac00" <= c <= "\ud7af" or "\u0e00" <= c <= "\u0eff" or "\u1000" <= c <= "\u109f" or "\u1780" <= c <= "\u17ff"
+    return c.isalnum() and not dense
+
+
 class Item:
-    def __init__(self, key: Any, text: str, rate: float):
+    def __init__(self, key: Any, text: str, rate: float, least: int = 0):
         self.key, self.text = key, text
-        self.budget = int(len(text) * rate)
+        self.short = len(text) < least
+        self.budget = 0 if self.short else int(len(text) * rate)
         self.masks: dict[str, int] = defaultdict(int)
         for i, c in enumerate(text):
             self.masks[c] |= 1 << i
@@ -45,6 +52,14 @@ class Item:
         cuts = [len(self.text) * i // n for i in range(n + 1)]
         return [(a, self.text[a:b]) for a, b in zip(cuts, cuts[1:])]
 
+    def may_start(self, text: str, at: int) -> bool:
+        """Whether no word goes on beyond the ends of a short item there."""
+        if not self.short:
+            return True
+        end = at + len(self.text)
+        inside = at and spaced(text[at - 1]) and spaced(text[at]) or end < len(text) and spaced(text[end - 1]) and spaced(text[end])
+        return not inside
+
     def nearest(self, text: str) -> tuple[int, int]:
         """The least number of edits between the item and a part of the text, and where that part ends."""
         size = len(self.text)
@@ -72,8 +87,8 @@ class Item:
 
 
 class Finder:
-    def __init__(self, items: list[tuple[Any, str]], rate: float):
-        self.items = [Item(key, text, rate) for key, text in items]
+    def __init__(self, items: list[tuple[Any, str]], rate: float, least: int = 0):
+        self.items = [Item(key, text, rate, least) for key, text in items]
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, item in enumerate(self.items):
             for offset, piece in item.pieces():
@@ -89,7 +104,8 @@ class Finder:
         starts: dict[int, set[int]] = defaultdict(set)
         for at, found in self.automaton.iter(text):
             for n, until in found:
-                starts[n].add(at + 1 - until)
+                if self.items[n].may_start(text, at + 1 - until):
+                    starts[n].add(at + 1 - until)
         hits = []
         for n in sorted(starts):
             item = self.items[n]
@@ -118,12 +134,12 @@ def windows(starts: list[int], size: int, budget: int) -> Iterator[tuple[int, in
         yield low, high
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, least: int) -> Iterator[list[tuple[Any, str]]]:
+def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[Any, str]]]:
     """Distinct items in blocks of a bounded number of characters; the driver holds one block at a time."""
     block, held = [], 0
     for key, text in benchmark.select(item_col, text_col).distinct().toLocalIterator():
         text = plain(text or "")
-        if len(text) < least:
+        if not text:
             continue
         if block and held + len(text) > BLOCK_CHARS:
             yield block
@@ -138,19 +154,19 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """(id, item id, edits, ends_at) for every document and item that it holds within the budget.
 
     Case and white space do not count. `ends_at` is the end, in characters of the plain text, of the
-    nearest place, the first of equal ones. Items shorter than `least` characters, or NULL, match
-    nothing; NULL and empty texts match nothing. Equal items with other ids are all
+    nearest place, the first of equal ones. Items shorter than `least` characters match without edits and as whole words,
+    those of scripts without spaces anywhere. Empty and NULL items match nothing; NULL and empty texts match nothing. Equal items with other ids are all
     given; repeated rows of documents give repeated results, repeated rows of items do not.
     Other columns are not carried. No shuffle; one pass for each block of items.
     """
     kind = benchmark.schema[item_col].dataType.simpleString()
     rows = id_and_text(df, id_col, text_col)
     found = None
-    for block in blocks(benchmark, item_col, item_text, least):
+    for block in blocks(benchmark, item_col, item_text):
         sent = df.sparkSession.sparkContext.broadcast(block)
 
         def make(sent=sent):
-            finder = Finder(sent.value, rate)
+            finder = Finder(sent.value, rate, least)
             items = finder.items
 
             def of_texts(texts: list[str]) -> list[pa.Array]:
@@ -172,11 +188,11 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 def without_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE, least: int = LEAST_CHARS) -> DataFrame:
     """The rows whose text holds no item within its budget, with all their columns; rows without text stay."""
     flag = unused(df, "holds_item")
-    for block in blocks(benchmark, item_col, item_text, least):
+    for block in blocks(benchmark, item_col, item_text):
         sent = df.sparkSession.sparkContext.broadcast(block)
 
         def make(sent=sent):
-            finder = Finder(sent.value, rate)
+            finder = Finder(sent.value, rate, least)
             return lambda texts: [pa.array([bool(finder.find(t)) for t in texts])]
 
         df = with_texts(df, text_col, make, f"{flag} boolean").filter(~F.col(flag)).drop(flag)

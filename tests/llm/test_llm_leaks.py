@@ -57,6 +57,15 @@ def test_more_items_than_a_block(spark, documents, monkeypatch):
     assert leaks.without_leaks(frame, bench).count() == 0
 
 
+def test_short_items_stand_exactly_and_as_words(spark, documents):
+    items = [(1, "What is a Monad?"), (2, "光合作用とは"), (3, "red fox")]
+    docs = [(1, "so: what  is a monad? a box"), (2, "問題光合作用とは何か"), (3, "a hundred foxes, a red foxhound"), (4, "hired fox; the red fox."), (5, "What is a gonad?")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"], r["edits"], r["ends_at"]) for r in leaks.find_leaks(frame, bench).collect()}
+    assert found == {(1, 1, 0, 20), (2, 2, 0, 8), (4, 3, 0, 22)}
+    assert {r["doc_id"] for r in leaks.without_leaks(frame, bench).collect()} == {3, 5}
+
+
 def test_table_has_all_exact_passages(spark, documents, texts):
     bench = spark.read.parquet(f"{brute.SF}/benchmark.parquet")
     exact = {(d, r["item_id"]) for d, t in texts.items() for r in bench.collect() if leaks.plain(r["text"]) in leaks.plain(t)}
