@@ -3,9 +3,10 @@ import sys
 
 import pytest
 
-sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
+for folder in (pathlib.Path(__file__).resolve().parent, pathlib.Path(__file__).resolve().parents[1]):
+    sys.path.insert(0, str(folder))
 
-SF = "/root/testdata/sf0.001"
+from helpers import BUILD_OPTIONS, SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -15,18 +16,6 @@ def spark():
     return local_session(cpus=4, partitions=4)
 
 
-def executed_plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-def rows(df):
-    return [tuple(r) for r in df.collect()]
-
-
-# Line items are thin at this scale: one reading makes a day.
-BUILD_OPTIONS = {"gold_weather_daily": {"min_hours": 1}}
-
-
 def _batch(table, driver):
     """Bronze rows from the driver's tables, with the ids of real places."""
     from pyspark.sql import functions as F

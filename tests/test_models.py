@@ -1,7 +1,7 @@
 from datetime import datetime
 
 import pytest
-from conftest import BUILD_OPTIONS, executed_plan, rows
+from helpers import BUILD_OPTIONS, executed_plan, rows
 from pyspark.sql import functions as F
 
 from terralake.plans import queries as q
@@ -203,7 +203,7 @@ def test_a_failed_second_build_leaves_the_old_table(spark, tmp_path):
 
 
 def test_a_second_session_does_not_touch_staged_tables(spark):
-    from conftest import SF
+    from helpers import SF
     from workload.domain import Domain
 
     first = Domain(spark, SF)

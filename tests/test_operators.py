@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import executed_plan, rows
+from helpers import executed_plan, rows
 from pyspark.sql import functions as F
 
 from terralake import functions as fn

@@ -1,5 +1,5 @@
 import pytest
-from conftest import SF, executed_plan
+from helpers import SF, executed_plan
 
 import __spark_entry__ as contract
 from workload.catalog import CATALOG, spark_query
