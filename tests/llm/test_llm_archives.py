@@ -3,7 +3,7 @@ import zlib
 
 import duckdb
 import pytest
-from conftest import SF, TEXTS
+from llm_helpers import SF, TEXTS
 
 from terralake.llm import warc
 from terralake.llm.common import folder

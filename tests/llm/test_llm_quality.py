@@ -1,6 +1,6 @@
 import brute
 import numpy as np
-from conftest import SF
+from llm_helpers import SF
 from pyspark.sql import functions as F
 
 from terralake.llm import classifier, rules

@@ -3,7 +3,7 @@ import random
 import brute
 import public_tokenizers
 import pytest
-from conftest import SF
+from llm_helpers import SF
 
 from terralake.llm import bpe
 
