@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from terralake.functions.scalar import DOY_PERIOD
 from terralake.operators.dedup import prefer_by
 from terralake.operators.rows import order_columns
+from terralake.operators.scan import Ranges
 
 
 def join_dim(df: DataFrame, dim: DataFrame, key: str, dim_key: str) -> DataFrame:
@@ -88,26 +89,19 @@ def walk_forward(
     return train, test
 
 
-def bracket(base: DataFrame, anchors: DataFrame, on: str, cols: Sequence[str]) -> DataFrame:
+def bracket(base: DataFrame, anchors: DataFrame, on: str, cols: Sequence[str], parts: int | None = None) -> DataFrame:
     """Nearest anchor at or before (``lo_*``) and at or after (``hi_*``) each key.
 
-    One pass over the ordered spine instead of an inequality join. The spine is
-    a calendar, so the single-task sort is bounded by its number of years.
+    One pass over the ordered spine instead of an inequality join. The spine is dealt out by ranges,
+    and the anchors nearest to a range are carried into it.
     """
     marked = anchors.select(F.col(on), F.struct(F.col(on), *map(F.col, cols)).alias("_a"))
     joined = base.join(marked, on, "left")
-    back = Window.orderBy(on).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.orderBy(on).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = joined.withColumns(
-        {
-            "_lo": F.last("_a", ignorenulls=True).over(back),
-            "_hi": F.first("_a", ignorenulls=True).over(ahead),
-        }
-    )
+    kept = [c for c in joined.columns if c != "_a"]
+    found = Ranges.of(joined, [on], parts).filled("_lo", "_a").filled("_hi", "_a", ahead=True).done()
     picks = [
         F.col(f"{side}.{c}").alias(f"{side[1:]}_{c}") for side in ("_lo", "_hi") for c in (on, *cols)
     ]
-    kept = [c for c in joined.columns if c != "_a"]
     return found.filter(F.col("_lo").isNotNull() & F.col("_hi").isNotNull()).select(*kept, *picks)
 
 
@@ -164,19 +158,20 @@ def acf(
     lags: Sequence[int],
     corr: Callable[[str, str], Column],
     keys: Sequence[str] = (),
+    parts: int | None = None,
 ) -> DataFrame:
     """Autocorrelation at several lags of a series, per key.
 
-    The series is numbered once, copied per lag with a shifted index, and joined
-    to itself by equality. Meant for series that are already aggregated.
+    The series is numbered once, by ranges of the order where there are no keys, copied per lag with a
+    shifted index, and joined to itself by equality.
     """
-    window = Window.partitionBy(*keys).orderBy(*order_columns(order))
-    numbered = (
-        df.filter(F.col(value).isNotNull())
-        .select(*keys, *order, value)
-        .withColumn("_t", F.row_number().over(window))
-        .select(*keys, "_t", F.col(value).alias("_x"))
-    )
+    known = df.filter(F.col(value).isNotNull()).select(*keys, *order, value)
+    if keys:
+        window = Window.partitionBy(*keys).orderBy(*order_columns(order))
+        numbered = known.withColumn("_t", F.row_number().over(window).cast("long"))
+    else:
+        numbered = Ranges.of(known, order, parts).numbered("_t").done()
+    numbered = numbered.select(*keys, "_t", F.col(value).alias("_x"))
     shifted = numbered.withColumn("lag", F.explode(F.array(*(F.lit(k) for k in lags)))).select(
         *keys, "lag", (F.col("_t") + F.col("lag")).alias("_t"), F.col("_x").alias("_earlier")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralake.operators.rows import order_columns
+from terralake.operators.scan import Ranges
 
 
 def lag_by(c: str, n: int, keys: Sequence[str], order: Sequence[str]) -> Column:
@@ -22,19 +23,15 @@ def moving_mean(
     return F.avg(c).over(window)
 
 
-def running_sum(c: str, order: Sequence[str], keys: Sequence[str] = ()) -> Column:
-    """Running total in the given order.
+def with_running_sum(df: DataFrame, name: str, c: str, order: Sequence[str], keys: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """Adds the running total in the given order, per key or over all rows.
 
-    Without keys Spark sorts in one task: use it on binned or otherwise
-    aggregated rows only.
+    Without keys rows are dealt out by ranges of the order, so none of the tasks sees them all.
     """
+    if not keys:
+        return Ranges.of(df, order, parts).running(name, F.col(c)).done()
     window = Window.partitionBy(*keys).orderBy(*order_columns(order))
-    return F.sum(c).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
-
-def change_flag(c: str, order: Sequence[str], keys: Sequence[str] = ()) -> Column:
-    """True where the value differs from the previous row; NULL on the first row."""
-    return F.col(c) != F.lag(c).over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn(name, F.sum(c).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
 def with_regime(
@@ -44,13 +41,20 @@ def with_regime(
     changed: str = "coverage_regime_change",
     regime: str = "coverage_regime",
     keys: Sequence[str] = (),
+    parts: int | None = None,
 ) -> DataFrame:
-    """Consecutive rows with one value share a regime number, counted from 0."""
+    """Consecutive rows with one value share a regime number, counted from 0; `changed` is NULL on the first row.
+
+    Without keys rows are dealt out by ranges of the order; value and number are carried over their borders.
+    """
     step = F.when(F.col(changed), 1).otherwise(0)
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(changed, change_flag(c, order, keys)).withColumn(
-        regime, F.sum(step).over(window)
-    )
+    if not keys:
+        ranges = Ranges.of(df, order, parts).lagged("_earlier", c)
+        ranges = Ranges(ranges.rows.withColumn(changed, F.col(c) != F.col("_earlier")).drop("_earlier"))
+        return ranges.running(regime, step).done()
+    window = Window.partitionBy(*keys).orderBy(*order_columns(order))
+    flagged = df.withColumn(changed, F.col(c) != F.lag(c).over(window))
+    return flagged.withColumn(regime, F.sum(step).over(window))
 
 
 def over_keys(aggregate: Column, keys: Sequence[str]) -> Column:

@@ -20,7 +20,7 @@ from terralake.functions import (
 from terralake.operators.aggregates import with_total
 from terralake.operators.geo import decluster, follow_counts, geo_join, within_reach
 from terralake.operators.joins import left_zero
-from terralake.operators.windows import group_total, running_sum
+from terralake.operators.windows import group_total, with_running_sum
 from terralake.plans.silver import Tables
 
 # Completeness magnitude, bin width, main-shock limit and the
@@ -46,7 +46,7 @@ def gold_quake_magnitude_frequency(
     width = int(round(1 / BIN_WIDTH))
     mag_bin = F.floor(F.col("magnitude") * width).cast("double") / F.lit(float(width))
     binned = complete.groupBy(mag_bin.alias("mag_bin")).agg(F.count(F.lit(1)).alias("n_events"))
-    counted = binned.withColumn("n_cumulative", running_sum("n_events", ["-mag_bin"]))
+    counted = with_running_sum(binned, "n_cumulative", "n_events", ["-mag_bin"])
     log_n = F.log10(F.col("n_cumulative").cast("double"))
     return counted.withColumn("log10_n_cumulative", round_if(log_n, 4, rounding))
 

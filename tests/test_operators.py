@@ -204,3 +204,43 @@ def test_duplicates_are_found_on_one_spot_and_nearby(spark):
     df = spark.createDataFrame(data, "id int, year int, deaths_best int, latitude double, longitude double")
     spots = {tuple(r)[:4] for r in suspected_duplicates(df, 200).collect()}
     assert spots == {(1900, 50, 10.0, 20.0), (1900, 50, 11.0, 20.0), (1901, 70, 0.0, 179.9), (1901, 70, 0.0, -179.9)}
+
+
+def _series(spark, n=400):
+    """Rows in a random order; long stretches of one phase, many values missing."""
+    order = random.Random(7).sample(range(n), n)
+    return spark.createDataFrame([(t, (t * 37) % 11, "ab"[t // 130 % 2], t if t % 90 == 5 else None) for t in order], "t long, v long, phase string, anchor long")
+
+
+def test_totals_and_regimes_are_carried_over_ranges(spark):
+    df = _series(spark)
+    totals = windows.with_running_sum(df, "since", "v", ["-t"], parts=8)
+    assert {r.t: r.since for r in totals.collect()} == {t: sum((k * 37) % 11 for k in range(t, 400)) for t in range(400)}
+    regimes = {r.t: (r.changed, r.regime) for r in windows.with_regime(df, "phase", ["t"], "changed", "regime", parts=8).collect()}
+    assert regimes == {t: (None if t == 0 else t % 130 == 0, t // 130) for t in range(400)}
+    for made in (totals, windows.with_regime(df, "phase", ["t"], "changed", "regime", parts=8)):
+        plan = executed_plan(made)
+        assert "SinglePartition" not in plan and "CartesianProduct" not in plan
+    by_key = windows.with_regime(df.withColumn("k", F.col("t") % 2), "phase", ["t"], "changed", "regime", keys=["k"])
+    assert {r.t: r.regime for r in by_key.collect()} == {t: t // 130 for t in range(400)}
+
+
+def test_ranges_without_rows_and_with_nulls(spark):
+    empty = spark.createDataFrame([], "t long, v long")
+    assert windows.with_running_sum(empty, "s", "v", ["t"]).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, 3), (None, 4), (2, 3)], "t long, v long")
+    assert sorted(rows(windows.with_running_sum(odd, "s", "v", ["t"], parts=4)), key=str) == sorted([(1, None, None), (2, 3, 3), (2, 3, 6), (None, 4, 10)], key=str)
+
+
+def test_bracket_and_acf_over_ranges(spark):
+    df = _series(spark)
+    anchors = df.filter("anchor IS NOT NULL").select("t", (F.col("v") + 100).alias("w"))
+    marks = {t: (t * 37) % 11 + 100 for t in range(400) if t % 90 == 5}
+    got = {r.t: (r.lo_t, r.lo_w, r.hi_t, r.hi_w) for r in joins.bracket(df.select("t"), anchors, "t", ["w"], parts=8).collect()}
+    lo = lambda t: max(a for a in marks if a <= t)
+    hi = lambda t: min(a for a in marks if a >= t)
+    assert got == {t: (lo(t), marks[lo(t)], hi(t), marks[hi(t)]) for t in range(5, 366)}
+    whole = joins.acf(df, ["t"], "v", [1, 5], fn.safe_corr, parts=8)
+    keyed = joins.acf(df.withColumn("k", F.lit(1)), ["t"], "v", [1, 5], fn.safe_corr, keys=["k"]).drop("k")
+    near = lambda f: sorted((r.lag, r.n_pairs, round(r.acf, 9)) for r in f.collect())
+    assert near(whole) == near(keyed) and "SinglePartition" not in executed_plan(whole)

@@ -600,8 +600,7 @@ add(
 )
 add(
     "w5_running_sum",
-    lambda d: d["silver_earthquakes"].groupBy(F.year("time").alias("year")).agg(count_as("n"))
-    .select("year", "n", windows.running_sum("n", ["-year"]).alias("since")),
+    lambda d: windows.with_running_sum(d["silver_earthquakes"].groupBy(F.year("time").alias("year")).agg(count_as("n")), "since", "n", ["-year"]),
     """SELECT a.year, a.n, sum(b.n)::BIGINT AS since FROM year_counts a JOIN year_counts b ON b.year >= a.year GROUP BY ALL""",
 )
 add(
