@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralake.llm import bpe, chat, classifier, leaks, lines, mixing, rules, shards, simhash, toxicity, warc
+from terralake.llm import bpe, chat, classifier, leaks, lines, mixing, prefixes, rules, shards, simhash, toxicity, warc
 from terralake.llm.common import ship
 
 _RUNS = [
@@ -20,6 +20,7 @@ _RUNS = [
     toxicity.op8_toxicity,
     shards.op9_shards,
     leaks.op10_leaks,
+    prefixes.op12_prefixes,
     mixing.op13_mixing,
 ]
 
@@ -34,4 +35,4 @@ def _query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {run.__name__: _query(run) for run in _RUNS}
 
-SQL: dict[str, str] = {"op2_warc": warc.OP2_SQL, "op4_chat": chat.OP4_SQL, "op13_mixing": mixing.OP13_SQL}
+SQL: dict[str, str] = {"op2_warc": warc.OP2_SQL, "op4_chat": chat.OP4_SQL, "op12_prefixes": prefixes.OP12_SQL, "op13_mixing": mixing.OP13_SQL}
