@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralake.llm import bpe, chat, classifier, leaks, lines, mixing, prefixes, rules, shards, simhash, toxicity, warc
+from terralake.llm import alignment, bpe, chat, classifier, leaks, lines, mixing, prefixes, rules, shards, simhash, toxicity, warc
 from terralake.llm.common import ship
 
 _RUNS = [
@@ -20,6 +20,7 @@ _RUNS = [
     toxicity.op8_toxicity,
     shards.op9_shards,
     leaks.op10_leaks,
+    alignment.op11_alignment,
     prefixes.op12_prefixes,
     mixing.op13_mixing,
 ]
