@@ -197,8 +197,11 @@ def merged(runs: list[Run]) -> Iterator[list[tuple[int, np.ndarray, np.ndarray,
         out = []
         for k in sorted({k for last, k in heap if runs[k].pairs[0] <= bound}):
             out.append((k, *runs[k].upto(bound)))
-        while heap and not len(runs[heap[0][1]].pairs):
-            _, k = heapq.heappop(heap)
+        # What ended at the bound is used up; all of it goes before new frames come, which may end there too.
+        spent = []
+        while heap and heap[0][0] == bound:
+            spent.append(heapq.heappop(heap)[1])
+        for k in spent:
             if runs[k].load():
                 heapq.heappush(heap, (int(runs[k].pairs[-1]), k))
         yield out
