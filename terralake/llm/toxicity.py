@@ -1,114 +1,69 @@
-"""Toxicity by class-conditional Kneser-Ney models over letters, and by the beginnings of words.
+"""Toxicity by class-conditional Kneser-Ney models over the letters of words.
 
-Two models of five letters, one of toxic and one of ordinary texts, back off to continuation counts that
-both classes share, so a rare expression takes the same probability in both but for what its own
-class has seen. A text is scored by the difference of its two length-normalised
-log-likelihoods, over the whole text and over its most toxic passages; a logistic curve fitted on a fold
-that the models have not counted turns this into a probability.
+Two models, one of toxic and one of ordinary texts, give the probability of each letter of a word after all letters before
+it. Both back off to the same distribution: how many beginnings of words, of either class, go on with a letter after its last two, one
+or none. So a rare expression takes the same probability in both but for what its own class has seen, and what no toxic
+text begins is left to the shared counts altogether. A word is scored by the difference of its two log-likelihoods, a text by its highest
+words and by the difference a letter over all of it; a logistic curve fitted on a fold that the models have not counted turns this into a
+probability.
 
-Beside these, the beginnings of words, as they are written and of any length, are counted by the labelled texts that
-hold the words. The odds of a class after a beginning are discounted counts, with the rest given to the beginning that is a
-letter shorter. Their table grows with the vocabulary of the toxic texts.
+The models are tables that Spark makes and keeps in the shared folder, and they grow with the vocabulary. To score, blocks of texts send
+each distinct word once to the range of beginnings it belongs to, and the scores come back to the block.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralake.llm.common import in_steps, map_texts, staged, table, with_texts
-
-#: Letters are folded into 32 symbols: gap, other, digit, a to z, and three for what is beyond ASCII.
-GAP, OTHER, DIGIT, FIRST_LETTER, BEYOND = 0, 1, 2, 3, 29
-SYMBOLS, ORDER = 32, 5
-CONTEXTS = SYMBOLS ** (ORDER - 1)
-DISCOUNT = 0.75
-#: Texts that the beginning a letter shorter counts for.
-STRENGTH = 10.0
-#: Log-likelihood ratios are kept in steps of 1 / STEPS within a signed byte.
-STEPS = 16
-#: Letters of the passages whose log-likelihoods are compared.
-PASSAGE = 16
+from terralake.llm.common import in_steps, staged, table, unused
+
+#: What is taken off every count for what has not been seen; near one, since what a single toxic text holds says little.
+DISCOUNT = 0.95
+#: Letters of the shared contexts.
+SHARED = 2
+#: Words longer than this go on as a piece of their own; marks of a word's start, of a later piece's, and of an end.
+PIECE_LETTERS, START, FURTHER, END = 24, "^", "~", "$"
+WORD = re.compile(r"[^\W_]+")
 #: Remainders of ids: the curve is fitted on CURVE, HELD_OUT is never learned from, and the models count the others.
 FOLDS, HELD_OUT, CURVE = 4, 2, 3
-#: Letters of the shortest beginnings; shorter words count whole.
-LEAST_LETTERS = 3
-WORD = re.compile(r"[^\W_]+")
-#: An odd number; hashes of beginnings are polynomials in it, modulo 2 to the power 64.
-BASE = 0x9E3779B97F4A7C15
-#: Words whose counts or ratios a task holds at once; beyond that it begins anew.
-HELD_WORDS = 300_000
+#: Counts that a task holds at once; beyond that it begins anew.
+HELD_COUNTS = 300_000
 #: Labelled rows that the curve is fitted on, those of the least hashes.
 CURVE_ROWS = 20_000
-#: Three by the grams and three by the words.
-FEATURES = 6
+#: Letters, the mark included, by which words are dealt out; beginnings that are shorter go everywhere. Entries of a range, about; words of a range that a task scores.
+BEGINNING, RANGE_ENTRIES, SCORED_WORDS = 5, 200_000, 1 << 20
+#: Letters and texts of a block.
+BLOCK_CHARS, BLOCK_DOCS = 4_000_000, 1 << 16
+FEATURES = ["f_first", "f_second", "f_four", "f_mean"]
 THRESHOLD = 0.3
-
-
-def _folded(byte: int) -> int:
-    if byte >= 0x80:
-        return BEYOND + byte % 3
-    c = chr(byte)
-    return FIRST_LETTER + ord(c) - ord("a") if "a" <= c <= "z" else DIGIT if c.isdigit() else GAP if c <= " " else OTHER
-
-
-FOLD = bytes(_folded(b) for b in range(256))
-#: First bytes of longer characters say little beside those that follow.
-LEADS = bytes(range(0xC0, 0x100))
-MARGIN = bytes(ORDER - 1)
-
-
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the grams that end at each symbol of the texts, and where each text ends; a text begins after a gap."""
-    coded = [t.lower().encode("utf-8", "replace").translate(FOLD, LEADS) for t in texts]
-    symbols = np.frombuffer(b"".join(MARGIN + c for c in coded), dtype=np.uint8).astype(np.int32)
-    n = len(symbols)
-    gram = np.zeros(n, dtype=np.int32)
-    for back in range(ORDER):
-        gram[back:] += symbols[: n - back] << (5 * back)
-    own = np.ones(n, dtype=bool)
-    starts = np.cumsum([0] + [len(c) + len(MARGIN) for c in coded])
-    for k in range(len(MARGIN)):
-        own[starts[:-1] + k] = False
-    return gram[own], np.cumsum([len(c) for c in coded])
-
-
-def shared_backoff(continuations: np.ndarray) -> np.ndarray:
-    """P(w | three letters) from the number of distinct letters before each gram of four, with lower orders below it."""
-    tables = [continuations.reshape(-1, SYMBOLS).astype(np.float64)]
-    while len(tables[-1]) > 1:
-        above = tables[-1] > 0
-        tables.append(above.reshape(SYMBOLS, -1, SYMBOLS).sum(axis=0).astype(np.float64))
-    lower = np.full((1, SYMBOLS), 1 / SYMBOLS)
-    for counts in reversed(tables):
-        lower = interpolated(counts, np.tile(lower, (len(counts) // len(lower), 1)))
-    return lower
-
-
-def interpolated(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Discounted counts with the rest given to the lower order; unseen contexts have the lower order alone."""
-    total = counts.sum(axis=1, keepdims=True)
-    rest = DISCOUNT * (counts > 0).sum(axis=1, keepdims=True)
-    return np.where(total > 0, (np.maximum(counts - DISCOUNT, 0) + rest * lower) / np.maximum(total, 1), lower)
-
-
-def ratios(toxic: np.ndarray, ordinary: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Log of P(toxic) over P(ordinary) for each context and letter, as signed bytes."""
-    ratio = np.log(interpolated(toxic, lower)) - np.log(interpolated(ordinary, lower))
-    return np.clip(np.rint(ratio * STEPS), -127, 127).astype(np.int8)
+LEVEL = 1
 
 
 def fold(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % FOLDS
 
 
+def pieces(text: str) -> Iterator[str]:
+    """Words in lower case after their mark, long ones in pieces."""
+    for word in WORD.findall(text.lower()):
+        if len(word) <= PIECE_LETTERS:
+            yield START + word
+        else:
+            for at in range(0, len(word), PIECE_LETTERS):
+                yield (FURTHER if at else START) + word[at : at + PIECE_LETTERS]
+
+
 def labelled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, which: Column) -> DataFrame:
     """(text, toxic) of the rows with a label in the folds; a row labelled twice is toxic if any label says so."""
     marks = labels.filter(F.col(label_col).isNotNull() & which).groupBy(F.col(id_col).alias("marked")).agg((F.max(label_col) > 0).alias("toxic"))
@@ -117,198 +72,245 @@ def labelled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return texts.join(marks.hint("merge"), "marked")
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the grams that a task meets, toxic and ordinary."""
-    held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+COUNTS = "gram string, toxic long, ordinary long"
 
-    def merged(parts):
-        keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return keys, np.bincount(where, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
-    for step in in_steps(batches):
-        toxic = step.column("toxic").to_pylist()
-        texts = step.column("text").to_pylist()
-        for kind in (0, 1):
-            found, _ = grams([t for t, y in zip(texts, toxic) if y == bool(kind)])
-            held[kind].append(np.unique(found, return_counts=True))
-            if len(held[kind]) >= 16:
-                held[kind] = [merged(held[kind])]
-    for kind, parts in enumerate(held):
-        if parts:
-            keys, counts = merged(parts)
-            none = np.zeros(len(keys), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.astype(np.int32)), pa.array(counts if kind else none), pa.array(none if kind else counts)], names=["gram", "toxic", "ordinary"]
-            )
-
-
-def words_of(text: str) -> list[str]:
-    """Runs of letters and digits in lower case."""
-    return WORD.findall(text.lower())
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of each class that hold a word, as a task meets them."""
-    held: tuple[Counter, Counter] = (Counter(), Counter())
+def _counts(held: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
+    """What is held, as rows; it begins anew."""
+    for kind, found in enumerate(held):
+        counts, none = pa.array(list(found.values()), pa.int64()), pa.array(np.zeros(len(found), dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), counts if kind else none, none if kind else counts], names=["gram", "toxic", "ordinary"])
+        found.clear()
 
-    def made():
-        for kind, found in enumerate(held):
-            counts, none = pa.array(list(found.values()), pa.int64()), pa.array(np.zeros(len(found), dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), counts if kind else none, none if kind else counts], names=["word", "toxic", "ordinary"])
-            found.clear()
 
+def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of each class that hold a piece, as a task meets them."""
+    held: tuple[Counter, Counter] = (Counter(), Counter())
     for step in in_steps(batches):
         for text, y in zip(step.column("text").to_pylist(), step.column("toxic").to_pylist()):
-            held[y].update(set(words_of(text)))
-            if len(held[0]) + len(held[1]) > HELD_WORDS:
-                yield from made()
-    yield from made()
+            held[y].update(set(pieces(text)))
+            if len(held[0]) + len(held[1]) > HELD_COUNTS:
+                yield from _counts(held)
+    yield from _counts(held)
 
 
-def _mixed(x):
-    """Spreads hashes over all bits; for numbers below 2 to the power 64 and arrays of them."""
-    x = x ^ (x >> 31)
-    x = (x * BASE) & (2**64 - 1) if isinstance(x, int) else x * np.uint64(BASE)
-    return x ^ (x >> 29)
-
-
-def _beginnings(word: str) -> list[int]:
-    """Hashes of the beginnings of a word, shortest first."""
-    h, made = 0, []
-    for k, c in enumerate(word, 1):
-        h = (h * BASE + ord(c) + 1) & (2**64 - 1)
-        if k >= min(LEAST_LETTERS, len(word)):
-            made.append(_mixed(h))
-    return made
-
-
-def word_odds(words: list[str], toxic: list[int], ordinary: list[int], share: float) -> tuple[list[int], list[int]]:
-    """Hashes of beginnings, and how much they raise the log-odds of toxic texts over `share`, in steps.
-
-    The words share their first letters, and there are no others with them. Given are the beginnings that are the shortest
-    or a letter longer than one of a toxic text; after those left out, no word of a toxic text goes on.
+def _count_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of all beginnings of the pieces, each a context and the letter after it."""
+    held: tuple[Counter, Counter] = (Counter(), Counter())
+    for batch in batches:
+        for piece, *counts in zip(*(batch.column(c).to_pylist() for c in ("gram", "toxic", "ordinary"))):
+            whole = piece + END
+            for kind in (0, 1):
+                if n := counts[1 - kind]:
+                    for k in range(2, len(whole) + 1):
+                        held[kind][whole[:k]] += n
+            if len(held[0]) + len(held[1]) > HELD_COUNTS:
+                yield from _counts(held)
+    yield from _counts(held)
+
+
+def shared_backoff(edges: DataFrame) -> DataFrame:
+    """(tail, shared): P(letter | the last SHARED letters of the context) for every tail of context and letter.
+
+    Counts are of distinct beginnings that end in the tail, discounted, with the rest given to the tail that is a letter shorter; at
+    the end stands one part for each letter there is. There are as many rows as sequences of three letters.
+    """
+    below = None
+    for order in range(SHARED + 1):
+        counts = edges.groupBy(F.right("gram", F.lit(order + 1)).alias("tail")).agg(F.count("*").alias("n"))
+        counts = counts.withColumn("context", F.expr("left(tail, char_length(tail) - 1)"))
+        totals = counts.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        if below is None:
+            counts = counts.join(totals, "context").withColumn("lower", 1 / F.col("kinds"))
+        else:
+            shorter = below.select(F.col("tail").alias("shorter"), F.col("shared").alias("lower"))
+            counts = counts.join(totals, "context").withColumn("shorter", F.right("tail", F.lit(order))).join(shorter, "shorter")
+        below = counts.select("tail", _interpolated(F.col("n"), F.col("total"), F.col("kinds"), F.col("lower")).alias("shared"))
+    return below
+
+
+def _interpolated(n: Column, total: Column, kinds: Column, lower: Column) -> Column:
+    """A discounted count with the rest given to the lower order."""
+    return (F.greatest(n - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * lower) / total
+
+
+def ratios(edges: DataFrame) -> DataFrame:
+    """(gram, score, leaving): after a context that toxic texts have, how much a letter speaks for them, and how much any letter that has not been seen there does.
+
+    Rows with a score are contexts with their letter, rows with `leaving` are contexts. Log of P(toxic) over P(ordinary); a class that does not have
+    the context takes the shared distribution.
     """
-    counts: dict[int, list[int]] = {}
-    paths = [_beginnings(w) for w in words]
-    for path, t, o in zip(paths, toxic, ordinary):
-        for h in path:
-            n = counts.setdefault(h, [0, 0])
-            n[0] += t
-            n[1] += o
-    odds: dict[int, float] = {}
-    for path in paths:
-        p = share
-        for h in path:
-            t, o = counts[h]
-            if h not in odds:
-                odds[h] = (max(t - DISCOUNT, 0) + (STRENGTH + DISCOUNT * ((t > 0) + (o > 0))) * p) / (t + o + STRENGTH)
-            p = odds[h]
-            if not t:
-                break
-    level = np.log(share / (1 - share))
-    p = np.array(list(odds.values()))
-    steps = np.clip(np.rint((np.log(p / (1 - p)) - level) * STEPS), -127, 127).astype(int)
-    return list(odds), steps.tolist()
-
-
-class Words:
-    """Log-odds of words, by their longest beginning in the table; zero if it holds none."""
-
-    def __init__(self, hashes: np.ndarray, odds: np.ndarray):
-        self.hashes, self.odds = hashes, odds
-        self.bits = max(1, len(hashes).bit_length())
-        firsts = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
-        self.starts = np.append(np.searchsorted(hashes, firsts), len(hashes)).astype(np.int64)
-        self.known: dict[str, int] = {}
-
-    def _places(self, wanted: np.ndarray) -> np.ndarray:
-        """Where each hash stands, -1 if nowhere."""
-        found = np.full(len(wanted), -1)
-        bucket = (wanted >> np.uint64(64 - self.bits)).astype(np.int64)
-        at, end = self.starts[bucket], self.starts[bucket + 1]
-        left = np.flatnonzero(at < end)
-        while len(left):
-            hit = self.hashes[at[left]] == wanted[left]
-            found[left[hit]] = at[left[hit]]
-            left = left[~hit]
-            at[left] += 1
-            left = left[at[left] < end[left]]
-        return found
-
-    def of_words(self, words: list[str]) -> np.ndarray:
-        points = np.frombuffer("".join(words).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
-        firsts = np.cumsum(sizes) - sizes
-        made = np.zeros(len(words), dtype=np.int64)
-        left, h, k = np.arange(len(words)), np.zeros(len(words), dtype=np.uint64), 0
-        while len(left):
-            h = h * np.uint64(BASE) + points[firsts[left] + k] + np.uint64(1)
-            k += 1
-            due = np.minimum(LEAST_LETTERS, sizes[left]) <= k
-            place = np.zeros(len(left), dtype=np.int64)
-            place[due] = self._places(_mixed(h[due]))
-            hit = due & (place >= 0)
-            made[left[hit]] = self.odds[place[hit]]
-            on = (place >= 0) & (sizes[left] > k)
-            left, h = left[on], h[on]
-        return made
-
-    def features(self, texts: list[str]) -> np.ndarray:
-        """The highest log-odds of the distinct words of each text, the second, and the mean of four; zeros where there are fewer."""
-        if len(self.known) > HELD_WORDS:
-            self.known = {}
-        words = [set(words_of(t)) for t in texts]
-        new = list(set().union(*words).difference(self.known))
-        if new:
-            self.known.update(zip(new, self.of_words(new).tolist()))
-        made = np.zeros((len(texts), 3))
-        for k, one in enumerate(words):
-            top = sorted(map(self.known.__getitem__, one), reverse=True)[:4]
-            top += [0] * (4 - len(top))
-            made[k] = top[0], top[1], sum(top) / 4
-        return made / STEPS
-
-
-def _passages(ratio: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Mean ratio of each text, of its most toxic passage, and of the most toxic one apart from that; zeros if empty."""
-    so_far = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(ratio, dtype=np.int64)])
-    made = np.zeros((len(ends), 3))
-    for k, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
-        if a == b:
-            continue
-        width = min(PASSAGE, b - a)
-        passages = so_far[a + width : b + 1] - so_far[a : b + 1 - width]
-        at = int(passages.argmax())
-        apart = max((p.max() for p in (passages[: max(0, at - width + 1)], passages[at + width :]) if len(p)), default=min(0, passages[at]))
-        made[k] = (so_far[b] - so_far[a]) / (b - a), passages[at] / width, apart / width
-    return made / STEPS
+    edges = edges.withColumn("context", F.expr("left(gram, char_length(gram) - 1)")).withColumn("tail", F.right("gram", F.lit(SHARED + 1)))
+    contexts = edges.groupBy("context").agg(
+        F.sum("toxic").alias("t_total"), F.sum("ordinary").alias("o_total"), F.count_if(F.col("toxic") > 0).alias("t_kinds"), F.count_if(F.col("ordinary") > 0).alias("o_kinds")
+    ).filter("t_total > 0")
+    shared = F.col("shared")
+    of = lambda c: _interpolated(F.col(c), F.col(f"{c[0]}_total"), F.col(f"{c[0]}_kinds"), shared)
+    known = F.col("o_total") > 0
+    scored = edges.join(contexts, "context").join(shared_backoff(edges), "tail")
+    score = F.ln(of("toxic")) - F.when(known, F.ln(of("ordinary"))).otherwise(F.ln(shared))
+    leaving = F.ln(DISCOUNT * F.col("t_kinds") / F.col("t_total")) - F.when(known, F.ln(DISCOUNT * F.col("o_kinds") / F.col("o_total"))).otherwise(0.0)
+    none = F.lit(None).cast("float")
+    return scored.select("gram", score.cast("float").alias("score"), none.alias("leaving")).union(contexts.select("context", none, leaving.cast("float")))
 
 
 @dataclass
 class Model:
-    """What scoring needs: a table of SYMBOLS ** ORDER signed bytes, the weights of the curve, and log-odds of beginnings by hash."""
-
-    ratios: np.ndarray
-    weights: np.ndarray
-    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint64))
-    odds: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int8))
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_words"}
-
-    def features(self, texts: list[str]) -> np.ndarray:
-        """Means and passages by the grams, then the words of the highest odds."""
-        if "_words" not in self.__dict__:
-            self._words = Words(self.hashes, self.odds)
-        found, ends = grams(texts)
-        return np.hstack([_passages(self.ratios[found], ends), self._words.features(texts)])
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        return curve(self.features(texts), self.weights)
-
-
-def curve(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(weights[0] + features[:, : len(weights) - 1] @ weights[1:], -30, 30)))
+    """Written tables of `entries` by range, the number of ranges, and the weights of the curve."""
+
+    entries: DataFrame
+    ranges: int
+    weights: list[float]
+
+    def score(self) -> Column:
+        """The probability as a function of the columns FEATURES."""
+        z = reduce(lambda a, b: a + b, (F.col(c) * float(w) for c, w in zip(FEATURES, self.weights[1:])), F.lit(float(self.weights[0])))
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+
+
+class Scorer:
+    """Sums the scores of a piece's letters, as far as toxic texts have begun like it."""
+
+    def __init__(self, grams: Sequence[str], scores: Sequence[float | None], leaving: Sequence[float | None]):
+        self.scores = {g: s for g, s in zip(grams, scores) if s is not None}
+        self.leaving = {g: x for g, x in zip(grams, leaving) if x is not None}
+        self.known: dict[str, float] = {}
+
+    def of(self, piece: str) -> float:
+        if piece not in self.known:
+            if len(self.known) > HELD_COUNTS:
+                self.known = {}
+            whole, total = piece + END, 0.0
+            for k in range(2, len(whole) + 1):
+                step = self.scores.get(whole[:k])
+                if step is None:
+                    total += self.leaving.get(whole[: k - 1], 0.0)
+                    break
+                total += step
+            self.known[piece] = total
+        return self.known[piece]
+
+
+def range_of(piece: str, ranges: int) -> int:
+    return zlib.crc32((piece + END)[:BEGINNING].encode("utf-8", "replace")) % ranges
+
+
+class _Block:
+    """Texts of a task, one after another, with their distinct pieces."""
+
+    def __init__(self, number: int):
+        self.number, self.chars = number, 0
+        self.places: dict[str, int] = {}
+        self.docs: list[tuple[int, bytes]] = []
+
+    def add(self, text: str, pack) -> None:
+        found = Counter(pieces(text))
+        at = np.array([self.places.setdefault(p, len(self.places)) for p in found], dtype="<u4")
+        times = np.array(list(found.values()), dtype="<u4")
+        letters = sum((len(p) - 1) * n for p, n in found.items())
+        self.docs.append((letters, pack(at.tobytes() + times.tobytes())))
+        self.chars += len(text)
+
+    def full(self) -> bool:
+        return self.chars >= BLOCK_CHARS or len(self.docs) >= BLOCK_DOCS
+
+    def runs(self, ranges: int, pack) -> list[tuple[int, int, bytes, bytes]]:
+        """(range, pieces, their texts, their places) for each range."""
+        held: dict[int, tuple[list[str], list[int]]] = {}
+        for piece, place in self.places.items():
+            texts, places = held.setdefault(range_of(piece, ranges), ([], []))
+            texts.append(piece)
+            places.append(place)
+        return [(r, len(t), pack("\n".join(t).encode("utf-8", "replace")), np.array(p, dtype="<u4").tobytes()) for r, (t, p) in held.items()]
+
+
+def _coded(df: DataFrame, text_col: str, keep: Sequence[Column], ranges: int) -> DataFrame:
+    """Texts as numbers of their pieces, and the pieces of each block by range; `range` is NULL for texts. A block's number is that of its first row."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
+    rows = df.select(text, F.struct(F.lit(0).alias("_"), *keep).alias("keep"), F.monotonically_increasing_id().alias("row"))
+    kept = rows.schema["keep"].dataType.simpleString()
+    fields = f"block long, keep {kept}, letters long, pieces binary, range int, n long, words binary, places binary"
+    names = ["block", "keep", "letters", "pieces", "range", "n", "words", "places"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=LEVEL).compress
+        block: _Block | None = None
+        kind = None
+
+        def documents(docs: list, keep: pa.Array) -> pa.RecordBatch:
+            n = len(docs)
+            columns = [pa.array([block.number] * n, pa.int64()), keep, pa.array([x for x, _ in docs], pa.int64()), pa.array([p for _, p in docs], pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+
+        def settled() -> pa.RecordBatch:
+            found = block.runs(ranges, pack)
+            n = len(found)
+            columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))] or [pa.nulls(0, t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array([block.number] * n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *columns], names=names)
+
+        for step in in_steps(batches):
+            kind = step.column("keep").type
+            numbers = step.column("row")
+            start = 0
+            for at, text in enumerate(step.column("text").to_pylist()):
+                block = block or _Block(numbers[at].as_py())
+                block.add(text, pack)
+                if block.full():
+                    yield documents(block.docs[start - at - 1 :], step.column("keep").slice(start, at + 1 - start))
+                    yield settled()
+                    block, start = None, at + 1
+            if start < step.num_rows:
+                yield documents(block.docs[start - step.num_rows :], step.column("keep").slice(start))
+        if block:
+            yield settled()
+
+    return rows.mapInArrow(run, fields)
+
+
+def _scored(runs: pa.Table, entries: pa.Table) -> pa.Table:
+    """Scores of the pieces of some runs, by the entries of their range."""
+    scorer = Scorer(*(entries.column(c).to_pylist() for c in ("gram", "score", "leaving")))
+    unpack = zstandard.ZstdDecompressor().decompress
+    scores = [np.array([scorer.of(p) for p in unpack(w.as_py()).decode().split("\n")], dtype="<f4").tobytes() for w in runs.column("words")]
+    return pa.table({"block": runs.column("block"), "places": runs.column("places"), "scores": pa.array(scores, pa.binary())})
+
+
+def _featured(docs: pa.Table, scores: pa.Table) -> pa.Table:
+    """Features of the texts of a block."""
+    places, values = (np.frombuffer(b"".join(x.as_py() for x in scores.column(c)), dtype=t) for c, t in (("places", "<u4"), ("scores", "<f4")))
+    score = np.zeros(len(places), dtype=np.float64)
+    score[places] = values
+    unpack = zstandard.ZstdDecompressor().decompress
+    made = np.zeros((docs.num_rows, len(FEATURES)))
+    for k, (letters, packed) in enumerate(zip(docs.column("letters").to_pylist(), docs.column("pieces"))):
+        if letters:
+            at, times = np.frombuffer(unpack(packed.as_py()), dtype="<u4").reshape(2, -1)
+            own = score[at]
+            top = np.zeros(4)
+            best = np.sort(own)[-4:][::-1]
+            top[: len(best)] = best
+            made[k] = top[0], top[1], top.mean(), own @ times / letters
+    return pa.table({"keep": docs.column("keep")} | {c: pa.array(made[:, k]) for k, c in enumerate(FEATURES)})
+
+
+def features(df: DataFrame, model: Model, text_col: str = "text", keep: Sequence[Column] = ()) -> DataFrame:
+    """(the columns in `keep`, FEATURES) of each row: the highest, the second and the mean of the four highest log-likelihood differences of
+    distinct words, zero where there are fewer, and the difference a letter of the whole text. Empty texts have zeros.
+
+    Texts are read once; blocks of them send their distinct words to the ranges of the model. Ranges with more words than a task takes are dealt out by block.
+    """
+    coded = staged(_coded(df, text_col, keep, model.ranges), "toxicity-coded")
+    docs = coded.filter("range IS NULL").select("block", "keep", "letters", "pieces")
+    runs = coded.filter("range IS NOT NULL").select("block", "range", "n", "words", "places")
+    many = runs.groupBy("range").agg(F.ceil(F.sum("n") / SCORED_WORDS).cast("int").alias("parts"))
+    dealt = runs.join(many, "range").withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int")).select("block", "range", "part", "words", "places")
+    copied = model.entries.join(many, "range").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("range", "part", "gram", "score", "leaving")
+    scored = dealt.groupBy("range", "part").cogroup(copied.groupBy("range", "part")).applyInArrow(_scored, "block long, places binary, scores binary")
+    kept = docs.schema["keep"].dataType
+    found = docs.groupBy("block").cogroup(staged(scored, "toxicity-scores").groupBy("block")).applyInArrow(
+        _featured, f"keep {kept.simpleString()}, {', '.join(f'{c} double' for c in FEATURES)}"
+    )
+    return found.select(*(F.col(f"keep.{n}").alias(n) for n in kept.names if n != "_"), *FEATURES)
 
 
 def fitted(features: np.ndarray, toxic: np.ndarray, ridge: float = 0.05, steps: int = 50) -> np.ndarray:
@@ -329,78 +331,65 @@ def fitted(features: np.ndarray, toxic: np.ndarray, ridge: float = 0.05, steps:
     return weights
 
 
+def tables(texts: DataFrame) -> DataFrame:
+    """(gram, toxic, ordinary) over labelled texts: of every beginning of a word, in how many of each class's texts words go on like it. Written."""
+    sums = F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")
+    words = staged(texts.mapInArrow(_count_pieces, COUNTS).groupBy("gram").agg(*sums), "toxicity-words")
+    return staged(words.mapInArrow(_count_edges, COUNTS).groupBy("gram").agg(*sums), "toxicity-edges")
+
+
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """The model of the labelled rows outside the held-out fold.
 
-    All labelled texts of the counted folds are counted, in the tasks and then by gram. There are at most
-    SYMBOLS ** ORDER grams; their ratios are made in SYMBOLS tasks, and the driver takes the table of one byte
-    each. It also takes the beginnings of the words of toxic texts, nine bytes each once they are in order. Rows with
-    NULL ids, texts or labels are not learned from. Without labels of both kinds, every score is
-    the share of toxic ones.
+    All labelled texts of the counted folds are counted, whole; very long ones like others, in steps. The driver gets counts of rows, and four numbers for each of at most CURVE_ROWS
+    rows, on which the curve is fitted. A row labelled twice is toxic if any label says so. Repeated rows count as often as they stand there. Rows
+    with NULL ids, texts or labels are not learned from. Without labels of both kinds, or without rows, every score is the share of toxic ones.
     """
-    learn = ~fold(id_col).isin(HELD_OUT, CURVE)
-    texts = labelled(df, labels, id_col, text_col, label_col, learn)
-    counts = texts.mapInArrow(_count, "gram int, toxic long, ordinary long")
-    counts = staged(counts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "toxicity-grams")
-    before = counts.groupBy(F.col("gram").bitwiseAND(CONTEXTS - 1).alias("rest")).agg(F.count("*").alias("n")).toArrow()
-    continuations = np.zeros(CONTEXTS, dtype=np.int64)
-    continuations[before.column("rest").to_numpy()] = before.column("n").to_numpy()
-    lower = df.sparkSession.sparkContext.broadcast(shared_backoff(continuations))
-
-    def part(key, rows):
-        own = [np.zeros(CONTEXTS, dtype=np.float64) for _ in range(2)]
-        at = rows.column("gram").to_numpy() & (CONTEXTS - 1)
-        for into, name in zip(own, ("toxic", "ordinary")):
-            into[at] = rows.column(name).to_numpy()
-        made = ratios(*(x.reshape(-1, SYMBOLS) for x in own), lower.value)
-        return pa.table({"first": pa.array([key[0].as_py()], pa.int32()), "ratios": pa.array([made.tobytes()], pa.binary())})
-
-    parts = counts.withColumn("first", F.shiftright("gram", 5 * (ORDER - 1))).groupBy("first").applyInArrow(part, "first int, ratios binary")
-    whole = np.zeros((SYMBOLS, CONTEXTS), dtype=np.int8)
-    for first, made in parts.collect():
-        whole[first] = np.frombuffer(made, dtype=np.int8)
-    sums = F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")
-    words = staged(texts.mapInArrow(_count_words, "word string, toxic long, ordinary long").groupBy("word").agg(*sums), "toxicity-words")
-    all_toxic, all_ordinary = words.agg(F.sum("toxic"), F.sum("ordinary")).first()
-    share = ((all_toxic or 0) + 1) / ((all_toxic or 0) + (all_ordinary or 0) + 2)
-
-    def odds(key, rows):
-        made = word_odds(*(rows.column(c).to_pylist() for c in ("word", "toxic", "ordinary")), share)
-        return pa.table({"hash": pa.array(np.array(made[0], dtype=np.uint64).view(np.int64)), "odds": pa.array(made[1], pa.int32())})
-
-    beginnings = words.withColumn("first", F.substring("word", 1, LEAST_LETTERS)).groupBy("first").applyInArrow(odds, "hash long, odds int").toArrow()
-    hashes = beginnings.column("hash").to_numpy().view(np.uint64)
-    order = np.argsort(hashes, kind="stable")
-    model = Model(whole.reshape(-1), np.zeros(1), hashes[order], beginnings.column("odds").to_numpy().astype(np.int8)[order])
+    edges = tables(labelled(df, labels, id_col, text_col, label_col, ~fold(id_col).isin(HELD_OUT, CURVE)))
+    entries = staged(ratios(edges), "toxicity-ratios")
+    ranges = max(16, -(-entries.count() // RANGE_ENTRIES))
+    every = F.sequence(F.lit(0), F.lit(ranges - 1))
+    where = F.when(F.char_length("gram") < BEGINNING, every).otherwise(F.array((F.crc32(F.left("gram", F.lit(BEGINNING))) % ranges).cast("int")))
+    dealt = staged(entries.select(F.explode(where).alias("range"), "gram", "score", "leaving"), "toxicity-entries")
+    model = Model(dealt, ranges, [0.0])
     chosen = labels.filter(F.col(label_col).isNotNull() & (fold(id_col) == CURVE)).orderBy(F.xxhash64(id_col), id_col, label_col).limit(CURVE_ROWS)
-    sample = labelled(df, chosen, id_col, text_col, label_col, fold(id_col) == CURVE).select("text", F.col("toxic").cast("int").alias("toxic"))
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sample = labelled(df, chosen, id_col, text_col, label_col, fold(id_col) == CURVE)
+    seen = features(sample, model, keep=[F.col("toxic").cast("int").alias("toxic")]).toArrow()
+    columns = np.column_stack([seen.column(c).to_numpy() for c in FEATURES]) if len(seen) else np.zeros((0, len(FEATURES)))
+    model.weights = fitted(columns, seen.column("toxic").to_numpy().astype(np.float64)).tolist()
+    return model
 
-    def make():
-        return lambda texts: [pa.array(c) for c in sent.value.features(texts).T]
 
-    seen = map_texts(sample, make, ", ".join(f"f{k} double" for k in range(FEATURES))).toArrow()
-    features = np.column_stack([seen.column(f"f{k}").to_numpy() for k in range(FEATURES)]) if len(seen) else np.zeros((0, FEATURES))
-    model.weights = fitted(features, seen.column("toxic").to_numpy().astype(np.float64))
-    return model
+def _keys(text_col: str) -> list[Column]:
+    """Two hashes of a text; equal texts have equal scores, so these stand for rows."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("key_1"), F.xxhash64(F.lit("second"), text).alias("key_2")]
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
     """The rows with the probability that their text is toxic, from 0 to 1.
 
-    Only the text counts. NULL and empty texts have the score of a text without evidence. A column of that name
-    is replaced; all others are kept. Equal texts have equal scores. No shuffle.
+    Only the text counts; equal texts, repeated rows included, have equal scores. NULL and empty texts have the score of a text without evidence. Very long texts
+    are scored whole. A column of that name is replaced; all others are kept. An empty table gives no rows.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    scored = features(df, model, text_col, _keys(text_col)).select("key_1", "key_2", model.score().alias("score")).groupBy("key_1", "key_2").agg(F.max("score").alias("score"))
+    rows = df.drop(out_col)
+    one, two = (unused(rows, n) for n in ("key_1", "key_2"))
+    keyed = rows.withColumns(dict(zip((one, two), _keys(text_col))))
+    return keyed.join(scored.select(F.col("key_1").alias(one), F.col("key_2").alias(two), F.col("score").alias(out_col)), [one, two]).drop(one, two)
 
-    def make():
-        return lambda texts: [pa.array(sent.value.scores(texts))]
 
-    return with_texts(df, text_col, make, f"`{out_col}` double")
+def without_toxic(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose text scores below the threshold, all columns as they are. Texts are not shuffled unless very many are rejected."""
+    found = features(df, model, text_col, _keys(text_col)).filter(model.score() >= threshold)
+    one, two = (unused(df, n) for n in ("key_1", "key_2"))
+    rejected = staged(found.select(F.col("key_1").alias(one), F.col("key_2").alias(two)).distinct(), "toxicity-rejected")
+    return df.withColumns(dict(zip((one, two), _keys(text_col)))).join(rejected, [one, two], "left_anti").drop(one, two)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     """Every document's score, the held-out fold marked."""
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = score(documents.select("doc_id", "text"), fit(documents, labels), out_col="score")
-    return scored.select("doc_id", (fold("doc_id") == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    model = fit(documents, labels)
+    found = features(documents, model, keep=[F.col("doc_id")]).select("doc_id", model.score().alias("score"))
+    return found.select("doc_id", (fold("doc_id") == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
