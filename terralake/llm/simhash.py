@@ -129,7 +129,9 @@ def links(fps: DataFrame, distance: int = 4, count: int = 7, equal: int = 3) ->
         for k, (_, held) in enumerate(keys)
     ]
     keyed = fps.select("fp").distinct().select("fp", F.explode(F.array(*entries)).alias("e")).select("e.k", "e.held", "fp")
-    shared = keyed.selectExpr("k", "held", "fp", "count(*) OVER (PARTITION BY k, held) AS n").filter("n > 1")
+    # Counted before the shuffle, so that the fingerprints of a key need not meet in one task to be dealt out.
+    counts = keyed.groupBy("k", "held").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = keyed.join(counts, ["k", "held"])
     dealt = (
         shared.withColumn("blocks", F.ceil(F.col("n") / BLOCK))
         .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
@@ -201,6 +203,99 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return marked.join(classes, "fp").select(id_col, "fp", "component_id", *(c for c in marked.columns if c not in (id_col, "fp")))
 
 
+#: Of texts of 0.8 similarity in five-word shingles, changed in scattered words, nine in ten lie so near in one of two fingerprints of their words.
+WORD_SEEDS, WORD_DISTANCE, WORD_SEGMENTS, WORD_EQUAL = (42, 43), 6, 9, 3
+#: Copies of a group's first text, so that a group of very many is compared with it in several tasks.
+SALTS = 32
+
+
+def word_fingerprints(text: str) -> list[int]:
+    """One fingerprint for each of WORD_SEEDS, over the distinct words: an edit changes one word, but five shingles."""
+    words = set(text.encode("utf-8").lower().split())
+    made = []
+    for seed in WORD_SEEDS:
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype="<u8", count=len(words))
+        counts = np.zeros(BITS, dtype=np.int64)
+        for at in range(0, len(hashes), COUNTED):
+            bits = np.unpackbits(hashes[at : at + COUNTED].view(np.uint8), bitorder="little").reshape(-1, BITS)
+            counts += np.add.reduce(bits, axis=0, dtype=np.int64)
+        made.append(int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]))
+    return made
+
+
+def shingles(text: str, size: int = 5) -> np.ndarray:
+    """Hashes of the distinct shingles; of fewer words the whole sequence, of none nothing."""
+    words = text.encode("utf-8").lower().split()
+    found = {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in found), dtype="<u8", count=len(found)).view(np.int64))
+
+
+def _jaccard(a: Column, b: Column) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+
+
+def _near(nodes: DataFrame) -> DataFrame:
+    """(node, root) of the texts that chains of near fingerprints connect: a superset of those that are similar."""
+    found = None
+    for k in range(len(WORD_SEEDS)):
+        fp = F.col(f"fp_{k}").alias("fp")
+        firsts = staged(nodes.groupBy(fp).agg(F.min("key").alias("rep")), "similar-fingerprints")
+        same = nodes.select("key", fp).join(firsts, "fp").filter("key != rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
+        near = links(firsts, WORD_DISTANCE, WORD_SEGMENTS, WORD_EQUAL)
+        one, two = (firsts.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab")
+        near = near.join(one, "a").join(two, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        found = same.union(near) if found is None else found.union(same).union(near)
+    return components(found)
+
+
+def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, size: int = 5) -> DataFrame:
+    """(id, of_text, component_id) for each row: component_id is the smallest id connected to it by texts whose distinct shingles of `size` words, in lower case, are similar.
+
+    Candidates come from the pigeonring filter over two fingerprints of the texts' words; every link is confirmed on the shingles. In a group of candidates each text is
+    compared with one of them, and those that are not similar to it with all near ones of the group, so a group of near copies costs as many comparisons as it has texts. of_text is the text's
+    hash; equal texts are one. Texts without words are similar to each other. NULL is the empty text. Rows with a NULL id may take the component of others; one of NULL ids only has none.
+    Repeated rows and ids give one row each; a very long text is read whole. Other columns are not carried. An empty table gives no rows.
+    """
+    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("key")
+
+    def make():
+        def of_texts(texts: list[str]) -> list[pa.Array]:
+            made = np.array([word_fingerprints(t) for t in texts], dtype=np.uint64).view(np.int64).reshape(-1, len(WORD_SEEDS))
+            return [pa.array(c) for c in made.T]
+
+        return of_texts
+
+    fields = ", ".join(f"fp_{k} long" for k in range(len(WORD_SEEDS)))
+    texts = staged(map_texts(id_and_text(df, id_col, text_col, key), make, fields), "similar-words")
+    nodes = staged(texts.groupBy("key").agg(F.min("id").alias("first"), *(F.min(f"fp_{k}").alias(f"fp_{k}") for k in range(len(WORD_SEEDS)))), "similar-texts")
+    groups = staged(_near(nodes).withColumnRenamed("node", "key").join(nodes, "key"), "similar-groups")
+    # Of each text that has a candidate, one row's text is read once more.
+    wanted = groups.select("key", F.col("first").alias("wanted"))
+    rows = id_and_text(df, id_col, text_col, key).join(wanted, "key").filter(F.col("id").eqNullSafe(F.col("wanted"))).select("text", "key").dropDuplicates(["key"])
+    sets = map_texts(rows, lambda: lambda ts: [pa.array([shingles(t, size) for t in ts], pa.list_(pa.int64()))], "shingles array<long>")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    members = staged(groups.join(sets, "key").withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")), "similar-members")
+    heads = members.filter("key = root").select("root", F.col("shingles").alias("head"), salt)
+    judged = staged(members.join(heads, ["root", "salt"]).withColumn("linked", _jaccard(F.col("shingles"), F.col("head")) >= similarity).drop("head"), "similar-judged")
+    own = ["key", "shingles", "linked", *(f"fp_{k}" for k in range(len(WORD_SEEDS)))]
+    others = judged.filter("NOT linked").select("root", salt, *(F.col(c).alias(f"own_{c}") for c in own))
+    near = [F.bit_count(F.col(f"fp_{k}").bitwiseXOR(F.col(f"own_fp_{k}"))) <= WORD_DISTANCE for k in range(len(WORD_SEEDS))]
+    pairs = others.alias("o").join(
+        judged.alias("j"),
+        (F.col("o.root") == F.col("j.root")) & (F.col("o.salt") == F.col("j.salt")) & (F.col("linked") | (F.col("key") < F.col("own_key"))) & (near[0] | near[1])
+        & (_jaccard(F.col("shingles"), F.col("own_shingles")) >= similarity),
+    )
+    # Of the texts linked to the first one, any connects.
+    found = pairs.groupBy("own_key", F.when(~F.col("linked"), F.col("key")).alias("to")).agg(F.min("key").alias("key")).select(F.col("own_key").alias("a"), F.col("key").alias("b"))
+    whole = judged.filter("linked AND key != root").select(F.col("key").alias("a"), F.col("root").alias("b")).union(found)
+    roots = components(whole).withColumnRenamed("node", "key")
+    rooted = staged(nodes.join(roots, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root")), "similar-roots")
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = rooted.join(lowest, "root").select("key", "component_id")
+    return texts.join(classes, "key").select(F.col("id").alias(id_col), F.col("key").alias("of_text"), "component_id")
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))

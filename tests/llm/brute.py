@@ -49,6 +49,41 @@ def classes(ids, fps, distance=4):
     return dict(zip(ids, label))
 
 
+def shingle_sets(docs, size=5):
+    made = {}
+    for key, text in docs:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        made[key] = {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+    return made
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def similar_classes(docs, similarity=0.8):
+    """Smallest id reachable over texts of that similarity, by comparing all pairs that share a shingle."""
+    sets = shingle_sets(docs)
+    holders = collections.defaultdict(list)
+    for key, found in sets.items():
+        for x in found or {b""}:
+            holders[x].append(key)
+    label = {k: k for k in sets}
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for keys in holders.values():
+        for i, a in enumerate(keys):
+            for b in keys[:i]:
+                x, y = root(a), root(b)
+                if x != y and jaccard(sets[a], sets[b]) >= similarity:
+                    label[max(x, y)] = min(x, y)
+    return {k: root(k) for k in sets}
+
+
 def _lines(text):
     cuts = [(m.start(), m.end()) for m in re.finditer(r"\n|(?<=[.!?])[ \t]+", text)]
     starts = [0, *(e for _, e in cuts)]

@@ -66,3 +66,56 @@ def test_odd_rows(odd):
     assert {r["component_id"] for r in empty} == {2} and len(empty) == 4
     assert [r["component_id"] for r in made if r["doc_id"] is None and r["fp"] != 0] == [None]
     assert simhash.near_duplicates(odd.limit(0)).collect() == []
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_similar_texts_against_all_pairs(spark, documents):
+    """Near copies of every degree, a hot group of copies and a hot group of near copies; what is linked is similar, and nine in ten similar pairs are linked."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    docs, n = [], 0
+    for _ in range(150):
+        base = [word() for _ in range(rng.randint(120, 400))]
+        for k in (0, 0, 1, 2, 4, 6):
+            docs.append((n, edited(rng, base, min(k, len(base) // 45))))
+            n += 1
+    hot = [word() for _ in range(250)]
+    docs += [(n + k, edited(rng, hot, k % 4)) for k in range(400)] + [(n + 400 + k, "the same text " * 9) for k in range(200)]
+    docs += [(5000, ""), (5001, None), (5002, " \n")]
+    found = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect()}
+    want = brute.similar_classes(docs)
+    sets = brute.shingle_sets(docs)
+    assert len(found) == len(docs) and all(found[k] <= k for k in found)
+    # Classes found are parts of the true ones.
+    assert all(want[k] == want[found[k]] for k in found)
+    near = [(a, b) for a, b in itertools.combinations(range(900), 2) if a // 6 == b // 6 and 0.8 <= brute.jaccard(sets[a], sets[b]) < 1]
+    assert len(near) > 500 and sum(found[a] == found[b] for a, b in near) >= 0.9 * len(near)
+    assert len({found[n + k] for k in range(400)}) == 1 and len({found[n + 400 + k] for k in range(200)}) == 1
+    assert found[5000] == found[5001] == found[5002] == 5000
+
+
+def test_similar_texts_of_the_table(spark):
+    """Recall over the pairs of the given table, by brute force over shared shingles."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    found = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want, sets = brute.similar_classes(docs), brute.shingle_sets(docs)
+    assert all(want[k] == want[found[k]] for k in found)
+    classes = {}
+    for k, v in want.items():
+        classes.setdefault(v, []).append(k)
+    pairs = [(a, b) for v in classes.values() for a, b in itertools.combinations(v, 2) if 0.8 <= brute.jaccard(sets[a], sets[b]) < 1]
+    linked = sum(found[a] == found[b] for a, b in pairs)
+    assert linked >= 0.9 * len(pairs), (linked, len(pairs))
+
+
+def test_similar_texts_odd_rows(odd):
+    made = simhash.similar_texts(odd).collect()
+    assert len(made) == odd.count()
+    assert [r["component_id"] for r in made if r["doc_id"] in (2, 3, 4)] == [2, 2, 2]
+    assert simhash.similar_texts(odd.limit(0)).collect() == []
