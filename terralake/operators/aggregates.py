@@ -7,8 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Accuracy of the sketch: ranks are off by at most one in so many.
-SKETCH = 10_000
+from terralake.operators.scan import Ranges, written
 
 
 def with_total(
@@ -32,63 +31,32 @@ def quantiles_by(
     value: str,
     ps: Mapping[str, float],
     extra: Sequence[Column] = (),
+    parts: int | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles of one measure per key, safe for hot keys. Keys must not be NULL.
 
-    Rows are counted per (key, value) with map-side combine. A sketch brackets each quantile
-    within its error, the counts below the bracket give the rank at which it begins, and only values inside
-    it are put in order: a few of every ten thousand, so no task holds a key's values. The
-    neighbours of the bracket stand in where the interpolation reaches one rank beyond it. Aggregates in
-    ``extra`` may refer to the measure and its weight as ``_value`` and ``_n``.
+    The measure is read once: its rows are counted per (key, value) with map-side combine, and the counts are dealt out by ranges
+    of key and value and written. What a key has in the ranges before gives the ranks of a range's values, so no task holds a
+    key. Aggregates in ``extra`` may refer to the measure and its weight as ``_value`` and ``_n``.
     """
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    wide = 2 / SKETCH
-    ends = [e for p in ps.values() for e in (max(0.0, p - wide), min(1.0, p + wide))]
-    sketch = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile_approx(value, ends, SKETCH).alias("_ends"))
-    bracketed = counted.join(sketch, [*keys])
-    low, high = lambda i: F.col("_ends")[2 * i], lambda i: F.col("_ends")[2 * i + 1]
-    v, n = F.col("_value"), F.col("_n")
-    around = [
-        c
-        for i in range(len(ps))
-        for c in (
-            F.coalesce(F.sum(F.when(v < low(i), n)), F.lit(0)).alias(f"_below{i}"),
-            F.max(F.when(v < low(i), v)).alias(f"_under{i}"),
-            F.min(F.when(v > high(i), v)).alias(f"_over{i}"),
-        )
-    ]
-    totals = bracketed.groupBy(*keys).agg(F.sum("_n").alias("_total"), *around, *extra)
-    inside = F.array(*(F.when(v.between(low(i), high(i)), F.lit(i)) for i in range(len(ps))))
-    ordered = (
-        bracketed.select(*keys, v, n, F.explode(F.array_compact(inside)).alias("_i"))
-        .withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys, "_i").orderBy("_value")))
-        .join(totals.select(*keys, "_total", *(f"_below{i}" for i in range(len(ps)))), [*keys])
-    )
-    pick = lambda names: F.element_at(F.array(*names), F.col("_i") + 1)
-    place = pick([F.lit(p) for p in ps.values()]) * (F.col("_total") - 1).cast("double")
-    end = pick([F.col(f"_below{i}") for i in range(len(ps))]) + F.col("_upto")
-    found = ordered.groupBy(*keys).agg(
-        *(
-            c
-            for i in range(len(ps))
-            for c in (
-                F.max(F.when((F.col("_i") == i) & (F.floor(place) < end) & (F.floor(place) >= end - n), v)).alias(f"_a{i}"),
-                F.max(F.when((F.col("_i") == i) & (F.ceil(place) < end) & (F.ceil(place) >= end - n), v)).alias(f"_b{i}"),
-            )
-        ),
-    )
-    out = totals.join(found, [*keys], "left")
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    ranges = Ranges.of(counted, [*keys, "_value"], parts)
+    part, at = Ranges.PART, Ranges.AT
+    spans = written(ranges.before(keys, [F.sum("_n").alias("_own")]), "quantile-ranges")
+    totals = ranges.rows.groupBy(*keys).agg(F.sum("_n").alias("_total"), *extra)
+    upto = F.col("_own_before") + F.sum("_n").over(Window.partitionBy(part, *keys).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sizes = spans.groupBy(*keys).agg(F.sum("_own").alias("_all"))
+    ranked = ranges.rows.join(spans.drop("_own"), [part, *keys]).join(sizes, [*keys]).withColumn("_upto", upto)
+    holds = lambda rank: (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n"))
+    place = lambda p, total: F.lit(p) * (F.col(total) - 1).cast("double")
+    ends = [(f"_{end}{i}", rounded(place(p, "_all"))) for i, p in enumerate(ps.values()) for end, rounded in (("a", F.floor), ("b", F.ceil))]
+    found = ranked.groupBy(*keys).agg(*(F.max(F.when(holds(rank), F.col("_value"))).alias(name) for name, rank in ends))
+    out = totals.join(found, [*keys])
     made = {}
     for i, (name, p) in enumerate(ps.items()):
-        at_ = F.lit(p) * (F.col("_total") - 1).cast("double")
-        value_of = lambda rank, got, i=i: F.coalesce(F.col(got), F.when(rank < F.col(f"_below{i}"), F.col(f"_under{i}")).otherwise(F.col(f"_over{i}")))
-        a, b = value_of(F.floor(at_), f"_a{i}"), value_of(F.ceil(at_), f"_b{i}")
+        a, b, at_ = F.col(f"_a{i}"), F.col(f"_b{i}"), place(p, "_total")
         made[name] = F.when(a == b, a).otherwise((F.ceil(at_) - at_) * a + (at_ - F.floor(at_)) * b)
-    names = [c for c in totals.columns if c not in keys and not c.startswith(("_below", "_under", "_over")) and c != "_total"]
+    names = [c for c in totals.columns if c not in keys and c != "_total"]
     return out.select(*keys, *names, *(c.cast("double").alias(name) for name, c in made.items()))
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralake.functions.scalar import EARTH_RADIUS_KM, chord_km, col_of, haversine_km
@@ -237,33 +237,24 @@ def decluster(
     lat: str = "lat",
     lon: str = "lon",
     magnitude: str = "magnitude",
-    event_id: str = "event_id",
     rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Drop events that follow a larger one within ``days`` and ``km``.
 
-    An anti join on (cell, time slot): the possible parents are copied to the
-    cells and slots they can reach, each event looks into its own only. Crowded cells
+    An anti join on (cell, time slot) of slots of ``days``: each event looks into its own cell and slot, and
+    the possible parents (see ``skyline``) are copied to the cells and slots they can reach. Crowded cells
     are split: events stay single, so it does not matter which part holds one.
     """
     grid = Grid(km)
     own = _placed(events, grid, days, (time, lat, lon))
-    parents = events.select(
-        F.col(event_id).alias("_pid"),
-        F.col(time).alias("_ptime"),
-        F.col(lat).alias("_plat"),
-        F.col(lon).alias("_plon"),
-        F.col(magnitude).alias("_pmag"),
-    )
-    parents = _reach(parents, grid, days, ("_ptime", "_plat", "_plon"))
     keys = [_CELL, _SLOT]
+    parents = grid.copy_around(skyline(events, days, time, lat, lon, magnitude), "_plat", "_plon", _CELL)
     if rows_per_task:
         own, parents = salt_hot(own, parents, keys, rows_per_task)
         keys.append(_SALT)
     window = F.make_dt_interval(days=F.lit(days))
     bigger_before = (
-        (F.col("_pid") != F.col(event_id))
-        & (F.col("_pmag") > F.col(magnitude))
+        (F.col("_pmag") > F.col(magnitude))
         & (F.col("_ptime") < F.col(time))
         & (F.col("_ptime") >= F.col(time) - window)
         & (haversine_km("_plat", "_plon", lat, lon) <= km)
@@ -271,3 +262,30 @@ def decluster(
     for key in keys:
         bigger_before = bigger_before & (F.col(f"e.{key}") == F.col(f"p.{key}"))
     return own.alias("e").join(parents.alias("p"), bigger_before, "left_anti").drop(*keys)
+
+
+def skyline(
+    events: DataFrame,
+    days: int,
+    time: str = "time",
+    lat: str = "lat",
+    lon: str = "lon",
+    magnitude: str = "magnitude",
+) -> DataFrame:
+    """(_plat, _plon, _pmag, _ptime, _slot): what the events of each spot and slot leave to look at, in their own slot and in the next.
+
+    In its own slot an event beats another of its spot that is later and not larger; to the next slot, all of which is later,
+    one that is earlier and not larger. Whatever follows the beaten one within the window follows the other too. Of equal magnitudes the earliest
+    or the latest is taken before the shuffle, so a spot sends at most as many rows as it has magnitudes.
+    """
+    slot = _slot(F.col(time), days)
+    spot = ["_plat", "_plon", "_from"]
+    ends = events.groupBy(F.col(lat).alias("_plat"), F.col(lon).alias("_plon"), slot.alias("_from"), F.col(magnitude).alias("_pmag")).agg(
+        F.min(time).alias("_first"), F.max(time).alias("_last")
+    )
+    larger = Window.partitionBy(*spot).orderBy(F.desc("_pmag")).rowsBetween(Window.unboundedPreceding, -1)
+    beaten = ends.select("*", F.min("_first").over(larger).alias("_earlier"), F.max("_last").over(larger).alias("_later"))
+    own = F.when(F.col("_earlier").isNull() | (F.col("_first") < F.col("_earlier")), F.struct(F.col("_first").alias("t"), F.col("_from").alias("s")))
+    after = F.when(F.col("_later").isNull() | (F.col("_last") > F.col("_later")), F.struct(F.col("_last").alias("t"), (F.col("_from") + 1).alias("s")))
+    left = beaten.select("_plat", "_plon", "_pmag", F.explode(F.array_compact(F.array(own, after))).alias("_p"))
+    return left.select("_plat", "_plon", "_pmag", F.col("_p.t").alias("_ptime"), F.col("_p.s").alias(_SLOT))

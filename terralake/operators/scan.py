@@ -20,6 +20,13 @@ from terralake.session import ensure_checkpoint_dir
 PLACE_BITS = 33
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again, so that they are made once and lineage ends at files."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Ranges:
     """Rows in ranges of an order: `rows` has the columns given and PART and AT.
 
@@ -38,9 +45,7 @@ class Ranges:
         by = [c for o in order for c in (order_columns([o]) if isinstance(o, str) else [o])]
         dealt = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
         placed = dealt.sortWithinPartitions(*by).withColumn(cls.AT, F.monotonically_increasing_id())
-        path = f"{ensure_checkpoint_dir(df.sparkSession)}/ranges-{uuid.uuid4().hex}"
-        placed.write.parquet(path)
-        read = df.sparkSession.read.schema(placed.schema).parquet(path)
+        read = written(placed, "ranges")
         return cls(read.withColumn(cls.PART, F.shiftright(cls.AT, PLACE_BITS).cast("int")))
 
     def done(self) -> DataFrame:

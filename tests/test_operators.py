@@ -101,6 +101,22 @@ def test_decluster_equals_brute_force(spark):
     assert not any(name in executed_plan(got) for name in NO_PAIRS)
 
 
+def test_decluster_over_few_spots_with_ties(spark):
+    """Many events of one spot, of equal times and magnitudes, over several slots; events of neighbouring spots count too."""
+    rng = random.Random(4)
+    data = [(f"e{k}", rng.randrange(0, 400) * 43_200, 10.0 + rng.randrange(3) * 0.5, 20.0, 5 + rng.randrange(8) / 2) for k in range(900)]
+    q = spark.createDataFrame(data, "event_id string, s long, lat double, lon double, magnitude double").withColumn("time", F.timestamp_seconds("s")).drop("s")
+    near = lambda a, b: abs(a[2] - b[2]) < 0.6
+    beaten = {e[0] for e in data for p in data if p[4] > e[4] and p[1] < e[1] <= p[1] + 30 * 86_400 and near(p, e)}
+    for limit in (None, 40):
+        got = {r.event_id for r in geo.decluster(q, 70, 30, rows_per_task=limit).collect()}
+        assert got == {e[0] for e in data} - beaten
+    # Three spots of fourteen magnitudes and eight slots: at most two rows for each of them.
+    left = geo.skyline(q, 30)
+    assert left.count() < 0.3 * 2 * len(data)
+    assert left.groupBy("_plat", "_slot").count().agg(F.max("count")).first()[0] <= 2 * 14
+
+
 def test_stab_clips_and_skips_spans_outside(spark):
     spans = spark.createDataFrame([(1, 1990, 1992), (2, 1980, 1985), (3, 2001, None), (4, 1999, 1998)], "id int, s int, e int")
     got = sorted(rows(joins.stab(spans, "s", F.coalesce("e", F.lit(2026)), 1991, 2002).select("id", "year")))
@@ -244,3 +260,13 @@ def test_bracket_and_acf_over_ranges(spark):
     keyed = joins.acf(df.withColumn("k", F.lit(1)), ["t"], "v", [1, 5], fn.safe_corr, keys=["k"]).drop("k")
     near = lambda f: sorted((r.lag, r.n_pairs, round(r.acf, 9)) for r in f.collect())
     assert near(whole) == near(keyed) and "SinglePartition" not in executed_plan(whole)
+
+
+def test_quantiles_read_the_measure_once(spark, tmp_path):
+    spark.range(4000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 40).cast("string")).alias("k"), (F.col("id") * 7919 % 1009 / 8).alias("v")).write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    got = aggregates.quantiles_by(df, ["k"], "v", {"a": 0.05, "b": 0.5, "c": 1.0}, [F.sum("_n").alias("n")], parts=8)
+    want = df.groupBy("k").agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.5), F.lit(1.0))).alias("q"), F.count("*").alias("n"))
+    assert {r.k: (r.n, round(r.a, 9), round(r.b, 9), round(r.c, 9)) for r in got.collect()} == {r.k: (r.n, *(round(x, 9) for x in r.q)) for r in want.collect()}
+    plan = executed_plan(got).split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") <= 4 and str(tmp_path) not in plan
