@@ -26,6 +26,8 @@ SEED, BITS = 42, 64
 COUNTED = 1 << 16
 #: Fingerprints of one key that a task takes at once; larger keys are dealt out as pairs of blocks.
 BLOCK = 50_000
+#: One in so many fingerprints tells which keys are that large.
+PART = 16
 
 
 def fingerprint(text: str, shingle: int = 4) -> int:
@@ -129,11 +131,11 @@ def links(fps: DataFrame, distance: int = 4, count: int = 7, equal: int = 3) ->
         for k, (_, held) in enumerate(keys)
     ]
     keyed = fps.select("fp").distinct().select("fp", F.explode(F.array(*entries)).alias("e")).select("e.k", "e.held", "fp")
-    # Counted before the shuffle, so that the fingerprints of a key need not meet in one task to be dealt out.
-    counts = keyed.groupBy("k", "held").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = keyed.join(counts, ["k", "held"])
+    # What is held by very many is found from a part of the fingerprints: how a key is dealt out changes the work, not the links.
+    part = keyed.filter(F.pmod(F.xxhash64(F.lit("part"), "fp"), F.lit(PART)) == 0).groupBy("k", "held").agg((F.count("*") * PART).alias("n")).filter(F.col("n") > BLOCK)
     dealt = (
-        shared.withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+        keyed.join(part, ["k", "held"], "left")
+        .withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1).cast("long")))
         .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select("k", "held", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
@@ -181,7 +183,9 @@ def links(fps: DataFrame, distance: int = 4, count: int = 7, equal: int = 3) ->
         settle()
         yield made()
 
-    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long").distinct()
+    # A pair of blocks is counted where it is sorted, without a shuffle of its own; fingerprints that share nothing stay out of Python.
+    shared = dealt.repartition(*group).selectExpr(*group, "fp", "count(*) OVER (PARTITION BY k, held, x, y) AS n").filter("n > 1").drop("n")
+    return shared.sortWithinPartitions(*group).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, more: Sequence[Column] = ()) -> DataFrame:
@@ -204,7 +208,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 #: Of texts of 0.8 similarity in five-word shingles, changed in scattered words, nine in ten lie so near in one of two fingerprints of their words.
-WORD_SEEDS, WORD_DISTANCE, WORD_SEGMENTS, WORD_EQUAL = (42, 43), 6, 9, 3
+WORD_SEEDS, WORD_DISTANCE, WORD_SEGMENTS, WORD_EQUAL = (42, 43), 6, 10, 3
 #: Copies of a group's first text, so that a group of very many is compared with it in several tasks.
 SALTS = 32
 

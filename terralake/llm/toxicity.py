@@ -1,7 +1,7 @@
 """Toxicity by class-conditional Kneser-Ney models over the letters of words.
 
 Two models, one of toxic and one of ordinary texts, give the probability of each letter of a word after all letters before
-it. Both back off to the same distribution: how many beginnings of words, of either class, go on with a letter after its last two, one
+it. Both back off to the same distribution: how many words, of either class, go on with a letter after its last two, one
 or none. So a rare expression takes the same probability in both but for what its own class has seen, and what no toxic
 text begins is left to the shared counts altogether. A word is scored by the difference of its two log-likelihoods, a text by its highest
 words and by the difference a letter over all of it; a logistic curve fitted on a fold that the models have not counted turns this into a
@@ -94,30 +94,54 @@ def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from _counts(held)
 
 
-def _count_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of all beginnings of the pieces, each a context and the letter after it."""
-    held: tuple[Counter, Counter] = (Counter(), Counter())
+def _count_tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each letter stands after the SHARED letters before it (fewer at the start), over distinct pieces."""
+    held: Counter = Counter()
+
+    def made():
+        batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["tail", "n"])
+        held.clear()
+        return batch
+
     for batch in batches:
-        for piece, *counts in zip(*(batch.column(c).to_pylist() for c in ("gram", "toxic", "ordinary"))):
+        for piece in batch.column("gram").to_pylist():
             whole = piece + END
-            for kind in (0, 1):
-                if n := counts[1 - kind]:
-                    for k in range(2, len(whole) + 1):
-                        held[kind][whole[:k]] += n
-            if len(held[0]) + len(held[1]) > HELD_COUNTS:
-                yield from _counts(held)
-    yield from _counts(held)
+            held.update(whole[max(0, k - SHARED) : k + 1] for k in range(1, len(whole)))
+        if len(held) > HELD_COUNTS:
+            yield made()
+    yield made()
+
+
+def _count_edges(words: pa.Table) -> pa.Table:
+    """Counts of beginnings, each a context and the letter after it, over the pieces of a range: short ones, and those whose context a toxic text has."""
+    held: tuple[Counter, Counter] = (Counter(), Counter())
+    rows = list(zip(*(words.column(c).to_pylist() for c in ("gram", "toxic", "ordinary"))))
+    for piece, toxic, _ in rows:
+        if toxic:
+            whole = piece + END
+            for k in range(2, len(whole) + 1):
+                held[1][whole[:k]] += toxic
+    known = {gram[:-1] for gram in held[1]}
+    for piece, _, ordinary in rows:
+        if ordinary:
+            whole = piece + END
+            for k in range(2, len(whole) + 1):
+                if k > BEGINNING and whole[: k - 1] not in known:
+                    break
+                held[0][whole[:k]] += ordinary
+    grams = list(held[0].keys() | held[1].keys())
+    return pa.table({"gram": pa.array(grams, pa.string())} | {n: pa.array([held[y][g] for g in grams], pa.int64()) for n, y in (("toxic", 1), ("ordinary", 0))})
 
 
-def shared_backoff(edges: DataFrame) -> DataFrame:
-    """(tail, shared): P(letter | the last SHARED letters of the context) for every tail of context and letter.
+def shared_backoff(tails: DataFrame) -> DataFrame:
+    """(tail, shared) from (tail, n): P(letter | the last SHARED letters of the context) for every tail of context and letter.
 
-    Counts are of distinct beginnings that end in the tail, discounted, with the rest given to the tail that is a letter shorter; at
+    Counts are of distinct words, of either class, that hold the tail, discounted, with the rest given to the tail that is a letter shorter; at
     the end stands one part for each letter there is. There are as many rows as sequences of three letters.
     """
     below = None
     for order in range(SHARED + 1):
-        counts = edges.groupBy(F.right("gram", F.lit(order + 1)).alias("tail")).agg(F.count("*").alias("n"))
+        counts = tails.groupBy(F.right("tail", F.lit(order + 1)).alias("tail")).agg(F.sum("n").alias("n"))
         counts = counts.withColumn("context", F.expr("left(tail, char_length(tail) - 1)"))
         totals = counts.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
         if below is None:
@@ -134,7 +158,7 @@ def _interpolated(n: Column, total: Column, kinds: Column, lower: Column) -> Col
     return (F.greatest(n - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * lower) / total
 
 
-def ratios(edges: DataFrame) -> DataFrame:
+def ratios(edges: DataFrame, tails: DataFrame) -> DataFrame:
     """(gram, score, leaving): after a context that toxic texts have, how much a letter speaks for them, and how much any letter that has not been seen there does.
 
     Rows with a score are contexts with their letter, rows with `leaving` are contexts. Log of P(toxic) over P(ordinary); a class that does not have
@@ -147,7 +171,7 @@ def ratios(edges: DataFrame) -> DataFrame:
     shared = F.col("shared")
     of = lambda c: _interpolated(F.col(c), F.col(f"{c[0]}_total"), F.col(f"{c[0]}_kinds"), shared)
     known = F.col("o_total") > 0
-    scored = edges.join(contexts, "context").join(shared_backoff(edges), "tail")
+    scored = edges.join(contexts, "context").join(shared_backoff(tails), "tail")
     score = F.ln(of("toxic")) - F.when(known, F.ln(of("ordinary"))).otherwise(F.ln(shared))
     leaving = F.ln(DISCOUNT * F.col("t_kinds") / F.col("t_total")) - F.when(known, F.ln(DISCOUNT * F.col("o_kinds") / F.col("o_total"))).otherwise(0.0)
     none = F.lit(None).cast("float")
@@ -331,11 +355,17 @@ def fitted(features: np.ndarray, toxic: np.ndarray, ridge: float = 0.05, steps:
     return weights
 
 
-def tables(texts: DataFrame) -> DataFrame:
-    """(gram, toxic, ordinary) over labelled texts: of every beginning of a word, in how many of each class's texts words go on like it. Written."""
+def tables(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gram, toxic, ordinary) and (tail, n) over labelled texts, written: of beginnings of words, in how many of each class's texts words go on like them; and of letters
+    after two others, in how many words they stand. Beginnings that go on where no toxic text does are left out, their letters are not scored."""
     sums = F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")
     words = staged(texts.mapInArrow(_count_pieces, COUNTS).groupBy("gram").agg(*sums), "toxicity-words")
-    return staged(words.mapInArrow(_count_edges, COUNTS).groupBy("gram").agg(*sums), "toxicity-edges")
+    tails = staged(words.mapInArrow(_count_tails, "tail string, n long").groupBy("tail").agg(F.sum("n").alias("n")), "toxicity-tails")
+    ranges = max(16, -(-words.count() // RANGE_ENTRIES))
+    # Words of one beginning, the end mark counted as in `range_of`, are in one range.
+    dealt = words.withColumn("range", F.crc32(F.left(F.concat("gram", F.lit(END)), F.lit(BEGINNING))) % ranges)
+    edges = dealt.groupBy("range").applyInArrow(_count_edges, COUNTS)
+    return staged(edges.groupBy("gram").agg(*sums), "toxicity-edges"), tails
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -345,8 +375,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     rows, on which the curve is fitted. A row labelled twice is toxic if any label says so. Repeated rows count as often as they stand there. Rows
     with NULL ids, texts or labels are not learned from. Without labels of both kinds, or without rows, every score is the share of toxic ones.
     """
-    edges = tables(labelled(df, labels, id_col, text_col, label_col, ~fold(id_col).isin(HELD_OUT, CURVE)))
-    entries = staged(ratios(edges), "toxicity-ratios")
+    edges, tails = tables(labelled(df, labels, id_col, text_col, label_col, ~fold(id_col).isin(HELD_OUT, CURVE)))
+    entries = staged(ratios(edges, tails), "toxicity-ratios")
     ranges = max(16, -(-entries.count() // RANGE_ENTRIES))
     every = F.sequence(F.lit(0), F.lit(ranges - 1))
     where = F.when(F.char_length("gram") < BEGINNING, every).otherwise(F.array((F.crc32(F.left("gram", F.lit(BEGINNING))) % ranges).cast("int")))

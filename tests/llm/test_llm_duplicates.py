@@ -45,6 +45,7 @@ def test_links_connect_what_all_pairs_connect(spark, documents):
 
 def test_blocks_of_a_large_key_lose_nothing(spark, documents, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "PART", 1)
     base = 0x0123456789ABCDEF
     fps = [base ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(a)][:300]
     frame = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")

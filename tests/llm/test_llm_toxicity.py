@@ -31,7 +31,8 @@ class Plain:
                 whole = piece + "$"
                 self.n[toxic].update(whole[: k + 1] for k in range(1, len(whole)))
         self.edges = set(self.n[True]) | set(self.n[False])
-        self.tails = [collections.Counter(e[-k:] for e in self.edges) for k in (1, 2, 3)]
+        words = {piece + "$" for text, _ in texts for piece in toxicity.pieces(text)}
+        self.tails = [collections.Counter(w[: j + 1][-k:] for w in words for j in range(1, len(w))) for k in (1, 2, 3)]
 
     def shared(self, tail, order):
         counts = self.tails[order]
@@ -65,11 +66,13 @@ TEXTS = [
 
 def test_models_equal_the_formulas(spark, documents):
     plain = Plain(TEXTS)
-    edges = toxicity.tables(spark.createDataFrame(TEXTS, "text string, toxic boolean"))
-    assert {r.gram: (r.toxic, r.ordinary) for r in edges.collect()} == {e: (plain.n[True][e], plain.n[False][e]) for e in plain.edges}
-    backoff = {r.tail: r.shared for r in toxicity.shared_backoff(edges).collect()}
+    edges, tails = toxicity.tables(spark.createDataFrame(TEXTS, "text string, toxic boolean"))
+    begun = {e[:-1] for e in plain.n[True]}
+    useful = {e for e in plain.edges if e[:-1] in begun or len(e) <= toxicity.BEGINNING}
+    assert {r.gram: (r.toxic, r.ordinary) for r in edges.collect()} == {e: (plain.n[True][e], plain.n[False][e]) for e in useful}
+    backoff = {r.tail: r.shared for r in toxicity.shared_backoff(tails).collect()}
     assert backoff == pytest.approx({t: plain.shared(t, 2) for t in plain.tails[2]})
-    rows = toxicity.ratios(edges).collect()
+    rows = toxicity.ratios(edges, tails).collect()
     scorer = toxicity.Scorer([r.gram for r in rows], [r.score for r in rows], [r.leaving for r in rows])
     words = [p for t, _ in TEXTS for p in toxicity.pieces(t)] + ["^grobianly", "^gz", "^zz", "^йцук", "^", "~q", "^garden"]
     for word in words:
