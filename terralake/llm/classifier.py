@@ -167,6 +167,15 @@ def _fitted(slots: list[np.ndarray], values: list[np.ndarray], target: np.ndarra
     return weights, intercept
 
 
+#: The largest hash; a row is fitted if its own is within the share of all rows that are to be.
+HASHES = (1 << 63) - 1
+
+
+def hash_bound(total: int) -> int:
+    """About FITTED_ROWS of so many rows have a hash up to this, however many there are."""
+    return HASHES if total <= FITTED_ROWS else HASHES * FITTED_ROWS // total
+
+
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Votes of all rows give the posteriors; about FITTED_ROWS of the rows fit the scorer.
 
@@ -192,8 +201,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
 
         return of_texts
 
-    share = min(1.0, FITTED_ROWS / total)
-    chosen = rows.filter(F.pmod(F.xxhash64("id", F.crc32("text")), F.lit(1_000_000)) < round(share * 1_000_000))
+    chosen = rows.filter(F.xxhash64("id", F.crc32("text")).bitwiseAND(F.lit(HASHES)) <= hash_bound(total))
     seen = map_texts(chosen, sampled, "slots array<int>, shares array<float>, pattern int").select("slots", "shares", "pattern").toArrow()
     lists = lambda name: [np.array(x.values) for c in seen.column(name).chunks for x in c]
     weights, intercept = _fitted(lists("slots"), lists("shares"), good[seen.column("pattern").to_numpy()] if len(seen) else np.zeros(0))

@@ -84,3 +84,12 @@ def test_query_columns(spark):
     from terralake.llm.registry import QUERIES
 
     assert QUERIES["op1_classifier"](spark, SF).columns == ["doc_id", "posterior", "score", "kept"]
+
+
+def test_as_many_rows_are_fitted_of_any_number():
+    from terralake.llm import classifier
+
+    assert classifier.hash_bound(5) == classifier.hash_bound(classifier.FITTED_ROWS) == classifier.HASHES
+    for total in (10**5, 10**9, 2 * 10**10, 10**11, 10**13):
+        rows = total * (classifier.hash_bound(total) + 1) / (classifier.HASHES + 1)
+        assert abs(rows - classifier.FITTED_ROWS) < 1
