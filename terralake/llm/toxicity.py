@@ -64,12 +64,12 @@ def pieces(text: str) -> Iterator[str]:
                 yield (FURTHER if at else START) + word[at : at + PIECE_LETTERS]
 
 
-def labelled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, which: Column) -> DataFrame:
+def labelled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, which: Column, few: bool = False) -> DataFrame:
     """(text, toxic) of the rows with a label in the folds; a row labelled twice is toxic if any label says so."""
     marks = labels.filter(F.col(label_col).isNotNull() & which).groupBy(F.col(id_col).alias("marked")).agg((F.max(label_col) > 0).alias("toxic"))
     texts = df.filter(F.col(text_col).isNotNull() & which).select(F.col(id_col).alias("marked"), F.col(text_col).cast("string").alias("text"))
-    # Always a sort-merge join: the labels grow with the texts, and the plan is the same at every size.
-    return texts.join(marks.hint("merge"), "marked")
+    # A sort-merge join at every size, as the labels grow with the texts; but for at most CURVE_ROWS labels the texts need not be shuffled.
+    return texts.join(F.broadcast(marks) if few else marks.hint("merge"), "marked")
 
 
 COUNTS = "gram string, toxic long, ordinary long"
@@ -383,7 +383,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     dealt = staged(entries.select(F.explode(where).alias("range"), "gram", "score", "leaving"), "toxicity-entries")
     model = Model(dealt, ranges, [0.0])
     chosen = labels.filter(F.col(label_col).isNotNull() & (fold(id_col) == CURVE)).orderBy(F.xxhash64(id_col), id_col, label_col).limit(CURVE_ROWS)
-    sample = labelled(df, chosen, id_col, text_col, label_col, fold(id_col) == CURVE)
+    sample = labelled(df, chosen, id_col, text_col, label_col, fold(id_col) == CURVE, few=True)
     seen = features(sample, model, keep=[F.col("toxic").cast("int").alias("toxic")]).toArrow()
     columns = np.column_stack([seen.column(c).to_numpy() for c in FEATURES]) if len(seen) else np.zeros((0, len(FEATURES)))
     model.weights = fitted(columns, seen.column("toxic").to_numpy().astype(np.float64)).tolist()
