@@ -1,18 +1,17 @@
-"""Repeated passages over whole lines, found by winnowing and deleted where they come later.
-
-Lines are cut at line ends and, within long lines, after sentences; lines without words
-count for nothing. A gram is a stretch of lines with at least NOISE words. Of the grams of
-every stretch with at least SURE words the one with the least hash is selected, so two
-documents that share such a stretch select the same gram. Selected grams are joined on their hash;
-a match with an earlier place is extended to both sides for as long as the next gram also
-stands at an earlier place, in any document that shares a selected gram with another. What a run covers
-is deleted from the later document.
+"""Repeated passages over lines and pieces of lines, found by winnowing and deleted where they come later.
+
+Lines are cut at line ends and after sentences, and sentences of more than LONG words into pieces at
+words that their neighbours decide on: of every REACH words in a row the one of least hash begins a
+piece. Two texts that share a passage therefore cut it alike but for its ends. A gram is a stretch
+of pieces with at least NOISE words. Of the grams of every stretch with at least SURE words the one
+with the least hash is selected, so two documents that share such a stretch select the same gram.
+Selected grams are joined on their hash; a match with an earlier place is extended to both sides for
+as long as the next gram also stands at an earlier place, in any document that shares a selected
+gram with another. What a run covers is deleted from the later document.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,9 +20,11 @@ from pyspark.sql import functions as F
 
 from terralake.llm.common import map_texts, staged, table, unused, with_texts
 
-#: Shorter repeats are never deleted; repeats of SURE words in whole lines always are.
-NOISE, SURE = 20, 40
-CUT = re.compile(r"\n|(?<=[.!?])[ \t]+")
+#: Sentences of at most LONG words stay whole; longer ones are cut at least every REACH words.
+LONG, REACH = 10, 6
+#: Shorter repeats are never deleted; those of SURE words in whole pieces always are. A passage of 51 words loses
+#: at most LONG (and 2 * REACH - 2) words at each end to pieces that it shares with the words around it.
+NOISE, SURE = 20, 31
 #: An odd number; hashes of stretches are polynomials in it, modulo 2 to the power 64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -40,31 +41,89 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class Pieces:
+    """Words and pieces of some texts, as flat arrays; words are parted by ASCII white space."""
+
+    def __init__(self, texts: list[str]):
+        encoded = [t.encode() for t in texts]
+        data = b"\n".join([*encoded, b""])
+        raw = np.frombuffer(data, dtype=np.uint8)
+        space = np.concatenate([[True], (raw == 32) | ((raw >= 9) & (raw <= 13)), [True]])
+        turns = np.flatnonzero(space[1:] != space[:-1])
+        self.data = data
+        #: Of each word, its first byte and the byte after its last.
+        self.starts, self.ends = turns[::2], turns[1::2]
+        #: Of each text, its bytes and where its words end.
+        sizes = np.array([len(e) for e in encoded], dtype=np.int64)
+        self.text_ends = np.cumsum(sizes + 1) - 1
+        self.text_starts = self.text_ends - sizes
+        self.word_ends = np.searchsorted(self.starts, self.text_ends)
+        digest = xxhash.xxh64_intdigest
+        self.hashes = np.array([digest(w) for w in data.split()], dtype=np.uint64)
+        n = len(self.starts)
+        lines = np.searchsorted(np.flatnonzero(raw == 10), self.starts)
+        #: Whether a word begins a line, or a sentence.
+        self.new_line = np.ones(n, dtype=bool)
+        self.new_line[1:] = lines[1:] != lines[:-1]
+        opens = self.new_line.copy()
+        opens[1:] |= np.isin(raw[self.ends[:-1] - 1], np.frombuffer(b".!?", dtype=np.uint8))
+        #: The words that begin pieces.
+        self.firsts = np.flatnonzero(opens | self._cuts(opens))
+
+    def _cuts(self, opens: np.ndarray) -> np.ndarray:
+        """Words that have the least hash of some REACH words in a row within their sentence, the last of equal ones."""
+        n = len(opens)
+        first = np.flatnonzero(opens)
+        size = np.diff(first, append=n)
+        at = np.arange(n) - np.repeat(first, size)
+        left_over = np.repeat(size, size) - 1 - at
+        before, after = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        going_back, going_on = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
+        for k in range(1, min(REACH, n)):
+            higher = self.hashes[:-k] >= self.hashes[k:]
+            going_back[:k] = False
+            going_back[k:] &= higher & (at[k:] >= k)
+            going_on[n - k :] = False
+            going_on[: n - k] &= (self.hashes[k:] > self.hashes[:-k]) & (left_over[: n - k] >= k)
+            before += going_back
+            after += going_on
+        return (before + after + 1 >= REACH) & (np.repeat(size, size) > LONG)
+
+    def without(self, text: int, runs: list[tuple[int, int]]) -> str:
+        """A text without runs of pieces, given by their first words and the words after them.
+
+        A run from the beginning of a line takes the space after it along, any other the space before it.
+        """
+        at, made = int(self.text_starts[text]), []
+        end_of_text, last = int(self.text_ends[text]), int(self.word_ends[text])
+        for first, end in runs:
+            whole = bool(self.new_line[first])
+            made.append(self.data[at : int(self.starts[first] if whole else self.ends[first - 1])])
+            at = int(self.ends[end - 1]) if not whole else int(self.starts[end]) if end < last else end_of_text
+        made.append(self.data[at:end_of_text])
+        return b"".join(made).decode()
+
+
 class Grams:
-    """Grams and selected grams of some texts, as flat arrays over the lines that have words."""
+    """Grams and selected grams of some texts, as flat arrays over their pieces."""
 
     def __init__(self, texts: list[str], noise: int, sure: int):
-        parts = [CUT.split(t) for t in texts]
-        words = [len(p.split()) for one in parts for p in one]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(p.strip()) for one in parts for p in one]
-        counts = np.array(words, dtype=np.int64)
-        #: Of each line with words, its number among all lines of the texts.
-        self.lines = np.flatnonzero(counts)
-        ends_of_texts = np.cumsum([len(one) for one in parts])
-        #: Of each text, where its lines with words end.
-        self.text_ends = np.searchsorted(self.lines, ends_of_texts)
-        self.first_lines = np.concatenate([[0], ends_of_texts])
-        n = len(self.lines)
-        so_far = np.concatenate([[0], np.cumsum(counts[self.lines])])
+        self.pieces = Pieces(texts)
+        n = len(self.pieces.firsts)
+        #: Of each text, where its pieces end.
+        self.text_ends = np.searchsorted(self.pieces.firsts, self.pieces.word_ends)
+        n_words = len(self.pieces.starts)
+        #: The words before each piece, and all words.
+        self.so_far = so_far = np.concatenate([self.pieces.firsts, [n_words]])
         own_end = np.repeat(self.text_ends, np.diff(self.text_ends, prepend=0))
-        mixed = _mixed(np.array(hashes, dtype=np.uint64)[self.lines])
-        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed * _powers(BASE, n), dtype=np.uint64)])
-        #: The gram from line i covers the lines i to end[i] - 1.
+        mixed = _mixed(self.pieces.hashes)
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed * _powers(BASE, n_words), dtype=np.uint64)])
+        #: The gram from piece i covers the pieces i to end[i] - 1.
         self.end = np.searchsorted(so_far, so_far[:-1] + noise)
         self.valid = self.end <= own_end
-        end = np.where(self.valid, self.end, n)
-        self.hash = _mixed((sums[end] - sums[:-1]) * _powers(BACK, n))
+        end = so_far[np.where(self.valid, self.end, n)]
+        back = _powers(BACK, n_words + 1)[so_far[:-1]]
+        self.hash = _mixed((sums[end] - sums[so_far[:-1]]) * back)
         self.selected = np.zeros(n, dtype=bool)
         sure_end = np.searchsorted(so_far, so_far[:-1] + sure)
         starts = np.flatnonzero(sure_end <= own_end)
@@ -107,34 +166,27 @@ def _marked(noise: int, sure: int):
     return make
 
 
-def _deleted(found: Grams, a: int, b: int, later: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Numbers of the lines that the runs of one text cover; a to b are its lines with words."""
+def _deleted(found: Grams, a: int, b: int, later: np.ndarray, seeds: np.ndarray) -> list[tuple[int, int]]:
+    """The runs of one text, as first and last pieces; a to b are its pieces."""
     at = a + np.flatnonzero(found.valid[a:b])
     hashes = found.hash[at]
     first = np.zeros(len(at), dtype=bool)
     first[np.unique(hashes, return_index=True)[1]] = True
     repeated = ~first | np.isin(hashes, later)
     seed = found.selected[at] & ~first | np.isin(hashes, seeds)
-    gone: list[np.ndarray] = []
+    gone: list[tuple[int, int]] = []
     start = end = -1
     seeded = False
     for i, s in zip(at[repeated].tolist(), seed[repeated].tolist()):
         if i > end:
             if seeded:
-                gone.append(found.lines[start:end])
+                gone.append((start, end))
             start, seeded = i, False
         end = max(end, int(found.end[i]))
         seeded |= s
     if seeded:
-        gone.append(found.lines[start:end])
-    return np.concatenate(gone) if gone else np.zeros(0, dtype=np.int64)
-
-
-def _without(text: str, gone: set[int]) -> str:
-    """The text without the lines of these numbers, each with the separator after it."""
-    cuts = [m.span() for m in CUT.finditer(text)]
-    starts = [0, *(e for _, e in cuts)]
-    return "".join(text[s:e] for i, (s, e) in enumerate(zip(starts, [*starts[1:], len(text)])) if i not in gone)
+        gone.append((start, end))
+    return gone
 
 
 def _key(id_col: str, text_col: str) -> Column:
@@ -142,10 +194,10 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), -1 - F.xxhash64(text).bitwiseAND(F.lit((1 << 63) - 1)))
 
 
-def _repeats(rows: DataFrame) -> DataFrame:
-    """(dk, g, first) of hashes that more than one row has."""
+def _repeats(rows: DataFrame, asking: str = "true") -> DataFrame:
+    """(dk, g, first) of the asking rows with hashes that more than one row has."""
     firsts = rows.groupBy("g").agg(F.min("dk").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return rows.join(firsts, "g").select("dk", "g", "first")
+    return rows.filter(asking).join(firsts, "g").select("dk", "g", "first")
 
 
 def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = NOISE, sure: int = SURE) -> DataFrame:
@@ -154,16 +206,17 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     Order is that of integer ids, then of the place in the text; repeats within a text count. A
     text that is wholly repeated becomes empty; NULL counts as empty and becomes empty. Rows of one id are
     never compared with each other, so repeated rows give equal results. Rows with a NULL id come
-    first, told apart by their text. All columns are kept; columns lines and removed_lines of the
-    input are replaced. An empty table gives no rows.
+    first, told apart by their text. Very long texts are read whole, one at a time. All columns are kept;
+    columns lines and removed_lines of the input are replaced. removed_lines counts pieces. An empty table gives no rows.
     """
     keyed = df.select(_key(id_col, text_col).alias("dk"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marked = staged(map_texts(keyed, _marked(noise, sure), "grams array<long>, picks array<long>, own boolean"), "line-grams")
     hits = staged(_repeats(marked.select("dk", F.explode("picks").alias("g"))), "line-hits")
-    involved = hits.select("dk").distinct()
-    grams = marked.join(involved, "dk", "left_semi").select("dk", F.explode("grams").alias("g"))
+    involved = hits.groupBy("dk").agg(F.max(F.col("dk") > F.col("first")).alias("seeded"))
+    grams = marked.join(involved, "dk").select("dk", (F.col("own") | F.col("seeded")).alias("asks"), F.explode("grams").alias("g"))
     found = (
-        _repeats(grams).filter("dk > first").selectExpr("dk", "g", "false AS seed")
+        # Only documents with a seed ask for the grams of others.
+        _repeats(grams, "asks").filter("dk > first").selectExpr("dk", "g", "false AS seed")
         .union(hits.filter("dk > first").selectExpr("dk", "g", "true AS seed"))
         .union(marked.filter("own").selectExpr("dk", "CAST(NULL AS BIGINT) AS g", "false AS seed"))
     )
@@ -182,10 +235,10 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
             found = Grams([texts[i] for i in at], noise, sure)
             as_hashes = lambda x: x.values.to_numpy(zero_copy_only=False).view(np.uint64)
             for k, (i, (a, b)) in enumerate(zip(at, found.spans())):
-                gone = _deleted(found, a, b, as_hashes(later[i]), as_hashes(seeds[i])) - found.first_lines[k]
-                if len(gone):
-                    distinct = set(gone.tolist())
-                    made[i], removed[i] = _without(texts[i], distinct), len(distinct)
+                gone = _deleted(found, a, b, as_hashes(later[i]), as_hashes(seeds[i]))
+                if gone:
+                    made[i] = found.pieces.without(k, [(int(found.so_far[x]), int(found.so_far[y])) for x, y in gone])
+                    removed[i] = sum(y - x for x, y in gone)
             return [pa.array(made, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())]
 
         return of_texts

@@ -84,28 +84,47 @@ def similar_classes(docs, similarity=0.8):
     return {k: root(k) for k in sets}
 
 
-def _lines(text):
-    cuts = [(m.start(), m.end()) for m in re.finditer(r"\n|(?<=[.!?])[ \t]+", text)]
-    starts = [0, *(e for _, e in cuts)]
-    ends = [*(s for s, _ in cuts), len(text)]
-    nexts = [*starts[1:], len(text)]
-    return [(s, n, text[s:e].strip()) for s, e, n in zip(starts, ends, nexts)]
+def _pieces(text, long, reach):
+    """(start, end, words, begins a line) of the pieces, each word tried in every window of words around it."""
+    words = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    sentences = []
+    for k, (s, _, _) in enumerate(words):
+        line = k == 0 or "\n" in text[words[k - 1][1] : s]
+        if line or words[k - 1][2][-1] in ".!?":
+            sentences.append((line, []))
+        sentences[-1][1].append(words[k])
+    made = []
+    for line, inside in sentences:
+        hashes = [xxhash.xxh64_intdigest(w.encode()) for _, _, w in inside]
+        cuts = {0}
+        if len(inside) > long:
+            for i in range(len(inside) - reach + 1):
+                cuts.add(min(range(i, i + reach), key=lambda k: (hashes[k], -k)))
+        order = [*sorted(cuts), len(inside)]
+        made += [(inside[x][0], inside[y - 1][1], tuple(w for _, _, w in inside[x:y]), line and not x) for x, y in zip(order, order[1:])]
+    return made
 
 
-def without_repeats(docs, selected, noise, sure):
-    """docs: (id, text) by id. `selected` gives the hashes of selected grams by their lines."""
+def without_repeats(docs, selected, noise, sure, long, reach):
+    """docs: (id, text) by id. `selected` gives the numbers of the pieces that begin selected grams."""
     made = {}
     first_gram, first_pick, parsed, holders = {}, {}, {}, collections.defaultdict(set)
     for key, text in docs:
-        lines = [x for x in enumerate(_lines(text)) if x[1][2].split()]
+        pieces = _pieces(text, long, reach)
         grams = {}
-        for i in range(len(lines)):
-            for j in range(i, len(lines)):
-                if sum(len(x[1][2].split()) for x in lines[i : j + 1]) >= noise:
-                    grams[i] = (j + 1, tuple(x[1][2] for x in lines[i : j + 1]))
+        for i in range(len(pieces)):
+            for j in range(i, len(pieces)):
+                if sum(len(x[2]) for x in pieces[i : j + 1]) >= noise:
+                    grams[i] = (j + 1, tuple(w for x in pieces[i : j + 1] for w in x[2]))
                     break
         picks = selected(text)
-        parsed[key] = lines, grams, picks
+        # Every stretch of `sure` words in whole pieces holds a selected gram.
+        for i in range(len(pieces)):
+            for j in range(i, len(pieces)):
+                if sum(len(x[2]) for x in pieces[i : j + 1]) >= sure:
+                    assert any(i <= p and grams[p][0] <= j + 1 for p in picks if p in grams)
+                    break
+        parsed[key] = pieces, grams, picks
         for i, (_, g) in sorted(grams.items()):
             if i in picks:
                 first_pick.setdefault(g, (key, i))
@@ -115,7 +134,7 @@ def without_repeats(docs, selected, noise, sure):
         for i, (_, g) in sorted(parsed[key][1].items()):
             first_gram.setdefault(g, (key, i))
     for key, text in docs:
-        lines, grams, picks = parsed[key]
+        pieces, grams, picks = parsed[key]
         own = {}
         for i, (_, g) in sorted(grams.items()):
             own.setdefault(g, i)
@@ -128,8 +147,12 @@ def without_repeats(docs, selected, noise, sure):
                 runs[-1][2] |= i in seed
             else:
                 runs.append([i, grams[i][0], i in seed])
-        gone = {lines[k][0] for a, b, ok in runs if ok for k in range(a, b)}
-        made[key] = "".join(text[s:n] for k, (s, n, _) in enumerate(_lines(text)) if k not in gone)
+        at, parts = 0, []
+        for a, b in [(a, b) for a, b, ok in runs if ok]:
+            whole = pieces[a][3]
+            parts.append(text[at : pieces[a][0] if whole else pieces[a - 1][1]])
+            at = pieces[b - 1][1] if not whole else pieces[b][0] if b < len(pieces) else len(text)
+        made[key] = "".join([*parts, text[at:]])
     return made
 
 

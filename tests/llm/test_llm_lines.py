@@ -30,14 +30,14 @@ def test_equals_brute_force(spark, documents):
     rng = random.Random(5)
     docs = made_up(rng, 60) + [(100, "a b c d e.\n" * 30), (101, "a b c d e.\n" * 30)]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    for noise, sure in ((6, 12), (20, 40)):
+    for noise, sure in ((6, 12), (20, 40), (lines.NOISE, lines.SURE)):
         found = {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(frame, noise=noise, sure=sure).collect()}
-        assert found == brute.without_repeats(docs, picks(noise, sure), noise, sure)
+        assert found == brute.without_repeats(docs, picks(noise, sure), noise, sure, lines.LONG, lines.REACH)
 
 
 def test_equals_brute_force_on_the_table(spark, documents, texts):
     found = {r["doc_id"]: r["text"] for r in lines.op7_lines(spark, brute.SF).collect()}
-    assert found == brute.without_repeats(sorted(texts.items()), picks(lines.NOISE, lines.SURE), lines.NOISE, lines.SURE)
+    assert found == brute.without_repeats(sorted(texts.items()), picks(lines.NOISE, lines.SURE), lines.NOISE, lines.SURE, lines.LONG, lines.REACH)
 
 
 def test_every_sure_passage_goes(spark, documents):
@@ -52,6 +52,38 @@ def test_every_sure_passage_goes(spark, documents):
     assert kept == dict(clean)
 
 
+def test_passages_inside_sentences_go(spark, documents):
+    """Passages of 51 and more words between other words of one line, with and without sentence marks, lose all but their ends."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    few = [word() for _ in range(12)]
+    docs, inside = [], {}
+    for size in (51, 60, 80):
+        for k in range(20):
+            passage = [rng.choice(few) if k % 4 == 3 else word() for _ in range(size)]
+            if k % 2:
+                passage = [w + "." * (i % 12 == 11) for i, w in enumerate(passage)]
+            for _ in range(2):
+                around = [[word() for _ in range(rng.randint(0, 30))] for _ in range(2)]
+                inside[len(docs)] = passage, around
+                docs.append((len(docs), " ".join(around[0] + passage + around[1])))
+    found = {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    for i, (passage, (before, after)) in inside.items():
+        left = found[i].split()
+        if i % 2 == 0:
+            assert found[i] == docs[i][1]
+        else:
+            assert left[: len(before)] == before and left[len(left) - len(after) :] == after
+            assert len(left) - len(before) - len(after) <= 2 * lines.LONG
+
+
+def test_a_run_takes_one_separator_along(spark, documents):
+    passage = " ".join(f"word{k}" for k in range(60)) + "."
+    docs = [(0, passage), (1, f"Before it.  {passage}\nNext line"), (2, f"First\n\n{passage}\n\nLast"), (3, passage), (4, f"é\u00a0ü. {passage} ß")]
+    found = {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(5)] == [passage, "Before it.\nNext line", "First\n\nLast", "", "é\u00a0ü. ß"]
+
+
 def test_odd_rows(odd):
     made = lines.drop_repeated_lines(odd)
     assert made.columns == [c for c in odd.columns if c not in ("lines", "removed_lines")] + ["lines", "removed_lines"]

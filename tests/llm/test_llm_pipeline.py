@@ -15,7 +15,7 @@ def test_stages_equal_brute_force(spark, documents, texts):
     for (name, stage), step in zip(corpus_pipeline.STAGES, range(5)):
         made = staged(stage(spark, docs, brute.SF), "stage")
         if step == 1:
-            left = brute.without_repeats(sorted(left.items()), picks(lines.NOISE, lines.SURE), lines.NOISE, lines.SURE)
+            left = brute.without_repeats(sorted(left.items()), picks(lines.NOISE, lines.SURE), lines.NOISE, lines.SURE, lines.LONG, lines.REACH)
         elif step == 2:
             group = brute.similar_classes(list(left.items()))
             left = {i: t for i, t in left.items() if group[i] == i}
