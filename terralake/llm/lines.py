@@ -28,6 +28,10 @@ NOISE, SURE = 20, 31
 #: An odd number; hashes of stretches are polynomials in it, modulo 2 to the power 64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: The lower bits that hold a word's place beside the upper bits of its hash; more words than a task's memory holds.
+PLACE = np.uint64((1 << 32) - 1)
+#: Whether a byte ends a sentence.
+MARKS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -58,36 +62,35 @@ class Pieces:
         self.text_ends = np.cumsum(sizes + 1) - 1
         self.text_starts = self.text_ends - sizes
         self.word_ends = np.searchsorted(self.starts, self.text_ends)
-        digest = xxhash.xxh64_intdigest
-        self.hashes = np.array([digest(w) for w in data.split()], dtype=np.uint64)
         n = len(self.starts)
-        lines = np.searchsorted(np.flatnonzero(raw == 10), self.starts)
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, data.split()), dtype=np.uint64, count=n)
         #: Whether a word begins a line, or a sentence.
-        self.new_line = np.ones(n, dtype=bool)
-        self.new_line[1:] = lines[1:] != lines[:-1]
-        opens = self.new_line.copy()
-        opens[1:] |= np.isin(raw[self.ends[:-1] - 1], np.frombuffer(b".!?", dtype=np.uint8))
+        self.new_line = np.zeros(n + 1, dtype=bool)
+        self.new_line[np.searchsorted(self.starts, np.flatnonzero(raw == 10))] = True
+        self.new_line[0] = True
+        opens = self.new_line[:n].copy()
+        opens[1:] |= MARKS[raw[self.ends[:-1] - 1]]
         #: The words that begin pieces.
         self.firsts = np.flatnonzero(opens | self._cuts(opens))
 
     def _cuts(self, opens: np.ndarray) -> np.ndarray:
         """Words that have the least hash of some REACH words in a row within their sentence, the last of equal ones."""
         n = len(opens)
-        first = np.flatnonzero(opens)
-        size = np.diff(first, append=n)
-        at = np.arange(n) - np.repeat(first, size)
-        left_over = np.repeat(size, size) - 1 - at
-        before, after = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        going_back, going_on = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
-        for k in range(1, min(REACH, n)):
-            higher = self.hashes[:-k] >= self.hashes[k:]
-            going_back[:k] = False
-            going_back[k:] &= higher & (at[k:] >= k)
-            going_on[n - k :] = False
-            going_on[: n - k] &= (self.hashes[k:] > self.hashes[:-k]) & (left_over[: n - k] >= k)
-            before += going_back
-            after += going_on
-        return (before + after + 1 >= REACH) & (np.repeat(size, size) > LONG)
+        cuts = np.zeros(n, dtype=bool)
+        if n < REACH:
+            return cuts
+        sentence = np.cumsum(opens, dtype=np.int32)
+        long = np.diff(np.flatnonzero(opens), append=n) > LONG
+        # The upper bits of the hash above the place, the last place lowest.
+        least = self.hashes & ~PLACE | PLACE - np.arange(n, dtype=np.uint64)
+        width = 1
+        while width < REACH:
+            step = min(width, REACH - width)
+            least = np.minimum(least[:-step], least[step:])
+            width += step
+        inside = (sentence[: n - REACH + 1] == sentence[REACH - 1 :]) & long[sentence[: n - REACH + 1] - 1]
+        cuts[(PLACE - (least[inside] & PLACE)).astype(np.int64)] = True
+        return cuts
 
     def without(self, text: int, runs: list[tuple[int, int]]) -> str:
         """A text without runs of pieces, given by their first words and the words after them.
@@ -152,14 +155,14 @@ def _marked(noise: int, sure: int):
     def make():
         def of_texts(texts: list[str]) -> list[pa.Array]:
             found = Grams(texts, noise, sure)
-            grams, picks, own = [], [], []
+            grams, picked, own = [], [], []
             for a, b in found.spans():
                 valid = found.hash[a:b][found.valid[a:b]]
                 distinct = np.unique(valid)
                 grams.append(distinct.view(np.int64))
-                picks.append(np.unique(found.hash[a:b][found.selected[a:b]]).view(np.int64))
+                picked.append(np.isin(distinct, found.hash[a:b][found.selected[a:b]]))
                 own.append(len(distinct) < len(valid))
-            return [pa.array(grams, pa.list_(pa.int64())), pa.array(picks, pa.list_(pa.int64())), pa.array(own)]
+            return [pa.array(grams, pa.list_(pa.int64())), pa.array(picked, pa.list_(pa.bool_())), pa.array(own)]
 
         return of_texts
 
@@ -210,8 +213,8 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     columns lines and removed_lines of the input are replaced. removed_lines counts pieces. An empty table gives no rows.
     """
     keyed = df.select(_key(id_col, text_col).alias("dk"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    marked = staged(map_texts(keyed, _marked(noise, sure), "grams array<long>, picks array<long>, own boolean"), "line-grams")
-    hits = staged(_repeats(marked.select("dk", F.explode("picks").alias("g"))), "line-hits")
+    marked = staged(map_texts(keyed, _marked(noise, sure), "grams array<long>, picked array<boolean>, own boolean"), "line-grams")
+    hits = staged(_repeats(marked.select("dk", F.inline(F.arrays_zip("grams", "picked")).alias("g", "picked")).filter("picked").drop("picked")), "line-hits")
     involved = hits.groupBy("dk").agg(F.max(F.col("dk") > F.col("first")).alias("seeded"))
     grams = marked.join(involved, "dk").select("dk", (F.col("own") | F.col("seeded")).alias("asks"), F.explode("grams").alias("g"))
     found = (
