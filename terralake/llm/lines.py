@@ -160,7 +160,9 @@ def _marked(noise: int, sure: int):
                 valid = found.hash[a:b][found.valid[a:b]]
                 distinct = np.unique(valid)
                 grams.append(distinct.view(np.int64))
-                picked.append(np.isin(distinct, found.hash[a:b][found.selected[a:b]]))
+                flags = np.zeros(len(distinct), dtype=bool)
+                flags[np.searchsorted(distinct, found.hash[a:b][found.selected[a:b]])] = True
+                picked.append(flags)
                 own.append(len(distinct) < len(valid))
             return [pa.array(grams, pa.list_(pa.int64())), pa.array(picked, pa.list_(pa.bool_())), pa.array(own)]
 
