@@ -106,17 +106,18 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def with_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[..., list[pa.Array]]], fields: str, more: Sequence[str] = ()) -> DataFrame:
+def with_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[..., list[pa.Array]]], fields: str, more: Sequence[str] = (), as_given: bool = False) -> DataFrame:
     """The rows with columns that a function of the text (and of the columns in `more`, which go) gives.
 
-    The function takes a list of texts (NULL: empty) and an Arrow array for each of `more`.
+    The function takes a list of texts (NULL: empty) and an Arrow array for each of `more`. With `as_given`
+    the column is not made a string first; packed texts come as bytes.
     Input columns of the same names as the added ones are replaced. Other columns pass
     through untouched, packed together so that no name clashes.
     """
     added = T.StructType.fromDDL(fields)
     names = [n for n in df.columns if n not in more]
     packed = df.select(
-        F.col(f"`{text_col}`").cast("string").alias("text"),
+        (F.col(f"`{text_col}`") if as_given else F.col(f"`{text_col}`").cast("string")).alias("text"),
         F.struct(F.lit(0).alias("_"), *(F.col(f"`{n}`").alias(f"_{i}") for i, n in enumerate(names) if n not in (*added.names, text_col))).alias("rest"),
         *(F.col(n).alias(f"more_{n}") for n in more),
     )

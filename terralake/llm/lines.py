@@ -6,8 +6,8 @@ piece. Two texts that share a passage therefore cut it alike but for its ends. A
 of pieces with at least NOISE words. Of the grams of every stretch with at least SURE words the one
 with the least hash is selected, so two documents that share such a stretch select the same gram.
 Selected grams are joined on their hash; a match with an earlier place is extended to both sides for
-as long as the next gram also stands at an earlier place, in any document that shares a selected
-gram with another. What a run covers is deleted from the later document.
+as long as the next gram also stands at an earlier place, in any document where a shared selected
+gram stands first. What a run covers is deleted from the later document.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -199,10 +200,15 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), -1 - F.xxhash64(text).bitwiseAND(F.lit((1 << 63) - 1)))
 
 
-def _repeats(rows: DataFrame, asking: str = "true") -> DataFrame:
-    """(dk, g, first) of the asking rows with hashes that more than one row has."""
+def _repeats(rows: DataFrame) -> DataFrame:
+    """(dk, g, first) of hashes that more than one row has."""
     firsts = rows.groupBy("g").agg(F.min("dk").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return rows.filter(asking).join(firsts, "g").select("dk", "g", "first")
+    return rows.join(firsts, "g").select("dk", "g", "first")
+
+
+def _packed():
+    pack = zstandard.ZstdCompressor().compress
+    return lambda texts: [pa.array([pack(t.encode()) for t in texts], pa.binary())]
 
 
 def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = NOISE, sure: int = SURE) -> DataFrame:
@@ -217,11 +223,12 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = df.select(_key(id_col, text_col).alias("dk"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marked = staged(map_texts(keyed, _marked(noise, sure), "grams array<long>, picked array<boolean>, own boolean"), "line-grams")
     hits = staged(_repeats(marked.select("dk", F.inline(F.arrays_zip("grams", "picked")).alias("g", "picked")).filter("picked").drop("picked")), "line-hits")
-    involved = hits.groupBy("dk").agg(F.max(F.col("dk") > F.col("first")).alias("seeded"))
-    grams = marked.join(involved, "dk").select("dk", (F.col("own") | F.col("seeded")).alias("asks"), F.explode("grams").alias("g"))
+    # Only documents with a seed ask for grams, and only those where a selected gram stands first answer.
+    involved = hits.groupBy("dk").agg(F.max(F.col("dk") > F.col("first")).alias("seeded"), F.max(F.col("dk") == F.col("first")).alias("answers"))
+    grams = marked.join(involved, "dk").select("dk", (F.col("own") | F.col("seeded")).alias("asks"), "answers", F.explode("grams").alias("g"))
+    firsts = grams.filter("answers").groupBy("g").agg(F.min("dk").alias("first"))
     found = (
-        # Only documents with a seed ask for the grams of others.
-        _repeats(grams, "asks").filter("dk > first").selectExpr("dk", "g", "false AS seed")
+        grams.filter("asks").join(firsts, "g").filter("dk > first").selectExpr("dk", "g", "false AS seed")
         .union(hits.filter("dk > first").selectExpr("dk", "g", "true AS seed"))
         .union(marked.filter("own").selectExpr("dk", "CAST(NULL AS BIGINT) AS g", "false AS seed"))
     )
@@ -231,10 +238,15 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     plain = df.drop(*(n for n in ("lines", "removed_lines") if n != text_col))
     key, later_col, seeds_col = (unused(plain, n) for n in ("key", "later", "seeds"))
     lists = lists.select(F.col("dk").alias(key), F.col("later").alias(later_col), F.col("seeds").alias(seeds_col))
-    joined = plain.withColumn(key, _key(id_col, text_col)).join(lists, key, "left").drop(key)
+    # Texts meet their lists packed: they are the largest rows that are shuffled.
+    packed = with_texts(plain.withColumn(key, _key(id_col, text_col)), text_col, _packed, f"`{text_col}` binary")
+    joined = packed.join(lists, key, "left").drop(key)
 
     def make():
-        def of_texts(texts: list[str], later: pa.Array, seeds: pa.Array) -> list[pa.Array]:
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def of_texts(given: list[bytes], later: pa.Array, seeds: pa.Array) -> list[pa.Array]:
+            texts = [unpack(t).decode() for t in given]
             made, lines, removed = list(texts), [t.count("\n") + 1 if t else 0 for t in texts], [0] * len(texts)
             at = [i for i in range(len(texts)) if later[i].is_valid]
             found = Grams([texts[i] for i in at], noise, sure)
@@ -248,7 +260,7 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         return of_texts
 
-    return with_texts(joined, text_col, make, f"`{text_col}` string, lines long, removed_lines long", [later_col, seeds_col])
+    return with_texts(joined, text_col, make, f"`{text_col}` string, lines long, removed_lines long", [later_col, seeds_col], as_given=True)
 
 
 def op7_lines(spark, sf_dir: str) -> DataFrame:

@@ -129,8 +129,9 @@ def without_repeats(docs, selected, noise, sure, long, reach):
             if i in picks:
                 first_pick.setdefault(g, (key, i))
                 holders[g].add(key)
-    involved = {key for keys in holders.values() if len(keys) > 1 for key in keys}
-    for key in sorted(involved):
+    shared = [keys for keys in holders.values() if len(keys) > 1]
+    involved = {key for keys in shared for key in keys}
+    for key in sorted(min(keys) for keys in shared):
         for i, (_, g) in sorted(parsed[key][1].items()):
             first_gram.setdefault(g, (key, i))
     for key, text in docs:
@@ -138,7 +139,7 @@ def without_repeats(docs, selected, noise, sure, long, reach):
         own = {}
         for i, (_, g) in sorted(grams.items()):
             own.setdefault(g, i)
-        later = [i for i, (_, g) in sorted(grams.items()) if first_gram.get(g, (key,))[0] != key or own[g] < i]
+        later = [i for i, (_, g) in sorted(grams.items()) if own[g] < i or key in involved and first_gram.get(g, (key,))[0] < key]
         seed = [i for i in later if (grams[i][1] in first_pick and first_pick[grams[i][1]][0] != key and any(grams[p][1] == grams[i][1] for p in picks)) or (i in picks and own[grams[i][1]] < i)]
         runs = []
         for i in later:
