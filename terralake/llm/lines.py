@@ -172,14 +172,14 @@ def _marked(noise: int, sure: int):
     return make
 
 
-def _deleted(found: Grams, a: int, b: int, later: np.ndarray, seeds: np.ndarray) -> list[tuple[int, int]]:
+def _deleted(found: Grams, a: int, b: int, later: np.ndarray) -> list[tuple[int, int]]:
     """The runs of one text, as first and last pieces; a to b are its pieces."""
     at = a + np.flatnonzero(found.valid[a:b])
     hashes = found.hash[at]
     first = np.zeros(len(at), dtype=bool)
     first[np.unique(hashes, return_index=True)[1]] = True
     repeated = ~first | np.isin(hashes, later)
-    seed = found.selected[at] & ~first | np.isin(hashes, seeds)
+    seed = found.selected[at]
     gone: list[tuple[int, int]] = []
     start = end = -1
     seeded = False
@@ -222,22 +222,16 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     keyed = df.select(_key(id_col, text_col).alias("dk"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marked = staged(map_texts(keyed, _marked(noise, sure), "grams array<long>, picked array<boolean>, own boolean"), "line-grams")
-    hits = staged(_repeats(marked.select("dk", F.inline(F.arrays_zip("grams", "picked")).alias("g", "picked")).filter("picked").drop("picked")), "line-hits")
-    # Only documents with a seed ask for grams, and only those where a selected gram stands first answer.
-    involved = hits.groupBy("dk").agg(F.max(F.col("dk") > F.col("first")).alias("seeded"), F.max(F.col("dk") == F.col("first")).alias("answers"))
-    grams = marked.join(involved, "dk").select("dk", (F.col("own") | F.col("seeded")).alias("asks"), "answers", F.explode("grams").alias("g"))
+    hits = _repeats(marked.select("dk", F.inline(F.arrays_zip("grams", "picked")).alias("g", "picked")).filter("picked").drop("picked"))
+    # Only documents with a selected gram that stands earlier ask for grams, and only those where one stands first answer.
+    roles = hits.groupBy("dk").agg(F.max(F.col("dk") > F.col("first")).alias("seeded"), F.max(F.col("dk") == F.col("first")).alias("answers"))
+    grams = marked.join(staged(roles, "line-roles"), "dk").select("dk", (F.col("own") | F.col("seeded")).alias("asks"), "answers", F.explode("grams").alias("g"))
     firsts = grams.filter("answers").groupBy("g").agg(F.min("dk").alias("first"))
-    found = (
-        grams.filter("asks").join(firsts, "g").filter("dk > first").selectExpr("dk", "g", "false AS seed")
-        .union(hits.filter("dk > first").selectExpr("dk", "g", "true AS seed"))
-        .union(marked.filter("own").selectExpr("dk", "CAST(NULL AS BIGINT) AS g", "false AS seed"))
-    )
-    lists = found.groupBy("dk").agg(
-        F.collect_set(F.when(~F.col("seed"), F.col("g"))).alias("later"), F.collect_set(F.when(F.col("seed"), F.col("g"))).alias("seeds")
-    )
+    found = grams.filter("asks").join(firsts, "g").filter("dk > first").select("dk", "g").union(marked.filter("own").selectExpr("dk", "CAST(NULL AS BIGINT) AS g"))
+    lists = found.groupBy("dk").agg(F.collect_set("g").alias("later"))
     plain = df.drop(*(n for n in ("lines", "removed_lines") if n != text_col))
-    key, later_col, seeds_col = (unused(plain, n) for n in ("key", "later", "seeds"))
-    lists = lists.select(F.col("dk").alias(key), F.col("later").alias(later_col), F.col("seeds").alias(seeds_col))
+    key, later_col = (unused(plain, n) for n in ("key", "later"))
+    lists = lists.select(F.col("dk").alias(key), F.col("later").alias(later_col))
     # Texts meet their lists packed: they are the largest rows that are shuffled.
     packed = with_texts(plain.withColumn(key, _key(id_col, text_col)), text_col, _packed, f"`{text_col}` binary")
     joined = packed.join(lists, key, "left").drop(key)
@@ -245,14 +239,14 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     def make():
         unpack = zstandard.ZstdDecompressor().decompress
 
-        def of_texts(given: list[bytes], later: pa.Array, seeds: pa.Array) -> list[pa.Array]:
+        def of_texts(given: list[bytes], later: pa.Array) -> list[pa.Array]:
             texts = [unpack(t).decode() for t in given]
             made, lines, removed = list(texts), [t.count("\n") + 1 if t else 0 for t in texts], [0] * len(texts)
             at = [i for i in range(len(texts)) if later[i].is_valid]
             found = Grams([texts[i] for i in at], noise, sure)
             as_hashes = lambda x: x.values.to_numpy(zero_copy_only=False).view(np.uint64)
             for k, (i, (a, b)) in enumerate(zip(at, found.spans())):
-                gone = _deleted(found, a, b, as_hashes(later[i]), as_hashes(seeds[i]))
+                gone = _deleted(found, a, b, as_hashes(later[i]))
                 if gone:
                     made[i] = found.pieces.without(k, [(int(found.so_far[x]), int(found.so_far[y])) for x, y in gone])
                     removed[i] = sum(y - x for x, y in gone)
@@ -260,7 +254,7 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         return of_texts
 
-    return with_texts(joined, text_col, make, f"`{text_col}` string, lines long, removed_lines long", [later_col, seeds_col], as_given=True)
+    return with_texts(joined, text_col, make, f"`{text_col}` string, lines long, removed_lines long", [later_col], as_given=True)
 
 
 def op7_lines(spark, sf_dir: str) -> DataFrame:

@@ -108,7 +108,7 @@ def _pieces(text, long, reach):
 def without_repeats(docs, selected, noise, sure, long, reach):
     """docs: (id, text) by id. `selected` gives the numbers of the pieces that begin selected grams."""
     made = {}
-    first_gram, first_pick, parsed, holders = {}, {}, {}, collections.defaultdict(set)
+    first_gram, parsed, holders = {}, {}, collections.defaultdict(set)
     for key, text in docs:
         pieces = _pieces(text, long, reach)
         grams = {}
@@ -127,7 +127,6 @@ def without_repeats(docs, selected, noise, sure, long, reach):
         parsed[key] = pieces, grams, picks
         for i, (_, g) in sorted(grams.items()):
             if i in picks:
-                first_pick.setdefault(g, (key, i))
                 holders[g].add(key)
     shared = [keys for keys in holders.values() if len(keys) > 1]
     involved = {key for keys in shared for key in keys}
@@ -140,7 +139,7 @@ def without_repeats(docs, selected, noise, sure, long, reach):
         for i, (_, g) in sorted(grams.items()):
             own.setdefault(g, i)
         later = [i for i, (_, g) in sorted(grams.items()) if own[g] < i or key in involved and first_gram.get(g, (key,))[0] < key]
-        seed = [i for i in later if (grams[i][1] in first_pick and first_pick[grams[i][1]][0] != key and any(grams[p][1] == grams[i][1] for p in picks)) or (i in picks and own[grams[i][1]] < i)]
+        seed = [i for i in later if i in picks]
         runs = []
         for i in later:
             if runs and i <= runs[-1][1]:
