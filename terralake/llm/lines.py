@@ -225,7 +225,7 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     hits = _repeats(marked.select("dk", F.inline(F.arrays_zip("grams", "picked")).alias("g", "picked")).filter("picked").drop("picked"))
     # Only documents with a selected gram that stands earlier ask for grams, and only those where one stands first answer.
     roles = hits.groupBy("dk").agg(F.max(F.col("dk") > F.col("first")).alias("seeded"), F.max(F.col("dk") == F.col("first")).alias("answers"))
-    grams = marked.join(staged(roles, "line-roles"), "dk").select("dk", (F.col("own") | F.col("seeded")).alias("asks"), "answers", F.explode("grams").alias("g"))
+    grams = marked.join(staged(roles, "line-roles").hint("merge"), "dk").select("dk", (F.col("own") | F.col("seeded")).alias("asks"), "answers", F.explode("grams").alias("g"))
     firsts = grams.filter("answers").groupBy("g").agg(F.min("dk").alias("first"))
     found = grams.filter("asks").join(firsts, "g").filter("dk > first").select("dk", "g").union(marked.filter("own").selectExpr("dk", "CAST(NULL AS BIGINT) AS g"))
     lists = found.groupBy("dk").agg(F.collect_set("g").alias("later"))
