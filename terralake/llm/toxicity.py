@@ -219,6 +219,20 @@ def range_of(piece: str, ranges: int) -> int:
     return zlib.crc32((piece + END)[:BEGINNING].encode("utf-8", "replace")) % ranges
 
 
+def in_planes(places: np.ndarray, times: np.ndarray) -> bytes:
+    """Distinct places in ascending order as steps from one to the next, and how often each is met; the lowest bytes of all of them stand first, then
+    the next higher ones, so that the many zeros of small numbers lie together."""
+    order = np.argsort(places)
+    steps = np.diff(places[order], prepend=np.uint32(0))
+    return np.stack([steps, times[order]]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(packed: bytes) -> np.ndarray:
+    """The places, ascending, and their times."""
+    steps, times = np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(4, -1).T).view("<u4").reshape(2, -1)
+    return np.stack([np.cumsum(steps, dtype=np.uint32), times])
+
+
 class _Block:
     """Texts of a task, one after another, with their distinct pieces."""
 
@@ -232,7 +246,7 @@ class _Block:
         at = np.array([self.places.setdefault(p, len(self.places)) for p in found], dtype="<u4")
         times = np.array(list(found.values()), dtype="<u4")
         letters = sum((len(p) - 1) * n for p, n in found.items())
-        self.docs.append((letters, pack(at.tobytes() + times.tobytes())))
+        self.docs.append((letters, pack(in_planes(at, times))))
         self.chars += len(text)
 
     def full(self) -> bool:
@@ -308,7 +322,7 @@ def _featured(docs: pa.Table, scores: pa.Table) -> pa.Table:
     made = np.zeros((docs.num_rows, len(FEATURES)))
     for k, (letters, packed) in enumerate(zip(docs.column("letters").to_pylist(), docs.column("pieces"))):
         if letters:
-            at, times = np.frombuffer(unpack(packed.as_py()), dtype="<u4").reshape(2, -1)
+            at, times = from_planes(unpack(packed.as_py()))
             own = score[at]
             top = np.zeros(4)
             best = np.sort(own)[-4:][::-1]

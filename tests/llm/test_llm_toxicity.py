@@ -2,6 +2,7 @@ import collections
 import math
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +22,15 @@ def test_pieces_cover_whole_words():
     assert "".join(p[1:] for p in toxicity.pieces("x" * 1_000_000)) == "x" * 1_000_000
 
 
+def test_planes_give_back_places_and_times():
+    random = np.random.default_rng(5)
+    for n, of in ((0, 1), (1, 1), (300, 70_000), (4_000, 2**32 - 1)):
+        places = random.choice(of, n, replace=False).astype("<u4") if of < 2**31 else np.unique(random.integers(0, of, n, dtype=np.uint32))[::-1]
+        times = random.geometric(0.01, len(places)).astype("<u4")
+        found = toxicity.from_planes(toxicity.in_planes(places, times))
+        assert dict(zip(*found.tolist())) == dict(zip(places.tolist(), times.tolist())) and (np.diff(found[0].astype(np.int64)) > 0).all()
+
+
 class Plain:
     """The two models, straight from the formulas."""
 
