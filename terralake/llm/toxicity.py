@@ -47,7 +47,7 @@ BEGINNING, RANGE_ENTRIES, SCORED_WORDS = 5, 200_000, 1 << 20
 BLOCK_CHARS, BLOCK_DOCS = 4_000_000, 1 << 16
 FEATURES = ["f_first", "f_second", "f_four", "f_mean"]
 THRESHOLD = 0.3
-LEVEL = 1
+LEVEL, PACKED_LEVEL = 1, 3
 
 
 def fold(id_col: str) -> Column:
@@ -65,11 +65,25 @@ def pieces(text: str) -> Iterator[str]:
 
 
 def labelled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, which: Column, few: bool = False) -> DataFrame:
-    """(text, toxic) of the rows with a label in the folds; a row labelled twice is toxic if any label says so."""
+    """(text, toxic) of the rows with a label in the folds if there are but few labels, else (pieces, toxic), each text's distinct pieces packed; a row
+    labelled twice is toxic if any label says so."""
     marks = labels.filter(F.col(label_col).isNotNull() & which).groupBy(F.col(id_col).alias("marked")).agg((F.max(label_col) > 0).alias("toxic"))
     texts = df.filter(F.col(text_col).isNotNull() & which).select(F.col(id_col).alias("marked"), F.col(text_col).cast("string").alias("text"))
     # A sort-merge join at every size, as the labels grow with the texts; but for at most CURVE_ROWS labels the texts need not be shuffled.
-    return texts.join(F.broadcast(marks) if few else marks.hint("merge"), "marked")
+    return texts.join(F.broadcast(marks), "marked") if few else _packed(texts).join(marks.hint("merge"), "marked")
+
+
+def _packed(texts: DataFrame) -> DataFrame:
+    """The rows with the distinct pieces of their text in place of it, in order and compressed."""
+    others = [f for f in texts.schema.fields if f.name != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=PACKED_LEVEL).compress
+        for step in in_steps(batches):
+            packed = [pack("\n".join(sorted(set(pieces(text)))).encode("utf-8", "replace")) for text in step.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(step.column(f.name) for f in others), pa.array(packed, pa.binary())], names=[*(f.name for f in others), "pieces"])
+
+    return texts.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in others), "pieces binary"]))
 
 
 COUNTS = "gram string, toxic long, ordinary long"
@@ -86,9 +100,10 @@ def _counts(held: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
 def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of each class that hold a piece, as a task meets them."""
     held: tuple[Counter, Counter] = (Counter(), Counter())
-    for step in in_steps(batches):
-        for text, y in zip(step.column("text").to_pylist(), step.column("toxic").to_pylist()):
-            held[y].update(set(pieces(text)))
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for packed, y in zip(batch.column("pieces"), batch.column("toxic").to_pylist()):
+            held[y].update(filter(None, unpack(packed.as_py()).decode().split("\n")))
             if len(held[0]) + len(held[1]) > HELD_COUNTS:
                 yield from _counts(held)
     yield from _counts(held)
@@ -219,17 +234,24 @@ def range_of(piece: str, ranges: int) -> int:
     return zlib.crc32((piece + END)[:BEGINNING].encode("utf-8", "replace")) % ranges
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers of four bytes, the lowest bytes of all of them first, then the next higher ones, so that like bytes lie together."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def of_planes(packed: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(4, -1).T).view(kind).ravel()
+
+
 def in_planes(places: np.ndarray, times: np.ndarray) -> bytes:
-    """Distinct places in ascending order as steps from one to the next, and how often each is met; the lowest bytes of all of them stand first, then
-    the next higher ones, so that the many zeros of small numbers lie together."""
+    """Distinct places in ascending order as steps from one to the next, and how often each is met."""
     order = np.argsort(places)
-    steps = np.diff(places[order], prepend=np.uint32(0))
-    return np.stack([steps, times[order]]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return planes(np.concatenate([np.diff(places[order], prepend=np.uint32(0)), times[order]]).astype("<u4"))
 
 
 def from_planes(packed: bytes) -> np.ndarray:
     """The places, ascending, and their times."""
-    steps, times = np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(4, -1).T).view("<u4").reshape(2, -1)
+    steps, times = of_planes(packed, "<u4").reshape(2, -1)
     return np.stack([np.cumsum(steps, dtype=np.uint32), times])
 
 
@@ -253,13 +275,13 @@ class _Block:
         return self.chars >= BLOCK_CHARS or len(self.docs) >= BLOCK_DOCS
 
     def runs(self, ranges: int, pack) -> list[tuple[int, int, bytes, bytes]]:
-        """(range, pieces, their texts, their places) for each range."""
+        """(range, pieces, their texts, their places as steps) for each range; places ascend."""
         held: dict[int, tuple[list[str], list[int]]] = {}
         for piece, place in self.places.items():
             texts, places = held.setdefault(range_of(piece, ranges), ([], []))
             texts.append(piece)
             places.append(place)
-        return [(r, len(t), pack("\n".join(t).encode("utf-8", "replace")), np.array(p, dtype="<u4").tobytes()) for r, (t, p) in held.items()]
+        return [(r, len(t), pack("\n".join(t).encode("utf-8", "replace")), pack(planes(np.diff(np.array(p, dtype="<u4"), prepend=np.uint32(0))))) for r, (t, p) in held.items()]
 
 
 def _coded(df: DataFrame, text_col: str, keep: Sequence[Column], ranges: int) -> DataFrame:
@@ -308,17 +330,18 @@ def _coded(df: DataFrame, text_col: str, keep: Sequence[Column], ranges: int) ->
 def _scored(runs: pa.Table, entries: pa.Table) -> pa.Table:
     """Scores of the pieces of some runs, by the entries of their range."""
     scorer = Scorer(*(entries.column(c).to_pylist() for c in ("gram", "score", "leaving")))
-    unpack = zstandard.ZstdDecompressor().decompress
-    scores = [np.array([scorer.of(p) for p in unpack(w.as_py()).decode().split("\n")], dtype="<f4").tobytes() for w in runs.column("words")]
+    unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=LEVEL).compress
+    scores = [pack(planes(np.array([scorer.of(p) for p in unpack(w.as_py()).decode().split("\n")], dtype="<f4"))) for w in runs.column("words")]
     return pa.table({"block": runs.column("block"), "places": runs.column("places"), "scores": pa.array(scores, pa.binary())})
 
 
 def _featured(docs: pa.Table, scores: pa.Table) -> pa.Table:
     """Features of the texts of a block."""
-    places, values = (np.frombuffer(b"".join(x.as_py() for x in scores.column(c)), dtype=t) for c, t in (("places", "<u4"), ("scores", "<f4")))
-    score = np.zeros(len(places), dtype=np.float64)
-    score[places] = values
     unpack = zstandard.ZstdDecompressor().decompress
+    runs = [(np.cumsum(of_planes(unpack(p.as_py()), "<u4"), dtype=np.uint32), of_planes(unpack(s.as_py()), "<f4")) for p, s in zip(scores.column("places"), scores.column("scores"))]
+    score = np.zeros(sum(len(places) for places, _ in runs), dtype=np.float64)
+    for places, values in runs:
+        score[places] = values
     made = np.zeros((docs.num_rows, len(FEATURES)))
     for k, (letters, packed) in enumerate(zip(docs.column("letters").to_pylist(), docs.column("pieces"))):
         if letters:
@@ -345,7 +368,7 @@ def features(df: DataFrame, model: Model, text_col: str = "text", keep: Sequence
     copied = model.entries.join(many, "range").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("range", "part", "gram", "score", "leaving")
     scored = dealt.groupBy("range", "part").cogroup(copied.groupBy("range", "part")).applyInArrow(_scored, "block long, places binary, scores binary")
     kept = docs.schema["keep"].dataType
-    found = docs.groupBy("block").cogroup(staged(scored, "toxicity-scores").groupBy("block")).applyInArrow(
+    found = docs.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(
         _featured, f"keep {kept.simpleString()}, {', '.join(f'{c} double' for c in FEATURES)}"
     )
     return found.select(*(F.col(f"keep.{n}").alias(n) for n in kept.names if n != "_"), *FEATURES)
@@ -370,10 +393,11 @@ def fitted(features: np.ndarray, toxic: np.ndarray, ridge: float = 0.05, steps:
 
 
 def tables(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gram, toxic, ordinary) and (tail, n) over labelled texts, written: of beginnings of words, in how many of each class's texts words go on like them; and of letters
+    """(gram, toxic, ordinary) and (tail, n) over labelled texts, or their packed pieces, written: of beginnings of words, in how many of each class's texts words go on like them; and of letters
     after two others, in how many words they stand. Beginnings that go on where no toxic text does are left out, their letters are not scored."""
     sums = F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")
-    words = staged(texts.mapInArrow(_count_pieces, COUNTS).groupBy("gram").agg(*sums), "toxicity-words")
+    packed = texts if "pieces" in texts.columns else _packed(texts)
+    words = staged(packed.mapInArrow(_count_pieces, COUNTS).groupBy("gram").agg(*sums), "toxicity-words")
     tails = staged(words.mapInArrow(_count_tails, "tail string, n long").groupBy("tail").agg(F.sum("n").alias("n")), "toxicity-tails")
     ranges = max(16, -(-words.count() // RANGE_ENTRIES))
     # Words of one beginning, the end mark counted as in `range_of`, are in one range.
