@@ -53,6 +53,24 @@ def chord_km(distance_km: float) -> float:
     return 2 * EARTH_RADIUS_KM * math.sin(min(distance_km, half_turn) / (2 * EARTH_RADIUS_KM))
 
 
+def space_time_cell(lat, lon, time, bits: int = 10) -> Column:
+    """Number of a cell of space and time along a curve on which near cells mostly have near numbers.
+
+    Each of the three is cut into 2^bits parts: latitude and longitude over their ranges, the time
+    over 1900 to 2100, values beyond it at its ends. The bits of the three parts take turns, the
+    highest first. NULL counts as the first part.
+    """
+    lat, lon, time = map(col_of, (lat, lon, time))
+    whole = 1 << bits
+    shares = (lat + 90) / 180, (lon + 180) / 360, (F.unix_seconds(time.cast("timestamp")) + 2_208_988_800) / 6_311_433_600
+    parts = [F.greatest(F.lit(0), F.least(F.lit(whole - 1), F.floor(F.coalesce(s, F.lit(0.0)) * whole).cast("bigint"))) for s in shares]
+    cell = F.lit(0).cast("bigint")
+    for bit in range(bits):
+        for turn, part in enumerate(parts):
+            cell = cell.bitwiseOR(F.shiftleft(F.shiftright(part, bit).bitwiseAND(F.lit(1)), 3 * bit + 2 - turn))
+    return cell
+
+
 def doy_distance(a, b, period: int = DOY_PERIOD) -> Column:
     """Days apart on a circular calendar: 31 December is next to 1 January."""
     gap = F.abs(col_of(a) - col_of(b))

@@ -187,6 +187,44 @@ def test_export_writes_the_same_rows_twice_and_retires_stale_routes(spark, built
     assert Path(a / "locations" / "all").exists()
 
 
+def test_a_filter_on_one_place_reads_few_files(spark, tmp_path):
+    """Ranges of the order make files of few places, also where one place holds a third of all rows; nothing is lost."""
+    from pyarrow import parquet
+    from terralake.plans.build import save
+
+    place = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("p"), F.lpad((F.col("id") % 40).cast("string"), 2, "0")))
+    days = spark.range(0, 40_000, 1, 8).select(place.alias("location_id"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 9000).cast("int")).alias("local_date"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        saved = save(days, str(tmp_path), "gold_weather_daily")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spans = [parquet.read_metadata(f.removeprefix("file://")).row_group(0).column(0).statistics for f in saved.inputFiles()]
+    assert len(spans) == 16 and sum(s.min <= "p07" <= s.max for s in spans) <= 2 and 4 <= sum(s.min <= "hot" <= s.max for s in spans) <= 8
+    one = saved.filter("location_id = 'p07'")
+    expected = days.filter("location_id = 'p07'").count()
+    assert len(one.collect()) == expected
+    plan = one._jdf.queryExecution().executedPlan()
+    scanned = plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+    assert expected <= scanned <= 40_000 / 4
+    assert sorted(rows(saved)) == sorted(rows(days))
+
+
+def test_near_events_lie_in_few_files(spark, tmp_path):
+    """Files of the curve through space and time span small boxes."""
+    from terralake.functions.scalar import space_time_cell
+
+    at = spark.createDataFrame([(-90.0, -180.0, "1900-01-01"), (89.9, 179.9, "2099-12-01"), (95.0, 500.0, "2500-01-01"), (None, None, None), (10.0, 10.0, "2010-01-10"), (10.01, 10.01, "2010-01-11")], "lat double, lon double, time string")
+    cells = [r[0] for r in at.select(space_time_cell("lat", "lon", F.col("time").cast("timestamp"))).collect()]
+    assert cells[0] == cells[3] == 0 and cells[2] == 2**30 - 1 >= cells[1] > 2**29 and cells[4] == cells[5]
+    grid = spark.range(64 * 64).select((F.col("id") % 64 * 2.8 - 89).alias("lat"), (F.floor(F.col("id") / 64) * 5.6 - 179).alias("lon"), F.lit("2001-05-05").cast("timestamp").alias("time"))
+    keyed = grid.repartitionByRange(16, space_time_cell("lat", "lon", "time"))
+    boxes = keyed.groupBy(F.spark_partition_id()).agg(((F.max("lat") - F.min("lat")) * (F.max("lon") - F.min("lon"))).alias("box")).collect()
+    assert sorted(r.box for r in boxes)[len(boxes) // 2] < 180 * 360 / 6
+
+
 def test_a_failed_second_build_leaves_the_old_table(spark, tmp_path):
     from terralake.plans.build import save, versions
 

@@ -1237,6 +1237,8 @@ for _name, _run, _sql in (
     ("src6_rejected_pages", payloads.src6_rejected, payloads.SRC6_REJECTED),
     ("src7_bird_pages", payloads.src7_birds, payloads.SRC7),
     ("src8_hazard_pages", payloads.src8_hazards, payloads.SRC8),
+    ("src8_three_layouts", payloads.src8_layouts, payloads.SRC8_LAYOUTS),
+    ("src2_missing_dataset", payloads.src2_missing, payloads.SRC2),
     ("src9_track_csv", payloads.src9_tracks, payloads.SRC9),
     ("src10_oni_lines", payloads.src10_oni, payloads.SRC10),
     ("src11_population_pages", payloads.src11_population, payloads.SRC11),

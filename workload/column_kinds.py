@@ -130,6 +130,7 @@ FLOAT_COLUMNS: dict[str, str] = {
     "src5_weather_pages": "lat lon temperature_2m precipitation pressure_msl",
     "src6_quake_pages": "magnitude lat lon depth_km",
     "src8_hazard_pages": "eq_magnitude",
+    "src8_three_layouts": "latitude longitude eq_magnitude tsunami_max_water_height_m",
     "src9_track_csv": "lat lon usa_wind_kt",
     "src10_oni_lines": "sst_c anomaly_c",
     "snk1_append_and_read": "sst_c anomaly_c",

@@ -131,6 +131,31 @@ SRC8 = f"""SELECT p_partkey // 3 AS source_id, 'earthquake' AS hazard_type, p_pa
     FROM part WHERE p_partkey % 3 = 0 AND p_partkey // 30 % {EVERY} <> {BROKEN}"""
 
 
+#: Columns that each archive has beside the common ones, as its pages name them.
+LAYOUTS = {
+    "earthquake": {"location_name": "locationName", "eq_magnitude": "eqMagnitude"},
+    "tsunami": {"location_name": "locationName", "tsunami_max_water_height_m": "maxWaterHeight", "tsunami_num_runups": "numRunups", "caused_earthquake_id": "earthquakeEventId"},
+    "volcano": {"location_name": "location", "volcano_vei": "vei", "volcano_name": "name", "caused_tsunami_id": "tsunamiEventId"},
+}
+COMMON = {"source_id": "id", "year": "year", "month": "month", "day": "day", "latitude": "latitude", "longitude": "longitude", "country": "country", "deaths": "deaths", "deaths_total": "deathsTotal", "houses_destroyed": "housesDestroyed"}
+OWN = sorted({c for names in LAYOUTS.values() for c in names})
+
+
+def src8_layouts(d: Domain) -> DataFrame:
+    """All three archives, each in pages of its own layout, read into one schema."""
+    read = []
+    for table, (hazard, own) in zip(("bronze_noaa_eq", "bronze_noaa_tsunami", "bronze_noaa_volcano"), LAYOUTS.items()):
+        item = F.struct(*(F.col(c).alias(n) for c, n in {**COMMON, **own}.items()))
+        raw = _pages(d[table], [int_div("source_id", F.lit(10)).alias("page")], item, "page", lambda items: F.struct(items.alias("items")))
+        good, _ = parsers.split_pages(raw, "hazards")
+        read.append(parsers.parse_hazards(good, hazard).select("hazard_type", *COMMON, *OWN))
+    return read[0].unionByName(read[1]).unionByName(read[2])
+
+
+SRC8_LAYOUTS = f"""SELECT hazard_type, {", ".join(COMMON)}, {", ".join(OWN)}
+    FROM bronze_hazards WHERE source_id // 10 % {EVERY} <> {BROKEN}"""
+
+
 def src9_tracks(d: Domain) -> DataFrame:
     """A CSV with a row of units below its header; longitudes east of 180 and rows without a place among it."""
     names = {**parsers.TRACK_TEXT, **parsers.TRACK_NUMBERS}
@@ -261,5 +286,16 @@ def snk3_statistics(d: Domain) -> DataFrame:
     return bronze.bronze_stats(d.spark, _two_batches(d)).filter("files > 0").select("source", "dataset", "rows")
 
 
+def src2_missing(d: Domain) -> DataFrame:
+    """Years of a dataset that is there, beside one that was never ingested."""
+    root = _two_batches(d)
+    oni, people = (bronze.read_bronze(d.spark, root, n) for n in ("bronze_oni", "bronze_population"))
+    by_year = people.groupBy("year").agg(F.sum("population").alias("population"), F.count("country_id").alias("countries"))
+    seasons = oni.groupBy("year").agg(F.count(F.lit(1)).alias("seasons"))
+    return seasons.join(by_year, "year", "left").select("year", "seasons", "population", F.coalesce("countries", F.lit(0)).alias("countries"))
+
+
+SRC2 = "SELECT year, count(*) AS seasons, NULL::BIGINT AS population, 0::BIGINT AS countries FROM bronze_oni GROUP BY year"
+
 SNK3 = """SELECT 'noaa_cpc' AS source, 'oni' AS dataset, count(*) AS rows FROM bronze_oni
     UNION ALL SELECT 'ibtracs', 'track_points', count(*) FROM bronze_cyclones"""
