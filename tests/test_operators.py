@@ -85,6 +85,31 @@ def test_space_time_join_equals_brute_force(spark, rows_per_task):
     assert not any(name in executed_plan(got) for name in NO_PAIRS)
 
 
+@pytest.mark.parametrize("limit", [None, 400])
+@pytest.mark.parametrize("least", [4.0, 6.8])
+def test_follow_counts_makes_no_pairs_of_events(spark, limit, least):
+    """Enough points for tiles inside and across the circles; events of one instant, of equal size, and with nulls."""
+    rng = random.Random(11)
+    data = [
+        (f"e{i}", rng.randrange(0, 70 * 24) * 3_600 + rng.choice((0, 0, 1_800, 3_599)), rng.uniform(-1, 1) + 60, (rng.uniform(179, 182) + 180) % 360 - 180, round(rng.expovariate(1.5) + 4, 1))
+        for i in range(2_500)
+    ]
+    data += [(f"n{i}", *(None if i == j else v for j, v in enumerate((100, 60.0, 180.0, 7.0)))) for i in range(4)]
+    q = spark.createDataFrame(data, "event_id string, s long, lat double, lon double, magnitude double").withColumn("time", F.timestamp_seconds("s")).drop("s")
+    mains = q.filter(F.col("magnitude").isNull() | (F.col("magnitude") >= least) & (F.xxhash64("event_id") % 4 == 0)).select(
+        F.col("event_id").alias("m"), F.col("time").alias("mt"), F.col("lat").alias("mlat"), F.col("lon").alias("mlon"), F.col("magnitude").alias("mm")
+    )
+    mains = mains.unionByName(mains.limit(3))
+    got = geo.follow_counts(q, mains, 60, 20, ("time", "lat", "lon"), ("mt", "mlat", "mlon"), "magnitude", "mm", "m", rows_per_task=limit)
+    hours = F.unix_seconds(F.date_trunc("hour", "time")) - F.unix_seconds(F.date_trunc("hour", "mt"))
+    brute = q.crossJoin(mains).filter(
+        (F.col("magnitude") < F.col("mm")) & (F.col("time") > F.col("mt")) & (F.col("time") <= F.col("mt") + F.expr("INTERVAL 20 DAYS"))
+        & (fn.haversine_km("mlat", "mlon", "lat", "lon") <= 60)
+    ).groupBy("m", (F.floor(hours / 86_400) + 1).alias("day_after")).agg(F.count(F.lit(1)).alias("n"), F.max("magnitude").alias("largest"))
+    assert sorted(rows(got)) == sorted(rows(brute)) and brute.count() > 50
+    assert "ASIN" not in executed_plan(got)  # no join looks at the distance of two events
+
+
 def test_decluster_equals_brute_force(spark):
     q = _quakes(spark, 400).filter("magnitude >= 6")
     p = q.select(*(F.col(c).alias(f"p_{c}") for c in q.columns))
