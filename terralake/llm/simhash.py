@@ -132,9 +132,10 @@ def links(fps: DataFrame, distance: int = 4, count: int = 7, equal: int = 3) ->
     ]
     keyed = fps.select("fp").distinct().select("fp", F.explode(F.array(*entries)).alias("e")).select("e.k", "e.held", "fp")
     # What is held by very many is found from a part of the fingerprints: how a key is dealt out changes the work, not the links.
+    # There are at most (fingerprints * keys / BLOCK) of them, by the estimate; the copy to each task spares the keys a shuffle of their own.
     part = keyed.filter(F.pmod(F.xxhash64(F.lit("part"), "fp"), F.lit(PART)) == 0).groupBy("k", "held").agg((F.count("*") * PART).alias("n")).filter(F.col("n") > BLOCK)
     dealt = (
-        keyed.join(part, ["k", "held"], "left")
+        keyed.join(F.broadcast(part), ["k", "held"], "left")
         .withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1).cast("long")))
         .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

@@ -23,6 +23,17 @@ def test_keys_cover_all_differences_within_the_distance():
         assert any(not held & set(segments) for held in keys)
 
 
+def test_keys_are_shuffled_once(spark):
+    """The list of crowded keys is copied to the tasks at any size, so keys do not travel to meet it."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = simhash.links(spark.range(50).withColumnRenamed("id", "fp"))._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_links_connect_what_all_pairs_connect(spark, documents):
     """A dense ball of near fingerprints, chains of steps, and strangers."""
     rng = random.Random(3)
