@@ -36,6 +36,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that `staged` gave and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for place in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(place))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """Only the id and the text (NULL: empty), so that other columns cannot clash with results."""
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralake.llm.common import in_steps, staged, table, unused
+from terralake.llm.common import discard, in_steps, staged, table, unused
 
 #: What is taken off every count for what has not been seen; near one, since what a single toxic text holds says little.
 DISCOUNT = 0.95
@@ -47,7 +47,7 @@ BEGINNING, RANGE_ENTRIES, SCORED_WORDS = 5, 200_000, 1 << 20
 BLOCK_CHARS, BLOCK_DOCS = 4_000_000, 1 << 16
 FEATURES = ["f_first", "f_second", "f_four", "f_mean"]
 THRESHOLD = 0.3
-LEVEL, PACKED_LEVEL = 1, 3
+LEVEL, PACKED_LEVEL, WORDS_LEVEL = 1, 3, 9
 
 
 def fold(id_col: str) -> Column:
@@ -195,18 +195,75 @@ def ratios(edges: DataFrame, tails: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Written tables of `entries` by range, the number of ranges, and the weights of the curve."""
+    """The written table of entries, packed as `runs` of one range each, the number of ranges, and the weights of the curve."""
 
-    entries: DataFrame
+    runs: DataFrame
     ranges: int
     weights: list[float]
 
+    @property
+    def entries(self) -> DataFrame:
+        """(range, gram, score, leaving), unpacked."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    grams, scores, leaving = unpacked_entries(batch.slice(k, 1))
+                    columns = [pa.array([batch.column("range")[k].as_py()] * len(grams), pa.int32()), pa.array(grams, pa.string()), pa.array(scores, pa.float32()), pa.array(leaving, pa.float32())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["range", "gram", "score", "leaving"])
+
+        return self.runs.mapInArrow(run, "range int, gram string, score float, leaving float")
+
     def score(self) -> Column:
         """The probability as a function of the columns FEATURES."""
         z = reduce(lambda a, b: a + b, (F.col(c) * float(w) for c, w in zip(FEATURES, self.weights[1:])), F.lit(float(self.weights[0])))
         return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
 
+RUNS = "range int, grams binary, scores binary, contexts binary, leavings binary"
+
+
+def _packed_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries as runs of one range each, as a task meets them: letters with their scores, and contexts with what leaving them counts, both in ascending order."""
+    pack = zstandard.ZstdCompressor(level=PACKED_LEVEL).compress
+
+    def made() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).sort_by([("range", "ascending"), ("gram", "ascending")])
+        ranges, grams = rows.column("range").to_numpy(), rows.column("gram").to_pylist()
+        cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(grams)] if grams else [0]
+        packed: list[list[bytes]] = []
+        for kind in ("score", "leaving"):
+            known, values = rows.column(kind).is_valid().to_numpy(), rows.column(kind).to_numpy().astype("<f4")
+            of = [np.arange(a, b)[known[a:b]] for a, b in zip(cuts, cuts[1:])]
+            packed += [[pack("\n".join([grams[k] for k in own]).encode()) for own in of], [pack(planes(values[own])) for own in of]]
+        columns = [pa.array(ranges[cuts[:-1]], pa.int32()), *(pa.array(c, pa.binary()) for c in packed)]
+        return pa.RecordBatch.from_arrays(columns, names=["range", "grams", "scores", "contexts", "leavings"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) > HELD_COUNTS:
+            yield made()
+            held = []
+    if held:
+        yield made()
+
+
+def unpacked_entries(runs: pa.Table | pa.RecordBatch) -> tuple[list[str], list[float | None], list[float | None]]:
+    """The beginnings, scores and leavings of some runs."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    grams: list[str] = []
+    scores: list[float | None] = []
+    leaving: list[float | None] = []
+    for names, values, own, other in (("grams", "scores", scores, leaving), ("contexts", "leavings", leaving, scores)):
+        for text, packed in zip(runs.column(names), runs.column(values)):
+            found = of_planes(unpack(packed.as_py()), "<f4").tolist()
+            grams += unpack(text.as_py()).decode().split("\n") if found else []
+            own += found
+            other += [None] * len(found)
+    return grams, scores, leaving
+
+
 class Scorer:
     """Sums the scores of a piece's letters, as far as toxic texts have begun like it."""
 
@@ -281,7 +338,8 @@ class _Block:
             texts, places = held.setdefault(range_of(piece, ranges), ([], []))
             texts.append(piece)
             places.append(place)
-        return [(r, len(t), pack("\n".join(t).encode("utf-8", "replace")), pack(planes(np.diff(np.array(p, dtype="<u4"), prepend=np.uint32(0))))) for r, (t, p) in held.items()]
+        pack_words = zstandard.ZstdCompressor(level=WORDS_LEVEL).compress
+        return [(r, len(t), pack_words("\n".join(t).encode("utf-8", "replace")), pack(planes(np.diff(np.array(p, dtype="<u4"), prepend=np.uint32(0))))) for r, (t, p) in held.items()]
 
 
 def _coded(df: DataFrame, text_col: str, keep: Sequence[Column], ranges: int) -> DataFrame:
@@ -328,8 +386,8 @@ def _coded(df: DataFrame, text_col: str, keep: Sequence[Column], ranges: int) ->
 
 
 def _scored(runs: pa.Table, entries: pa.Table) -> pa.Table:
-    """Scores of the pieces of some runs, by the entries of their range."""
-    scorer = Scorer(*(entries.column(c).to_pylist() for c in ("gram", "score", "leaving")))
+    """Scores of the pieces of some runs, by the packed entries of their range."""
+    scorer = Scorer(*unpacked_entries(entries))
     unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=LEVEL).compress
     scores = [pack(planes(np.array([scorer.of(p) for p in unpack(w.as_py()).decode().split("\n")], dtype="<f4"))) for w in runs.column("words")]
     return pa.table({"block": runs.column("block"), "places": runs.column("places"), "scores": pa.array(scores, pa.binary())})
@@ -365,7 +423,7 @@ def features(df: DataFrame, model: Model, text_col: str = "text", keep: Sequence
     runs = coded.filter("range IS NOT NULL").select("block", "range", "n", "words", "places")
     many = runs.groupBy("range").agg(F.ceil(F.sum("n") / SCORED_WORDS).cast("int").alias("parts"))
     dealt = runs.join(many, "range").withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int")).select("block", "range", "part", "words", "places")
-    copied = model.entries.join(many, "range").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("range", "part", "gram", "score", "leaving")
+    copied = model.runs.join(many, "range").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     scored = dealt.groupBy("range", "part").cogroup(copied.groupBy("range", "part")).applyInArrow(_scored, "block long, places binary, scores binary")
     kept = docs.schema["keep"].dataType
     found = docs.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(
@@ -402,8 +460,9 @@ def tables(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranges = max(16, -(-words.count() // RANGE_ENTRIES))
     # Words of one beginning, the end mark counted as in `range_of`, are in one range.
     dealt = words.withColumn("range", F.crc32(F.left(F.concat("gram", F.lit(END)), F.lit(BEGINNING))) % ranges)
-    edges = dealt.groupBy("range").applyInArrow(_count_edges, COUNTS)
-    return staged(edges.groupBy("gram").agg(*sums), "toxicity-edges"), tails
+    edges = staged(dealt.groupBy("range").applyInArrow(_count_edges, COUNTS).groupBy("gram").agg(*sums), "toxicity-edges")
+    discard(words)
+    return edges, tails
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -415,11 +474,13 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     """
     edges, tails = tables(labelled(df, labels, id_col, text_col, label_col, ~fold(id_col).isin(HELD_OUT, CURVE)))
     entries = staged(ratios(edges, tails), "toxicity-ratios")
+    discard(edges, tails)
     ranges = max(16, -(-entries.count() // RANGE_ENTRIES))
     every = F.sequence(F.lit(0), F.lit(ranges - 1))
     where = F.when(F.char_length("gram") < BEGINNING, every).otherwise(F.array((F.crc32(F.left("gram", F.lit(BEGINNING))) % ranges).cast("int")))
-    dealt = staged(entries.select(F.explode(where).alias("range"), "gram", "score", "leaving"), "toxicity-entries")
-    model = Model(dealt, ranges, [0.0])
+    dealt = entries.select(F.explode(where).alias("range"), "gram", "score", "leaving")
+    model = Model(staged(dealt.mapInArrow(_packed_entries, RUNS), "toxicity-runs"), ranges, [0.0])
+    discard(entries)
     chosen = labels.filter(F.col(label_col).isNotNull() & (fold(id_col) == CURVE)).orderBy(F.xxhash64(id_col), id_col, label_col).limit(CURVE_ROWS)
     sample = labelled(df, chosen, id_col, text_col, label_col, fold(id_col) == CURVE, few=True)
     seen = features(sample, model, keep=[F.col("toxic").cast("int").alias("toxic")]).toArrow()

@@ -116,6 +116,26 @@ def test_held_out_labels_do_not_count(spark, documents):
     assert a.weights == pytest.approx(b.weights) and a.entries.exceptAll(b.entries).count() == b.entries.exceptAll(a.entries).count() == 0
 
 
+def test_entries_go_to_the_ranges_packed(spark, documents, monkeypatch):
+    monkeypatch.setattr(toxicity, "RANGE_ENTRIES", 1_000)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    counted = ~toxicity.fold("doc_id").isin(toxicity.HELD_OUT, toxicity.CURVE)
+    entries = [(r.gram, r.score, r.leaving) for r in toxicity.ratios(*toxicity.tables(toxicity.labelled(documents, labels, "doc_id", "text", "toxic", counted))).collect()]
+    model = toxicity.fit(documents, labels)
+    runs = model.runs.toArrow()
+    assert model.ranges >= 16 and set(runs.column("range").to_pylist()) <= set(range(model.ranges))
+    held = collections.defaultdict(set)
+    for k in range(runs.num_rows):
+        for row in zip(*toxicity.unpacked_entries(runs.slice(k, 1))):
+            held[row].add(runs.column("range")[k].as_py())
+    assert len(entries) == len(set(entries)) and set(held) == set(entries)
+    assert {(r.range, r.gram, r.score, r.leaving) for r in model.entries.collect()} == {(k, *row) for row, ranges in held.items() for k in ranges}
+    for row, ranges in held.items():
+        short = len(row[0]) < toxicity.BEGINNING
+        assert ranges == (set(range(model.ranges)) if short else {zlib.crc32(row[0][: toxicity.BEGINNING].encode()) % model.ranges})
+    assert toxicity.unpacked_entries(runs.slice(0, 0)) == ([], [], [])
+
+
 def test_blocks_and_parts_of_any_size_give_the_same(spark, documents, monkeypatch):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     model = toxicity.fit(documents, labels)
