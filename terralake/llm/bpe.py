@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import array
 import base64
-from collections.abc import Callable
 from pathlib import Path
 
 import ahocorasick
@@ -181,7 +180,6 @@ class Pieces(dict):
 
 
 _VOCABULARIES: dict[tuple[str, str], Vocabulary] = {}
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
 def vocabulary(path: str, pattern: str) -> Vocabulary:
@@ -191,19 +189,8 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return _VOCABULARIES[key]
 
 
-def shipped(spark, path: str | None, pattern: str | None) -> Callable[[], Encoder]:
-    """A function that gives a task its encoder; the tables are sent once to each executor, a few MB."""
-    path = path or public_tokenizers.path(VOCABULARY)
-    pattern = pattern or public_tokenizers.PATTERN
-    sent = spark.sparkContext.broadcast(vocabulary(path, pattern))
-
-    def encoder() -> Encoder:
-        # Python workers are used again for later tasks of the same application.
-        if (path, pattern) not in _ENCODERS:
-            _ENCODERS[path, pattern] = Encoder(sent.value)
-        return _ENCODERS[path, pattern]
-
-    return encoder
+def chosen(path: str | None, pattern: str | None) -> Vocabulary:
+    return vocabulary(path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN)
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, packed: bool = False) -> DataFrame:
@@ -213,10 +200,11 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     empty text, which has no ids. Ties, repeated rows and repeated ids do not matter: each row
     is encoded for itself. Other columns are not carried. No shuffle.
     """
-    encoder = shipped(df.sparkSession, path, pattern)
+    sent = df.sparkSession.sparkContext.broadcast(chosen(path, pattern))
 
     def make():
-        pack = encoder().packed
+        # A task's encoder goes with it: Python workers live on, and what each remembers is tens of MB.
+        pack = Encoder(sent.value).packed
 
         def of_texts(texts: list[str]) -> list[pa.Array]:
             ids = [pack(t) for t in texts]
@@ -238,12 +226,12 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path:
 
     An existing column of that name is replaced. An id outside the vocabulary fails the job.
     """
-    encoder = shipped(df.sparkSession, path, pattern)
+    sent = df.sparkSession.sparkContext.broadcast(chosen(path, pattern).tokens)
     rows = df.drop(out_col)
     schema = T.StructType([*rows.schema.fields, T.StructField(out_col, T.BinaryType())])
 
     def run(batches):
-        tokens = encoder().v.tokens
+        tokens = sent.value
         for batch in batches:
             column = batch.column(ids_col)
             made = []
