@@ -90,8 +90,6 @@ class Encoder:
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.pieces = Pieces(self)
-        self.find = regex.compile(vocabulary.pattern).findall
 
     def compatible(self, left: int, right: int) -> bool:
         pair = left * self.size + right
@@ -151,10 +149,6 @@ class Encoder:
                 return made
             at, last, token = after, token, longest[after]
 
-    def packed(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
-
 
 class Pieces(dict):
     """Packed ids by piece; remembers a bounded number.
@@ -164,7 +158,8 @@ class Pieces(dict):
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder = encoder  # which does not know its pieces: without a cycle both go at once
+        self.find = regex.compile(encoder.v.pattern).findall
         self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -178,6 +173,10 @@ class Pieces(dict):
             self[piece] = ids
         return ids
 
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.__getitem__, self.find(text)))
+
 
 _VOCABULARIES: dict[tuple[str, str], Vocabulary] = {}
 
@@ -204,7 +203,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     def make():
         # A task's encoder goes with it: Python workers live on, and what each remembers is tens of MB.
-        pack = Encoder(sent.value).packed
+        pack = Pieces(Encoder(sent.value)).packed
 
         def of_texts(texts: list[str]) -> list[pa.Array]:
             ids = [pack(t) for t in texts]

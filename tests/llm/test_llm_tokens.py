@@ -1,3 +1,4 @@
+import gc
 import random
 
 import brute
@@ -44,6 +45,19 @@ def test_odd_rows_and_lists_of_ids(odd):
     assert bpe.digests(odd.limit(0)).collect() == []
 
 
+def test_encoders_go_with_their_task(documents, monkeypatch):
+    """Python workers live on, and what an encoder remembers would stay in each of them."""
+    makes, map_texts = [], bpe.map_texts
+    monkeypatch.setattr(bpe, "map_texts", lambda rows, make, fields: makes.append(make) or map_texts(rows, make, fields))
+    bpe.encode(documents)
+    of_texts = makes[0]()
+    assert of_texts(["some words"])[1].to_pylist() == [len(brute.library().encode_ordinary("some words"))]
+    alive = lambda: sum(type(o) is bpe.Encoder for o in gc.get_objects())
+    assert alive() == 1
+    del of_texts
+    assert alive() == 0
+
+
 def test_query(spark):
     from terralake.llm.registry import QUERIES
 
