@@ -5,8 +5,10 @@ from helpers import executed_plan, rows
 from pyspark.sql import functions as F
 
 from terralake import functions as fn
+from terralake.functions.scalar import EARTH_RADIUS_KM
 from terralake.operators import aggregates, dedup, geo, joins, reshape, windows
 from terralake.operators import rows as row_ops
+from terralake.operators.followers import follower_counter
 
 NO_PAIRS = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
@@ -110,6 +112,38 @@ def test_follow_counts_makes_no_pairs_of_events(spark, limit, least):
     assert "ASIN" not in executed_plan(got)  # no join looks at the distance of two events
 
 
+def test_followers_of_a_crowd_cut_by_the_circles_are_not_looked_at_one_by_one(monkeypatch):
+    """Half the crowd lies in each circle: its points are dealt out finely however close they lie."""
+    import numpy as np
+    import pandas as pd
+
+    rng, hour = np.random.default_rng(5), 3_600_000_000
+    n, m = 20_000, 300
+    points = pd.DataFrame(
+        {"_t": rng.integers(0, 720 * hour, n), "_la": rng.uniform(0, 0.02, n), "_lo": rng.uniform(1.0, 1.02, n), "_s": rng.integers(45, 60, n) / 10, "_slot": 0}
+    )
+    points.loc[n] = [10 * hour, 2.5, 2.5, 4.5, 0]  # far from the crowd
+    points = points.astype({"_t": "int64", "_slot": "int64"})
+    # 1.01 degrees are 112.306 km: the circles run through the middle of the crowd.
+    centres = pd.DataFrame({"_id": [f"m{i}" for i in range(m)], "_t": rng.integers(-720 * hour, 720 * hour, m), "_la": 0.01, "_lo": rng.uniform(-0.005, 0.005, m), "_s": 7.0, "_slot": 0})
+    repeat, made = np.repeat, []
+    monkeypatch.setattr(np, "repeat", lambda *a, **k: made.append(repeat(*a, **k)) or made[-1])
+    got = follower_counter(112.306, 30)(centres, points)
+    monkeypatch.undo()
+    looked = sum(len(x) for x in made)
+    want, seen = {}, 0
+    for c in centres.to_dict("records"):
+        p = points[(points._t > c["_t"]) & (points._t <= c["_t"] + 720 * hour)]
+        la, lo = np.radians(p._la - c["_la"]), np.radians(p._lo - c["_lo"])
+        h = np.sin(la / 2) ** 2 + np.cos(np.radians(c["_la"])) * np.cos(np.radians(p._la)) * np.sin(lo / 2) ** 2
+        seen += len(p)
+        p = p[2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(h)) <= 112.306]
+        for day, of_day in p.groupby((p._t // hour - c["_t"] // hour) // 24 + 1):
+            want[c["_id"], day] = (len(of_day), of_day._s.max())
+    assert {(r["_id"], r["day_after"]): (r["_n"], r["_s"]) for r in got.to_dict("records")} == want and len(want) > m
+    assert looked < seen  # three arrays per pair looked at
+
+
 def test_decluster_equals_brute_force(spark):
     q = _quakes(spark, 400).filter("magnitude >= 6")
     p = q.select(*(F.col(c).alias(f"p_{c}") for c in q.columns))
